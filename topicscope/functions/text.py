@@ -77,13 +77,17 @@ def remove_stop_words(tokens: Column | str, stop_words) -> Column:
     words = stop_word_list(stop_words)
     if not words:
         return _c(tokens)
-    lit_words = F.array(*[F.lit(w) for w in words])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(lit_words, t))
+    # IN with a literal list becomes a hash-set lookup (InSet) after optimisation
+    return F.filter(_c(tokens), lambda t: ~t.isin(list(words)))
 
 
 def ngrams(tokens: Column | str, lo: int = 1, hi: int = 1) -> Column:
     """All n-grams for n in [lo, hi], words joined by a space; grouped by n, then
-    by position (the order a bag-of-words analyzer emits them)."""
+    by position (the order a bag-of-words analyzer emits them).
+
+    ``tokens`` should be a column reference: the lambda reads it once per
+    n-gram, and an unmaterialised expression would be recomputed each time.
+    """
     if lo < 1 or hi < lo:
         raise ValueError(f"invalid n-gram range ({lo}, {hi})")
     t = _c(tokens)

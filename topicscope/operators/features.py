@@ -10,7 +10,7 @@ its measured size is under the broadcast threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, remove_stop_words, tokenize
@@ -37,10 +37,9 @@ def term_counts(
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """``doc_id, term, tf`` - raw counts of every analyzed term per document."""
-    exploded = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.explode(analyzed_terms(text_col, stop_words, ngram_range)).alias("term"),
-    )
+    # the token array is projected first so the n-gram lambda reads a column
+    toks = docs.select(F.col(id_col).alias("doc_id"), remove_stop_words(tokenize(text_col), stop_words).alias("_t"))
+    exploded = toks.select("doc_id", F.explode(ngrams("_t", ngram_range[0], ngram_range[1])).alias("term"))
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -72,17 +71,17 @@ def pruned_vocab(dfreq: DataFrame, n_docs: Column, min_df: float | int = 1, max_
 def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """``doc_id, term, tfidf`` - tf x idf, L2-normalised per document.
 
-    The per-document norm is a grouped sum joined back on ``doc_id`` (one
-    shuffle of one row per document) rather than a window over whole
-    documents.
+    The per-document norm is a window over one document's terms (bounded by
+    the document length, so no skew); ``tf`` is already clustered by document
+    after its aggregation, so the window adds no shuffle.  The vocabulary side
+    of the join is pruned by ``min_df`` and is broadcast by AQE when it is
+    small enough.
     """
     w = tf.join(vocab.select("term", "idf"), "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")
     )
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, "doc_id").select(
-        "doc_id", "term", (F.col("w") / F.col("_norm")).alias("tfidf")
-    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return w.select("doc_id", "term", (F.col("w") / norm).alias("tfidf"))
 
 
 def corpus_tfidf(
@@ -94,7 +93,13 @@ def corpus_tfidf(
     min_df: float | int = 1,
     max_df: float | int = 1.0,
 ) -> DataFrame:
-    """Tokenize -> stop words -> n-grams -> prune -> TF-IDF over a corpus."""
+    """Tokenize -> stop words -> n-grams -> prune -> TF-IDF over a corpus.
+
+    ``tf`` feeds both the document frequencies and the weighting.  Document
+    frequency is a partially aggregated ``groupBy(term)`` (a term found in a
+    third of all documents still shuffles one row per task); a window by term
+    would put all of that term's rows into one task.
+    """
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
     tf = term_counts(docs, id_col, text_col, stop_words, ngram_range)
     vocab = pruned_vocab(doc_freq(tf), n_docs, min_df, max_df)

@@ -25,10 +25,38 @@ TABLES = (
 ORDER_LABELS = 10
 
 
+# Key of each table; a scan with fewer splits than the cluster has cores is
+# hash-partitioned on it (see ``read_table``).
+TABLE_KEYS = {
+    "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+    "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when its scan has too few splits.
+
+    A file written as one row group is read by one task, which leaves every
+    core but one idle for CPU-heavy text and vector work.  Large inputs come
+    as thousands of splits and are left alone (no shuffle); the hash on the
+    key is deterministic on retry and gives later joins and aggregations on
+    that key their required distribution.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, F.col(key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TABLE_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
