@@ -414,6 +414,10 @@ def evaluate_clusters(spark, d):
     return r.select(*[_r(F.col(c)).alias(c) for c in r.columns])
 
 
+# Model-dependent queries: no exact SQL twin (checked for rows plus pytest
+# invariants).
+ROWS_ONLY: tuple[str, ...] = ()
+
 QUERIES: dict[str, Builder] = {
     # dates and trends
     "completion_offset": completion_offset,
