@@ -345,6 +345,10 @@ def _sql() -> dict[str, str]:
         f"WITH {EX}, {CEN}, {STATS}, {CH}, {DB}, {SIL} SELECT round(sil.silhouette, 6) AS silhouette, "
         "round(ch.calinski_harabasz, 6) AS calinski_harabasz, round(db.davies_bouldin, 6) AS davies_bouldin FROM sil, ch, db"
     )
+    q["event_trend_daily"] = ("SELECT event_type AS label, CAST(date_trunc('day', ts) AS DATE) AS date, COUNT(*) AS articles "
+                              "FROM events GROUP BY ALL")
+    q["event_trend_month"] = ("SELECT event_type AS label, CAST(date_trunc('month', ts) AS DATE) AS date, COUNT(*) AS articles "
+                              "FROM events GROUP BY ALL")
     return q
 
 
