@@ -26,7 +26,10 @@ def event_trend(
 ) -> DataFrame:
     """``label, date, articles`` counts per bucket, for a stream or a batch."""
     unit = resolution_unit(resolution)
-    ev = events.withWatermark(ts_col, watermark) if events.isStreaming else events
+    # watermarks need an instant (TIMESTAMP); wall-clock TIMESTAMP_NTZ is read
+    # in the session time zone (UTC here)
+    ev = events.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    ev = ev.withWatermark(ts_col, watermark) if events.isStreaming else ev
     if unit in _FIXED and unit != "week":
         grouped = ev.groupBy(F.col(label_col).alias("label"), F.window(ts_col, _FIXED[unit]).alias("w"))
         out = grouped.agg(F.count(F.lit(1)).alias("articles"))
