@@ -491,9 +491,87 @@ def model_scores(spark, d):
     return r.select(*[_r(F.col(c)).alias(c) for c in r.columns])
 
 
+def _gazetteer(spark, d):
+    from ..operators.entities import dictionary_from_texts
+
+    # phrases of the benchmark passages (which recur inside documents)
+    return dictionary_from_texts(read_table(spark, d, "benchmark"), "text", 2, 3)
+
+
+def entity_text(spark, d):
+    from ..operators.entities import entity_text as et
+
+    return et(_docs(spark, d), _gazetteer(spark, d), 3)
+
+
+def entity_topics(spark, d):
+    from .topics import EntityTopicModel
+
+    key = (spark.sparkContext.applicationId, d, "entity")
+    if key not in _MODELS:
+        params = dict(MODEL_PARAMS, min_df=1, max_df=1.0, n_clusters=5)
+        _MODELS[key] = EntityTopicModel(dictionary=_gazetteer(spark, d), **params).fit(_docs(spark, d))
+    return _MODELS[key].names
+
+
+def _embedding_model(spark, d):
+    from .embedding_topics import EmbeddingTopicModel
+
+    key = (spark.sparkContext.applicationId, d, "embedding")
+    if key not in _MODELS:
+        emb = _emb(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+        _MODELS[key] = EmbeddingTopicModel(n_components=2, min_points=5, random_state=42).fit(emb, _docs(spark, d))
+    return _MODELS[key]
+
+
+def density_topics(spark, d):
+    return _embedding_model(spark, d).labels
+
+
+def embedding_topic_names(spark, d):
+    return _embedding_model(spark, d).names
+
+
+def embedding_trends(spark, d):
+    m = _embedding_model(spark, d)
+    return m.generate_trends(list(QUERY_VECTOR), "month", order_articles(spark, d), predictions_view(spark, d),
+                             CLOSEST_N, SPIKE_N)
+
+
+def _doc_vector_model(spark, d):
+    from .embedding_topics import DocVectorTopicModel
+
+    key = (spark.sparkContext.applicationId, d, "docvec")
+    if key not in _MODELS:
+        _MODELS[key] = DocVectorTopicModel(vector_size=16, n_components=2, min_points=5, random_state=42).fit(_docs(spark, d))
+    return _MODELS[key]
+
+
+def doc_vector_topics(spark, d):
+    return _doc_vector_model(spark, d).names
+
+
+def query_topics(spark, d):
+    return _doc_vector_model(spark, d).query_topics(spark, QUERY_TEXT, CLOSEST_N)
+
+
+def doc_vector_trends(spark, d):
+    m = _doc_vector_model(spark, d)
+    return m.generate_trends(QUERY_TEXT, "month", order_articles(spark, d), predictions_view(spark, d),
+                             CLOSEST_N, SPIKE_N)
+
+
 # Model-dependent queries: no exact SQL twin (checked for rows plus pytest
 # invariants).
 ROWS_ONLY: tuple[str, ...] = (
+    "entity_text",
+    "entity_topics",
+    "density_topics",
+    "embedding_topic_names",
+    "embedding_trends",
+    "doc_vector_topics",
+    "query_topics",
+    "doc_vector_trends",
     "fit_topics",
     "predict_labels",
     "model_center_distances",

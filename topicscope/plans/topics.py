@@ -228,3 +228,41 @@ class TfidfTopicModel:
         m.centers = np.array([r["center"] for r in cen])
         m.names = spark.read.option("header", True).schema("label int, name string").csv(f"{path}/names")
         return m
+
+
+class EntityTopicModel(TfidfTopicModel):
+    """The TF-IDF topic model over each document's dictionary entities
+    (``operators.entities``) instead of its full text; the query of a trend
+    request is preprocessed the same way, once."""
+
+    def __init__(self, dictionary: DataFrame | None = None, max_entity_len: int = 3, **kwargs):
+        super().__init__(**kwargs)
+        self.dictionary = dictionary
+        self.config["max_entity_len"] = int(max_entity_len)
+
+    def _entities(self, docs: DataFrame) -> DataFrame:
+        from ..operators.entities import entity_text
+
+        return entity_text(docs.select("doc_id", "text"), self.dictionary, self.config["max_entity_len"])
+
+    def fit(self, docs: DataFrame) -> "EntityTopicModel":
+        return super().fit(self._entities(docs))
+
+    def transform(self, docs: DataFrame, last_step: str | None = None, exclude_from: str | None = None) -> DataFrame:
+        return super().transform(self._entities(docs), last_step, exclude_from)
+
+    def save(self, path: str, overwrite: bool = False, save_only: Sequence[str] | None = None) -> None:
+        super().save(path, overwrite, save_only)
+        parts = set(save_only or ("config", "model", "names"))
+        if "model" in parts:
+            self.dictionary.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/dictionary")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "EntityTopicModel":
+        base = TfidfTopicModel.load.__func__(TfidfTopicModel, spark, path)
+        cfg = dict(base.config)
+        max_len = cfg.pop("max_entity_len", 3)
+        cfg["ngram_range"] = tuple(cfg["ngram_range"])
+        m = cls(dictionary=spark.read.parquet(f"{path}/dictionary"), max_entity_len=max_len, **cfg)
+        m.vocab, m.components, m.centers, m.names = base.vocab, base.components, base.centers, base.names
+        return m
