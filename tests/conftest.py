@@ -21,6 +21,7 @@ def spark():
         .appName("topicscope-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="topicscope-warehouse-"))
     )
     for k, v in SESSION_DEFAULTS.items():
         b = b.config(k, v)
