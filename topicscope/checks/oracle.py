@@ -224,12 +224,14 @@ def _sql() -> dict[str, str]:
         "CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders)"
     )
     q["split_flagged_array"] = (
-        "WITH kw AS (SELECT l_orderkey AS pmid, list({'flag': CASE WHEN l_returnflag = 'R' THEN 'Y' WHEN l_returnflag = 'A' THEN NULL ELSE 'N' END, "
-        "'value': CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(l_partkey AS VARCHAR) END}) AS kw FROM lineitem GROUP BY 1), "
-        "s AS (SELECT pmid, list_transform(list_filter(kw, lambda k: k.flag = 'Y' AND k.value IS NOT NULL), lambda k: k.value) AS ma, "
+        "WITH kw AS (SELECT l_orderkey AS pmid, l_linenumber, ["
+        "{'flag': CASE WHEN l_returnflag = 'R' THEN 'Y' WHEN l_returnflag = 'A' THEN NULL ELSE 'N' END, 'value': CAST(l_partkey AS VARCHAR)}, "
+        "{'flag': CASE WHEN l_linestatus = 'O' THEN 'Y' ELSE 'N' END, 'value': CASE WHEN l_quantity > 25 THEN CAST(l_suppkey AS VARCHAR) END}, "
+        "{'flag': CAST(NULL AS VARCHAR), 'value': CAST(l_linenumber AS VARCHAR)}] AS kw FROM lineitem), "
+        "s AS (SELECT pmid, l_linenumber, list_transform(list_filter(kw, lambda k: k.flag = 'Y' AND k.value IS NOT NULL), lambda k: k.value) AS ma, "
         "list_transform(list_filter(kw, lambda k: COALESCE(k.flag, 'N') <> 'Y' AND k.value IS NOT NULL), lambda k: k.value) AS mi FROM kw) "
-        "SELECT pmid, CAST(len(ma) AS BIGINT) AS n_major, CAST(len(mi) AS BIGINT) AS n_minor, "
-        "array_to_string(list_sort(ma), ' ') AS major, array_to_string(list_sort(mi), ' ') AS minor FROM s"
+        "SELECT pmid, l_linenumber, CAST(len(ma) AS BIGINT) AS n_major, CAST(len(mi) AS BIGINT) AS n_minor, "
+        "array_to_string(ma, ' ') AS major, array_to_string(mi, ' ') AS minor FROM s"
     )
     q["strip_inline_markup"] = (
         "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), "

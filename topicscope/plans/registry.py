@@ -152,27 +152,34 @@ def assemble_date_q(spark, d):
 
 
 def split_flagged_array(spark, d):
+    """Keyword arrays built per line item (three flagged keywords per record,
+    like one citation's keyword list), split into major and minor texts."""
     li = read_table(spark, d, "lineitem")
-    kw = li.groupBy(F.col("l_orderkey").alias("pmid")).agg(
-        F.collect_list(
-            F.struct(
-                F.when(F.col("l_returnflag") == "R", F.lit("Y"))
-                .when(F.col("l_returnflag") == "A", F.lit(None).cast("string"))
-                .otherwise(F.lit("N"))
-                .alias("flag"),
-                F.when(F.col("l_linestatus") == "O", F.lit(None).cast("string"))
-                .otherwise(F.col("l_partkey").cast("string"))
-                .alias("value"),
-            )
-        ).alias("kw")
+
+    def kw(flag, value):
+        return F.struct(flag.alias("flag"), value.alias("value"))
+
+    arr = F.array(
+        kw(
+            F.when(F.col("l_returnflag") == "R", F.lit("Y"))
+            .when(F.col("l_returnflag") == "A", F.lit(None).cast("string"))
+            .otherwise(F.lit("N")),
+            F.col("l_partkey").cast("string"),
+        ),
+        kw(
+            F.when(F.col("l_linestatus") == "O", F.lit("Y")).otherwise(F.lit("N")),
+            F.when(F.col("l_quantity") > 25, F.col("l_suppkey").cast("string")),
+        ),
+        kw(F.lit(None).cast("string"), F.col("l_linenumber").cast("string")),
     )
-    major, minor = T.split_flagged("kw")
-    return kw.select(
-        "pmid",
+    major, minor = T.split_flagged(arr)
+    return li.select(
+        F.col("l_orderkey").alias("pmid"),
+        "l_linenumber",
         F.size(major).cast("long").alias("n_major"),
         F.size(minor).cast("long").alias("n_minor"),
-        F.array_join(F.array_sort(major), " ").alias("major"),
-        F.array_join(F.array_sort(minor), " ").alias("minor"),
+        F.array_join(major, " ").alias("major"),
+        F.array_join(minor, " ").alias("minor"),
     )
 
 

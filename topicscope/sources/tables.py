@@ -25,17 +25,20 @@ TABLES = (
 ORDER_LABELS = 10
 
 
-# Key of each table; a scan with fewer splits than the cluster has cores is
-# hash-partitioned on it (see ``read_table``).
+# Unique key of each table; a scan with fewer splits than the cluster has
+# cores is hash-partitioned on it (see ``read_table``).  Tables whose key
+# repeats (line items per order, turns per conversation) are spread round
+# robin instead, so that a key holding many rows cannot pile up in one task.
 TABLE_KEYS = {
     "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
-    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+    "orders": "o_orderkey", "events": "event_id",
     "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
-    "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+    "benchmark": "item_id", "labels": "doc_id",
 }
+ROUND_ROBIN = {"lineitem", "conversations"}
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition ``df`` on ``key`` when its scan has too few splits.
 
     A file written as one row group is read by one task, which leaves every
@@ -48,6 +51,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
+    if key is None:
+        return df.repartition(want)
     return df.repartition(want, F.col(key))
 
 
@@ -55,8 +60,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TABLE_KEYS.get(name)
-    return spread(df, key) if key else df
+    if name in TABLE_KEYS or name in ROUND_ROBIN:
+        return spread(df, TABLE_KEYS.get(name))
+    return df
 
 
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
