@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, remove_stop_words, tokenize
+from ..functions.text import ngrams, remove_stop_words, stop_word_list, tokenize
 from .common import top_k_per_group
 
 
@@ -37,9 +37,23 @@ def term_counts(
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """``doc_id, term, tf`` - raw counts of every analyzed term per document."""
-    # the token array is projected first so the n-gram lambda reads a column
-    toks = docs.select(F.col(id_col).alias("doc_id"), remove_stop_words(tokenize(text_col), stop_words).alias("_t"))
-    exploded = toks.select("doc_id", F.explode(ngrams("_t", ngram_range[0], ngram_range[1])).alias("term"))
+    lo, hi = ngram_range
+    if (lo, hi) == (1, 1):
+        # unigrams: explode first, then drop stop words with a set lookup in a
+        # code-generated filter (no per-array lambda)
+        exploded = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col)).alias("term"))
+        words = stop_word_list(stop_words)
+        if words:
+            exploded = exploded.filter(~F.col("term").isin(list(words)))
+    else:
+        # the token array is projected first so the n-gram lambda reads a column
+        toks = docs.select(
+            F.col(id_col).alias("doc_id"), remove_stop_words(tokenize(text_col), stop_words).alias("_t")
+        )
+        exploded = toks.select("doc_id", F.explode(ngrams("_t", lo, hi)).alias("term"))
+    # explicit non-null keys: the later joins would infer these filters on one
+    # branch only, and the two uses of ``tf`` would no longer share one shuffle
+    exploded = exploded.filter(F.col("doc_id").isNotNull() & F.col("term").isNotNull())
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

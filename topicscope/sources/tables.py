@@ -65,6 +65,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_MATERIALISED: dict = {}
+
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived view written once per session (``checkpoint`` into the shared
+    checkpoint directory) and then read like a stored table.
+
+    The derived views play the part of the stored article and prediction
+    tables; materialising them keeps every query from re-aggregating the line
+    items (the largest table) several times in one plan.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _MATERIALISED:
+        ensure_checkpoint_dir(spark)
+        _MATERIALISED[key] = build().checkpoint(eager=True)
+    return _MATERIALISED[key]
+
+
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order key: ``date_completed`` (last ship date), ``date_revised`` (first)."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -76,6 +96,10 @@ def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pmid, label, article_date, date_completed, date_revised``."""
+    return materialised(spark, sf_dir, "order_articles", lambda: _order_articles(spark, sf_dir))
+
+
+def _order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     dates = order_dates(spark, sf_dir)
     return o.join(dates, o["o_orderkey"] == dates["l_orderkey"], "left").select(
@@ -92,6 +116,10 @@ def order_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pmid, title, abstract, language, article_date, date_completed,
     date_revised, keywords_major, keywords_minor, label``."""
+    return materialised(spark, sf_dir, "articles_view", lambda: _articles_view(spark, sf_dir))
+
+
+def _articles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     o = read_table(spark, sf_dir, "orders")
     dates = order_dates(spark, sf_dir)
@@ -120,5 +148,8 @@ def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table over ``order_articles``: ``pmid, date, date_completed, label``."""
     from ..operators.trends import with_reconstructed_date
 
-    arts = order_articles(spark, sf_dir)
-    return with_reconstructed_date(arts).select("pmid", "date", "date_completed", "label")
+    def build():
+        arts = order_articles(spark, sf_dir)
+        return with_reconstructed_date(arts).select("pmid", "date", "date_completed", "label")
+
+    return materialised(spark, sf_dir, "predictions_view", build)
