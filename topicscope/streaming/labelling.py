@@ -16,9 +16,14 @@ def run_labelling_stream(
     model,
     table: str,
     checkpoint: str,
+    timeout: float | None = None,
 ) -> int:
     """Label every available article (``availableNow``) and stop; returns the
-    number of rows appended.  Articles already in ``table`` are skipped."""
+    number of rows appended.  Articles already in ``table`` are skipped.
+
+    With ``timeout`` (seconds) the stream is stopped between micro-batches once
+    the time is up; the checkpoint lets the next run continue where it ended.
+    """
     added = []
 
     def label(batch: DataFrame, batch_id: int) -> None:
@@ -35,5 +40,8 @@ def run_labelling_stream(
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
+        q.stop()
     return sum(added)
