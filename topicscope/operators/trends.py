@@ -46,9 +46,25 @@ def with_reconstructed_date(articles: DataFrame, offset: DataFrame | None = None
     )
 
 
+def _filled_series(pts, lo, hi, resolution: str):
+    """Explode a ``sequence`` of bucket starts, each with its count from the
+    ``pts`` map (0 when absent)."""
+    return F.explode(
+        F.transform(
+            spine(lo, hi, resolution),
+            lambda d: F.struct(d.alias("date"), F.coalesce(F.element_at(pts, d), F.lit(0)).cast("long").alias("articles")),
+        )
+    )
+
+
 def docs_per_day(articles: DataFrame, date_field: str = "date_completed") -> DataFrame:
     """Articles per calendar day of ``date_field``, zero-filled between the first
-    and the last day; rows without the date are not counted.  ``date, articles``."""
+    and the last day; rows without the date are not counted.  ``date, articles``.
+
+    The per-day counts (one row per calendar day, bounded by the calendar, not
+    by the corpus) are folded into one map and the zero-filled series is read
+    off a date sequence: one pass, no self-join.
+    """
     if date_field not in DATE_FIELDS:
         raise ValueError(f"Invalid date field: {date_field!r}; expected one of {DATE_FIELDS}")
     counts = (
@@ -57,11 +73,11 @@ def docs_per_day(articles: DataFrame, date_field: str = "date_completed") -> Dat
         .groupBy("date")
         .agg(F.count(F.lit(1)).alias("articles"))
     )
-    bounds = counts.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).filter(F.col("lo").isNotNull())
-    days = bounds.select(F.explode(spine(F.col("lo"), F.col("hi"), "day")).alias("date"))
-    return days.join(counts, "date", "left").select(
-        "date", F.coalesce(F.col("articles"), F.lit(0)).cast("long").alias("articles")
-    )
+    one = counts.agg(
+        F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("date", "articles"))).alias("pts"),
+    ).filter(F.col("lo").isNotNull())
+    return one.select(_filled_series(F.col("pts"), F.col("lo"), F.col("hi"), "day").alias("p")).select("p.*")
 
 
 def rank_days(per_day: DataFrame) -> DataFrame:
@@ -113,12 +129,18 @@ def label_trend(predictions: DataFrame, resolution: str, labels: Sequence[int] |
 
 
 def gap_fill(trend: DataFrame, resolution: str) -> DataFrame:
-    """Per label, add zero-count buckets between its first and last bucket."""
-    bounds = trend.groupBy("label").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    buckets = bounds.select("label", F.explode(spine(F.col("lo"), F.col("hi"), resolution)).alias("date"))
-    return buckets.join(trend, ["label", "date"], "left").select(
-        "label", "date", F.coalesce(F.col("articles"), F.lit(0)).cast("long").alias("articles")
+    """Per label, add zero-count buckets between its first and last bucket.
+
+    One group per label holding that label's buckets (bounded by the
+    calendar), folded into a map and read off the bucket sequence - a single
+    pass over the (small) histogram, no self-join.
+    """
+    per_label = trend.groupBy("label").agg(
+        F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("date", "articles"))).alias("pts"),
     )
+    out = per_label.select("label", _filled_series(F.col("pts"), F.col("lo"), F.col("hi"), resolution).alias("p"))
+    return out.select("label", "p.date", "p.articles")
 
 
 def trend_matrix(filled: DataFrame, labels: Sequence[int]) -> DataFrame:
@@ -126,14 +148,16 @@ def trend_matrix(filled: DataFrame, labels: Sequence[int]) -> DataFrame:
 
     Domain: the union of every chosen label's buckets; each chosen label gets a
     value on every date of the domain (a label without rows is all zeros).
-    Chosen labels are a short driver-side list, so the domain is expanded with
-    ``explode`` of a literal array, not a join.
+    One pivot on ``date`` with the chosen labels given up front (no extra job
+    to find them), then back to long form.
     """
     chosen = [int(x) for x in labels]
-    dates = filled.filter(F.col("label").isin(chosen)).select("date").distinct()
-    domain = dates.select("date", F.explode(F.array(*[F.lit(x) for x in chosen])).alias("label"))
-    return domain.join(filled, ["label", "date"], "left").select(
-        "date", "label", F.coalesce(F.col("articles"), F.lit(0)).cast("long").alias("articles")
+    if not chosen:
+        return filled.select("date", "label", "articles").limit(0)
+    wide = filled.filter(F.col("label").isin(chosen)).groupBy("date").pivot("label", chosen).agg(F.first("articles"))
+    cells = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"`{x}`").alias("articles")) for x in chosen])
+    return wide.select("date", F.explode(cells).alias("c")).select(
+        "date", F.col("c.label").alias("label"), F.coalesce(F.col("c.articles"), F.lit(0)).cast("long").alias("articles")
     )
 
 
