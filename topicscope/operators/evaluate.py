@@ -46,10 +46,12 @@ def _vec_div(a: Column, d: Column) -> Column:
     return F.transform(a, lambda x: x / d)
 
 
-def calinski_harabasz(points: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+def calinski_harabasz(
+    points: DataFrame, label_col: str = "label", vec_col: str = "embedding", stats: DataFrame | None = None
+) -> DataFrame:
     """One row ``calinski_harabasz``: between/within dispersion ratio; 1.0 when
     the within dispersion is zero."""
-    stats = cluster_stats(points, label_col, vec_col)
+    stats = stats if stats is not None else cluster_stats(points, label_col, vec_col)
     one = stats.agg(F.collect_list(F.struct("n", "s", "q")).alias("C"))
     zero = F.array_repeat(F.lit(0.0), F.size(F.col("C")[0]["s"]))
     one = (
@@ -78,11 +80,13 @@ def _centroid_map(stats: DataFrame) -> Column:
     ).scalar()
 
 
-def davies_bouldin(points: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+def davies_bouldin(
+    points: DataFrame, label_col: str = "label", vec_col: str = "embedding", stats: DataFrame | None = None
+) -> DataFrame:
     """One row ``davies_bouldin``: mean over clusters of the worst
     ``(S_i + S_j) / d(c_i, c_j)``; ``S`` = mean distance to the own centroid.
     Coinciding centroids contribute 0 (not infinity)."""
-    stats = cluster_stats(points, label_col, vec_col)
+    stats = stats if stats is not None else cluster_stats(points, label_col, vec_col)
     cmap = _centroid_map(stats)
     scatter = (
         points.select(F.col(label_col).alias("label"), as_double(vec_col).alias("v"))
@@ -109,14 +113,16 @@ def davies_bouldin(points: DataFrame, label_col: str = "label", vec_col: str = "
     return one.select(F.when(all_scatter_zero, F.lit(0.0)).otherwise(mean_score).alias("davies_bouldin"))
 
 
-def silhouette(points: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+def silhouette(
+    points: DataFrame, label_col: str = "label", vec_col: str = "embedding", stats: DataFrame | None = None
+) -> DataFrame:
     """One row ``silhouette``: mean silhouette with squared Euclidean distance.
 
     Mean squared distance from ``x`` to cluster ``c`` is
     ``|x|^2 + q_c / n_c - 2 x.s_c / n_c``; the own cluster is rescaled by
     ``n / (n - 1)`` to leave ``x`` out; singletons score 0.
     """
-    stats = cluster_stats(points, label_col, vec_col)
+    stats = stats if stats is not None else cluster_stats(points, label_col, vec_col)
     carr = stats.select(F.collect_list(F.struct("label", "n", "s", "q"))).scalar()
     p = (
         points.select(F.col(label_col).alias("label"), as_double(vec_col).alias("v"))
@@ -159,9 +165,12 @@ def evaluate_clusters(
     chosen = dict(SCORES) if scores is None else dict(scores)
     if not chosen:
         raise ValueError("no scores requested")
+    # the per-cluster statistics (k rows) are computed once and shared by the
+    # built-in scores
+    stats = cluster_stats(points, label_col, vec_col).checkpoint(eager=True)
     cols = []
     for name, fn in chosen.items():
-        r = fn(points, label_col, vec_col)
+        r = fn(points, label_col, vec_col, stats=stats) if fn in SCORES.values() else fn(points, label_col, vec_col)
         cols.append(r.select(F.col(r.columns[0])).scalar().alias(name))
     # each score is a one-row scalar subquery of the same one-row result
     return points.sparkSession.range(1).select(*cols)

@@ -225,7 +225,7 @@ def content_digest(spark, d):
 def corpus_counts(spark, d):
     from ..sources.tables import TABLES
 
-    return ST.row_counts({t: read_table(spark, d, t) for t in TABLES})
+    return ST.row_counts({t: read_table(spark, d, t, spread_small=False) for t in TABLES})
 
 
 def _ledger(spark, d):

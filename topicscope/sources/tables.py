@@ -59,11 +59,13 @@ def spread(df: DataFrame, key: str | None, min_partitions: int | None = None) ->
     return df.repartition(want, F.col(key))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+    """One of the parquet tables; ``spread_small=False`` for metadata-only or
+    I/O-bound reads (counts), which gain nothing from more tasks."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TABLE_KEYS or name in ROUND_ROBIN:
+    if spread_small and (name in TABLE_KEYS or name in ROUND_ROBIN):
         return spread(df, TABLE_KEYS.get(name))
     return df
 
