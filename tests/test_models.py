@@ -23,7 +23,8 @@ def model(spark, docs):
 
 def test_shapes(model, docs):
     n = docs.count()
-    assert model.components.shape[1] == 8
+    assert {len(r["v"]) for r in model.components.collect()} == {8}
+    assert model.components.count() == model.vocab.count()
     assert model.centers.shape == (4, 8)
     reduced = model.transform(docs, exclude_from="clustering")
     assert reduced.count() == n

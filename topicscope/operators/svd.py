@@ -2,30 +2,34 @@
 form ``(doc_id, idx, w)``.
 
 Randomized range finder with power iterations (Halko, Martinsson & Tropp,
-"Finding structure with randomness", 2011).  Every pass over the documents is
-a Spark job:
+"Finding structure with randomness", 2011), orthonormalised with Cholesky-QR
+so that every tall matrix stays distributed:
 
 * ``X @ Z``  (n x l): join the non-zeros with the rows of a d x l matrix on
   ``idx`` and sum per document (``Summarizer.sum``, partially aggregated);
 * ``X.T @ Y`` (d x l): join the non-zeros with the per-document rows on
   ``doc_id`` and sum per term;
-* ``Y.T @ Y`` (l x l): one vector-sum aggregate.
+* ``A.T @ A`` (l x l) for any tall ``A``: one vector-sum aggregate.
 
-Only d x l and l x l matrices (vocabulary x components, bounded by the model
-parameters) reach the driver, where the small QR / Cholesky / SVD steps run
-in NumPy.  The d x l matrix is joined as a DataFrame: broadcast when its size
-is under the broadcast threshold, shuffled otherwise.
+Only l x l matrices (l = components + oversampling) reach the driver, where
+the small eigen-decompositions run in NumPy; the d x l and d x k matrices are
+DataFrames of ``(idx, v array<double>)``, checkpointed between passes.  The
+random start matrix is generated on the executors from a hash of
+``(idx, column, seed)``, so it does not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest d x l matrix (in bytes) shipped as a broadcast join side.
+# Largest d x l matrix (in bytes) used as a broadcast join side.
 BROADCAST_MATRIX_BYTES = 256 * 1024 * 1024
 
 
@@ -35,42 +39,96 @@ def matrix_frame(spark: SparkSession, m: np.ndarray, key: str = "idx") -> DataFr
     return spark.createDataFrame(rows, f"{key} int, v array<double>")
 
 
-def _side(df: DataFrame, n_rows: int, width: int) -> DataFrame:
-    if n_rows * width * 8 <= BROADCAST_MATRIX_BYTES:
+def gaussian_frame(spark: SparkSession, d: int, width: int, seed: int) -> DataFrame:
+    """``(idx, v)``: a d x width standard normal matrix, generated per row from
+    hashes (Box-Muller), identical under any partitioning."""
+    two31 = float(2**31)
+
+    def unif(j: Column, salt: int) -> Column:
+        h = F.pmod(F.xxhash64(F.col("id"), j, F.lit(int(seed)), F.lit(salt)), F.lit(2**31))
+        return (h.cast("double") + F.lit(1.0)) / F.lit(two31 + 1.0)
+
+    v = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda j: F.sqrt(F.lit(-2.0) * F.log(unif(j, 1))) * F.cos(F.lit(2 * math.pi) * unif(j, 2)),
+    )
+    return spark.range(d).select(F.col("id").cast("int").alias("idx"), v.alias("v"))
+
+
+def _side(df: DataFrame, n_rows: int | None, width: int) -> DataFrame:
+    if n_rows is not None and n_rows * width * 8 <= BROADCAST_MATRIX_BYTES:
         return F.broadcast(df)
     return df
 
 
-def times_matrix(x: DataFrame, m: np.ndarray, spark: SparkSession) -> DataFrame:
-    """``X @ M`` -> ``(doc_id, y array<double>)``; documents with no non-zero
-    entry do not appear (their row is all zeros)."""
-    mf = _side(matrix_frame(spark, m), m.shape[0], m.shape[1])
+def times_matrix(x: DataFrame, m, spark: SparkSession, n_rows: int | None = None, width: int | None = None) -> DataFrame:
+    """``X @ M`` -> ``(doc_id, y array<double>)`` for ``M`` given as a NumPy
+    array or an ``(idx, v)`` DataFrame.  Documents with no non-zero entry do not
+    appear (their row is all zeros)."""
+    if isinstance(m, np.ndarray):
+        n_rows, width = m.shape
+        m = matrix_frame(spark, m)
+    mf = _side(m.select("idx", "v"), n_rows, width or 1)
     j = x.join(mf, "idx")
     scaled = F.transform("v", lambda e: e * F.col("w"))
     agg = j.groupBy("doc_id").agg(Summarizer.sum(array_to_vector(scaled)).alias("_y"))
     return agg.select("doc_id", vector_to_array("_y").alias("y"))
 
 
-def transpose_times(x: DataFrame, y: DataFrame, d: int, width: int) -> np.ndarray:
-    """``X.T @ Y`` as a dense d x width NumPy array (d = vocabulary size)."""
+def transpose_times(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``X.T @ Y`` -> ``(idx, v array<double>)`` (one row per term)."""
     j = x.join(y, "doc_id")
     scaled = F.transform("y", lambda e: e * F.col("w"))
     agg = j.groupBy("idx").agg(Summarizer.sum(array_to_vector(scaled)).alias("_z"))
-    out = np.zeros((d, width))
-    for r in agg.select("idx", vector_to_array("_z").alias("z")).toLocalIterator():
-        out[int(r["idx"])] = r["z"]
-    return out
+    return agg.select("idx", vector_to_array("_z").alias("v"))
+
 
+def gram(a: DataFrame, col: str, width: int) -> np.ndarray:
+    """``A.T @ A`` (width x width) of the rows of ``a[col]``.
+
+    Each task multiplies its rows as one NumPy block (Arrow batches) and emits
+    one partial width x width sum; the partial sums are added by a vector-sum
+    aggregate, so the result costs one small row per task.
+    """
 
-def gram(y: DataFrame, width: int) -> np.ndarray:
-    """``Y.T @ Y`` (width x width)."""
-    outer = F.flatten(F.transform("y", lambda a: F.transform("y", lambda b: a * b)))
-    row = y.agg(Summarizer.sum(array_to_vector(outer)).alias("g")).select(vector_to_array("g").alias("g")).first()
+    def partial(batches):
+        acc = np.zeros((width, width))
+        for pdf in batches:
+            vals = pdf[col].values
+            if len(vals):
+                block = np.vstack(vals).astype(np.float64)
+                acc += block.T @ block
+        yield pd.DataFrame({"g": [acc.ravel()]})
+
+    parts = a.select(col).mapInPandas(partial, "g array<double>")
+    row = parts.agg(Summarizer.sum(array_to_vector("g")).alias("g")).select(vector_to_array("g").alias("g")).first()
     if row is None or row["g"] is None:
         return np.zeros((width, width))
     return np.asarray(row["g"]).reshape(width, width)
 
 
+def project(a: DataFrame, col: str, m: np.ndarray, out: str) -> DataFrame:
+    """Each row vector times a small constant matrix ``m`` (width x r), as a
+    NumPy matrix product per Arrow batch."""
+    mat = np.asarray(m, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def times(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        prod = np.vstack(v.values).astype(np.float64) @ mat
+        return pd.Series(list(prod))
+
+    return a.withColumn(out, times(F.col(col)))
+
+
+def _inv_sqrt(g: np.ndarray) -> np.ndarray:
+    """``W`` with ``W.T G W = I`` on the numerically non-zero spectrum."""
+    evals, evecs = np.linalg.eigh(g)
+    keep = evals > max(float(evals.max()), 0.0) * 1e-12
+    return evecs[:, keep] / np.sqrt(evals[keep])
+
+
 def randomized_svd(
     x: DataFrame,
     d: int,
@@ -78,9 +136,10 @@ def randomized_svd(
     oversample: int = 10,
     n_iter: int = 5,
     seed: int = 0,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Top-``k`` right singular vectors ``V`` (d x k) and singular values of
-    ``X`` given as long form ``(doc_id, idx, w)`` with ``0 <= idx < d``.
+) -> tuple[DataFrame, np.ndarray]:
+    """Top-``k`` right singular vectors ``V`` as a DataFrame ``(idx, v)`` (d rows,
+    ``v`` of length k) and the singular values, of ``X`` given as long form
+    ``(doc_id, idx, w)`` with ``0 <= idx < d``.
 
     Signs are fixed so that the largest-magnitude entry of every singular
     vector is positive.
@@ -88,29 +147,34 @@ def randomized_svd(
     spark = x.sparkSession
     k = int(min(k, d))
     width = int(min(d, k + oversample))
-    rng = np.random.default_rng(seed)
-    z = rng.standard_normal((d, width))
     x = x.select("doc_id", F.col("idx").cast("int").alias("idx"), F.col("w").cast("double").alias("w"))
+    z = gaussian_frame(spark, d, width, seed)
     for _ in range(n_iter):
-        y = times_matrix(x, z, spark)
-        z, _ = np.linalg.qr(transpose_times(x, y, d, width))
-    y = times_matrix(x, z, spark)
-    g = gram(y, width)
-    # Q = Y R^-1 with G = R^T R; B = Q^T X = R^-T (X^T Y)^T
-    evals, evecs = np.linalg.eigh(g)
-    keep = evals > max(evals.max(), 0.0) * 1e-12
-    if not keep.any():
-        return np.zeros((d, k)), np.zeros(k)
-    # numerically safer than Cholesky: G^-1/2 on the kept spectrum
-    w_half = evecs[:, keep] / np.sqrt(evals[keep])
-    c = transpose_times(x, y, d, width)  # d x width
-    b = w_half.T @ c.T  # r x d, rows orthonormal-basis coefficients
-    _, s, vt = np.linalg.svd(b, full_matrices=False)
-    v = vt[:k].T
-    s = s[:k]
-    if v.shape[1] < k:
-        v = np.hstack([v, np.zeros((d, k - v.shape[1]))])
-        s = np.concatenate([s, np.zeros(k - len(s))])
-    signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])
-    signs[signs == 0] = 1.0
-    return v * signs, s
+        c = transpose_times(x, times_matrix(x, z, spark, d, width)).checkpoint(eager=True)
+        w = _inv_sqrt(gram(c, "v", width))
+        width = w.shape[1]
+        z = project(c, "v", w, "_z").select("idx", F.col("_z").alias("v")).checkpoint(eager=True)
+    y = times_matrix(x, z, spark, d, width).checkpoint(eager=True)
+    wy = _inv_sqrt(gram(y, "y", width))  # Q = Y wy has orthonormal columns
+    c = transpose_times(x, y)
+    bt = project(c, "v", wy, "_b").select("idx", F.col("_b").alias("b")).checkpoint(eager=True)  # B^T = X^T Q
+    r = wy.shape[1]
+    lam, u = np.linalg.eigh(gram(bt, "b", r))  # B B^T = U diag(s^2) U^T
+    order = np.argsort(lam)[::-1][:k]
+    s = np.sqrt(np.clip(lam[order], 0.0, None))
+    keep = s > (s[0] if len(s) else 0.0) * 1e-12
+    u_k = u[:, order][:, keep] / s[keep]
+    v = project(bt, "b", u_k, "_v").select("idx", F.col("_v").alias("v"))
+    kk = u_k.shape[1]
+    # sign of the largest-magnitude entry of each column (k values to the driver)
+    ext = v.agg(*[F.max_by(F.col("v")[j], F.abs(F.col("v")[j])).alias(f"m{j}") for j in range(kk)]).first()
+    signs = np.array([1.0 if (ext[f"m{j}"] or 0.0) >= 0 else -1.0 for j in range(kk)])
+    if kk < k:
+        signs = np.concatenate([signs, np.ones(k - kk)])
+        s = np.concatenate([s[keep], np.zeros(k - kk)])
+    else:
+        s = s[keep]
+    lit_signs = F.array(*[F.lit(float(x)) for x in signs])
+    pad = F.array_repeat(F.lit(0.0), k - kk)
+    v = v.select("idx", F.zip_with(F.concat("v", pad), lit_signs, lambda a, b: a * b).alias("v"))
+    return v.checkpoint(eager=True), s

@@ -54,15 +54,17 @@ class EmbeddingTopicModel:
             n_name_words=int(n_name_words),
             random_state=int(random_state),
         )
-        self.components: np.ndarray | None = None
+        self.components: DataFrame | None = None  # idx, v
+        self._d = 0
+        self._k = 0
         self.topic_vectors: DataFrame | None = None  # label, center (original space)
         self.names: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def _reduce(self, vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
         x = _long_form(vectors, id_col, vec_col)
-        k = self.components.shape[1]
-        y = times_matrix(x, self.components, vectors.sparkSession)
+        k = self._k
+        y = times_matrix(x, self.components, vectors.sparkSession, self._d, k)
         zero = F.array_repeat(F.lit(0.0), k)
         return vectors.select(F.col(id_col).alias("doc_id")).join(y, "doc_id", "left").select(
             "doc_id", F.transform(F.coalesce("y", zero), lambda v: F.nanvl(v, F.lit(0.0))).alias("vector")
@@ -74,7 +76,8 @@ class EmbeddingTopicModel:
         vectors = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
         d = len(vectors.select("embedding").first()["embedding"])
         x = _long_form(vectors, "doc_id", "embedding").checkpoint(eager=True)
-        self.components, _ = randomized_svd(x, d, min(c["n_components"], d), seed=c["random_state"])
+        self._d, self._k = d, min(c["n_components"], d)
+        self.components, _ = randomized_svd(x, d, self._k, seed=c["random_state"])
         reduced = self._reduce(vectors).checkpoint(eager=True)
         cell = c["cell_size"] or default_cell_size(reduced)
         self.config["cell_size"] = cell

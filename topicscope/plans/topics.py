@@ -74,7 +74,8 @@ class TfidfTopicModel:
             max_iter=int(max_iter),
         )
         self.vocab: DataFrame | None = None  # term, idx, idf
-        self.components: np.ndarray | None = None  # d x k
+        self.components: DataFrame | None = None  # idx, v (d rows, k values)
+        self.n_terms = 0
         self.centers: np.ndarray | None = None  # c x k
         self.names: DataFrame | None = None  # label, name
 
@@ -91,9 +92,13 @@ class TfidfTopicModel:
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
         return w.select("doc_id", "idx", (F.col("w") / norm).alias("w"))
 
+    @property
+    def n_components(self) -> int:
+        return int(self.centers.shape[1]) if self.centers is not None else int(self._k)
+
     def _reduce(self, docs: DataFrame, x: DataFrame) -> DataFrame:
-        k = self.components.shape[1]
-        y = times_matrix(x, self.components, docs.sparkSession)
+        k = self._k
+        y = times_matrix(x, self.components, docs.sparkSession, self.n_terms, k)
         zero = F.array_repeat(F.lit(0.0), k)
         return docs.select("doc_id").join(y, "doc_id", "left").select(
             "doc_id", F.coalesce(F.col("y"), zero).alias("vector")
@@ -125,6 +130,7 @@ class TfidfTopicModel:
         # the document-term matrix is read by every SVD pass: written once
         x = self._vectorize(docs).checkpoint(eager=True)
         k = min(c["n_components"], d)
+        self.n_terms, self._k = d, k
         self.components, self.singular_values = randomized_svd(x, d, k, seed=c["random_state"])
         reduced = self._reduce(docs, x).checkpoint(eager=True)
         km = KMeans(k=c["n_clusters"], seed=c["random_state"], maxIter=c["max_iter"], featuresCol="features")
@@ -210,8 +216,7 @@ class TfidfTopicModel:
             )
         if "model" in parts:
             self.vocab.write.mode(mode).parquet(f"{path}/vocab")
-            comp = [(int(i), [float(x) for x in row]) for i, row in enumerate(self.components)]
-            spark.createDataFrame(comp, "idx int, v array<double>").write.mode(mode).parquet(f"{path}/components")
+            self.components.write.mode(mode).parquet(f"{path}/components")
             self.centres_frame(spark).write.mode(mode).parquet(f"{path}/centers")
         if "names" in parts:
             self.names.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/names")
@@ -222,10 +227,11 @@ class TfidfTopicModel:
         cfg["ngram_range"] = tuple(cfg["ngram_range"])
         m = cls(**cfg)
         m.vocab = spark.read.parquet(f"{path}/vocab")
-        comp = spark.read.parquet(f"{path}/components").orderBy("idx").collect()
-        m.components = np.array([r["v"] for r in comp])
+        m.components = spark.read.parquet(f"{path}/components")
         cen = spark.read.parquet(f"{path}/centers").orderBy("label").collect()
         m.centers = np.array([r["center"] for r in cen])
+        m._k = int(m.centers.shape[1])
+        m.n_terms = m.vocab.count()
         m.names = spark.read.option("header", True).schema("label int, name string").csv(f"{path}/names")
         return m
 
@@ -265,4 +271,5 @@ class EntityTopicModel(TfidfTopicModel):
         cfg["ngram_range"] = tuple(cfg["ngram_range"])
         m = cls(dictionary=spark.read.parquet(f"{path}/dictionary"), max_entity_len=max_len, **cfg)
         m.vocab, m.components, m.centers, m.names = base.vocab, base.components, base.centers, base.names
+        m._k, m.n_terms = base._k, base.n_terms
         return m
