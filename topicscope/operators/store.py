@@ -66,6 +66,15 @@ def create_table_if_absent(spark: SparkSession, name: str, schema: str, path: st
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{loc}")
 
 
+PREDICTIONS_SCHEMA = "pmid bigint, date date, date_completed date, label int"
+
+
+def ensure_predictions_table(spark: SparkSession, name: str, path: str | None = None) -> None:
+    """Create the prediction table (explicit schema, partitioned by label) if absent."""
+    loc = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PREDICTIONS_SCHEMA}) USING parquet PARTITIONED BY (label){loc}")
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 

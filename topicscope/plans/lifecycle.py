@@ -20,6 +20,13 @@ def predictions_table_name(source: str, model_name: str) -> str:
     return f"{source}_{model_name}_predictions"
 
 
+def sample_cache_path(base: str, source: str, n_samples: int, method: str, seed: int | None,
+                      combine_kwargs: dict | None = None) -> str:
+    """Cache location keyed by every parameter that changes the sample."""
+    flags = "-".join(f"{k}={int(bool(v))}" for k, v in sorted((combine_kwargs or {}).items())) or "default"
+    return f"{base.rstrip('/')}/{source}/n={int(n_samples)}/method={method}/seed={seed}/flags={flags}"
+
+
 def training_sample(
     spark: SparkSession,
     articles: DataFrame,

@@ -56,3 +56,26 @@ def pivot_wide(trend: DataFrame, labels: Sequence[int]) -> DataFrame:
     for lab in labels:
         wide = wide.withColumnRenamed(str(int(lab)), f"count_{int(lab)}")
     return wide.na.fill(0).orderBy("date")
+
+
+def generate_figure(
+    model,
+    query: str,
+    resolution: str,
+    articles: DataFrame,
+    predictions_table: str,
+    distance: str = "cosine",
+    closest_n: int = 4,
+    ignore_top_n_dates: int = 0,
+) -> DataFrame:
+    """Named plot series for a text query: empty without a query; a missing
+    prediction table is an error."""
+    spark = articles.sparkSession
+    if not query:
+        return spark.createDataFrame([], "label int, name string, x array<date>, y array<bigint>")
+    if not spark.catalog.tableExists(predictions_table):
+        raise ValueError(f"Predictions table {predictions_table} does not exist")
+    trend = model.generate_trends(
+        query, resolution, articles, spark.table(predictions_table), distance, closest_n, ignore_top_n_dates
+    )
+    return figure(trend, model.names)
