@@ -28,6 +28,7 @@ from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import trends as TR
 from ..operators import vectors as V
+from ..operators.sampling import scan_positions
 from ..operators.svd import randomized_svd, times_matrix
 from ..session import ensure_checkpoint_dir
 
@@ -118,12 +119,11 @@ class TfidfTopicModel:
         n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
         tf = self._term_counts(docs)
         kept = FE.pruned_vocab(FE.doc_freq(tf), n_docs, c["min_df"], c["max_df"])
-        # the vocabulary is bounded by (terms per document / min_df); one
-        # ordered pass numbers it
-        vocab = kept.select(
-            "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "idf"
-        )
-        self.vocab = vocab.checkpoint(eager=True)
+        # term indices 0..d-1 in term order, numbered with distributed scan
+        # positions (range partitioning + per-partition offsets): with an
+        # absolute min_df the vocabulary grows with the corpus
+        numbered = scan_positions(kept.select("term", "idf"), "term")
+        self.vocab = numbered.select("term", F.col("pos").cast("int").alias("idx"), "idf").checkpoint(eager=True)
         d = self.vocab.count()
         if d == 0:
             raise ValueError("empty vocabulary after pruning")

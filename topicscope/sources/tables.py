@@ -94,7 +94,8 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build, partition_b
             w = w.partitionBy(partition_by)
         w.parquet(path)
         _MATERIALISED[key] = path
-    return spark.read.parquet(_MATERIALISED[key])
+    # a small view may have been written as a single file: spread it like a table scan
+    return spread(spark.read.parquet(_MATERIALISED[key]), "pmid")
 
 
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
