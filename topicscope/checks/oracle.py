@@ -351,6 +351,31 @@ def _sql() -> dict[str, str]:
                               "FROM events GROUP BY ALL")
     q["event_trend_month"] = ("SELECT event_type AS label, CAST(date_trunc('month', ts) AS DATE) AS date, COUNT(*) AS articles "
                               "FROM events GROUP BY ALL")
+    # greedy longest-match entity extraction: a recursive walk from one chosen
+    # match to the first match starting at or after its end
+    q["entity_text"] = (
+        'WITH RECURSIVE\n'
+        f"btok AS (SELECT regexp_extract_all(lower(text), '{TOKEN_PATTERN}') AS t FROM benchmark),\n"
+        'bpos AS (SELECT t, unnest(range(len(t))) AS s FROM btok),\n'
+        "bm AS (SELECT DISTINCT array_to_string(t[s + 1:s + n], ' ') AS phrase\n"
+        '       FROM bpos, (VALUES (2), (3)) q(n) WHERE s + n <= len(t)),\n'
+        f"toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_PATTERN}') AS t FROM documents),\n"
+        'tpos AS (SELECT doc_id, t, unnest(range(len(t))) AS s FROM toks),\n'
+        "cand AS (SELECT doc_id, s AS start, n, array_to_string(t[s + 1:s + n], ' ') AS phrase\n"
+        '         FROM tpos, (VALUES (1), (2), (3)) q(n) WHERE s + n <= len(t)),\n'
+        'm AS (SELECT c.doc_id, c.start, MAX(c.n) AS n FROM cand c JOIN bm USING (phrase) GROUP BY ALL),\n'
+        'walk(doc_id, start, n, endpos) AS (\n'
+        '  SELECT doc_id, start, n, start + n FROM m\n'
+        '  WHERE start = (SELECT MIN(m2.start) FROM m m2 WHERE m2.doc_id = m.doc_id)\n'
+        '  UNION ALL\n'
+        '  SELECT m.doc_id, m.start, m.n, m.start + m.n FROM walk w JOIN m ON m.doc_id = w.doc_id\n'
+        '  AND m.start = (SELECT MIN(m2.start) FROM m m2 WHERE m2.doc_id = w.doc_id AND m2.start >= w.endpos)\n'
+        '),\n'
+        "picked AS (SELECT w.doc_id, w.start, array_to_string(t.t[w.start + 1:w.start + w.n], ' ') AS phrase\n"
+        '           FROM walk w JOIN toks t USING (doc_id))\n'
+        "SELECT d.doc_id, COALESCE(p.text, '') AS text FROM documents d\n"
+        "LEFT JOIN (SELECT doc_id, string_agg(phrase, ' ' ORDER BY start) AS text FROM picked GROUP BY doc_id) p USING (doc_id)\n"
+    )
     return q
 
 

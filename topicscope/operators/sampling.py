@@ -74,6 +74,7 @@ def sample(
     cols = df.columns
     if method == "forward":
         if n <= TAKE_ORDERED_MAX:
+            # the window below sees at most TAKE_ORDERED_MAX rows (after the limit)
             top = df.orderBy(key).limit(n)
             return top.select(
                 (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("pos"), *cols

@@ -571,7 +571,6 @@ def doc_vector_trends(spark, d):
 # Model-dependent queries: no exact SQL twin (checked for rows plus pytest
 # invariants).
 ROWS_ONLY: tuple[str, ...] = (
-    "entity_text",
     "entity_topics",
     "density_topics",
     "embedding_topic_names",
@@ -654,6 +653,8 @@ QUERIES: dict[str, Builder] = {
     # streaming trend, batch twin
     "event_trend_daily": event_trend_daily,
     "event_trend_month": event_trend_month,
+    # gazetteer entities (SQL twin: a recursive walk)
+    "entity_text": entity_text,
     # topic model (rows-only)
     **{name: globals()[name] for name in ROWS_ONLY},
 }
