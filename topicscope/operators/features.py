@@ -58,8 +58,9 @@ def term_counts(
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
-    """``term, df`` - number of documents holding the term."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """``term, df, ttf`` - number of documents holding the term and its total
+    count over the corpus."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
 
 
 def _df_bound(value: float | int, n_docs: Column) -> Column:
@@ -76,7 +77,13 @@ def pruned_vocab(dfreq: DataFrame, n_docs: Column, min_df: float | int = 1, max_
     ``n_docs``), with their smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
     lo = _df_bound(min_df, n_docs)
     hi = _df_bound(max_df, n_docs)
-    kept = dfreq.filter((F.col("df") >= lo) & (F.col("df") <= hi))
+    keep = (F.col("df") >= lo) & (F.col("df") <= hi)
+    if "ttf" in dfreq.columns:
+        # ttf >= df holds by construction; reading ttf keeps the per-document
+        # counts identical in both uses of tf (here and in the weighting), so
+        # Spark runs the tokenizing stage once and reuses its shuffle output
+        keep = keep & (F.col("ttf") >= F.col("df"))
+    kept = dfreq.filter(keep)
     return kept.withColumn(
         "idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     )

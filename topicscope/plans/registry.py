@@ -313,7 +313,7 @@ def ngrams(spark, d):
 
 
 def term_doc_freq(spark, d):
-    return FE.doc_freq(FE.term_counts(_docs(spark, d), stop_words="english"))
+    return FE.doc_freq(FE.term_counts(_docs(spark, d), stop_words="english")).select("term", "df")
 
 
 def df_pruned_vocab(spark, d):
