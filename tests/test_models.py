@@ -106,6 +106,21 @@ def test_precompute_cap_and_no_repeat(spark, model, scratch):
     assert set(trend.columns) == {"date", "label", "articles"}
 
 
+def test_precompute_batches_and_timeout(spark, model):
+    from topicscope.plans.precompute import precompute_predictions
+    from topicscope.sources.tables import articles_view
+
+    arts = articles_view(spark, SF_SMALL).drop("label")
+    spark.sql("DROP TABLE IF EXISTS preds_batched")
+    # a zero timeout stops after the first round
+    assert precompute_predictions(spark, model, arts, "preds_batched", batch_size=40, timeout=0) == 40
+    n = precompute_predictions(spark, model, arts, "preds_batched", batch_size=70, max_new=100)
+    assert n == 100
+    rest = precompute_predictions(spark, model, arts, "preds_batched", batch_size=1000)
+    assert 40 + n + rest == arts.count()
+    assert precompute_predictions(spark, model, arts, "preds_batched", overwrite=True) == arts.count()
+
+
 def test_labelling_stream_twice_adds_nothing(spark, model, scratch):
     from topicscope.sources.tables import articles_view
     from topicscope.streaming.labelling import run_labelling_stream

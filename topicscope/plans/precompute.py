@@ -63,14 +63,41 @@ def precompute_predictions(
     method: str = "forward",
     overwrite: bool = False,
     seed: int = 0,
+    batch_size: int | None = None,
+    timeout: float | None = None,
 ) -> int:
-    """Label unpredicted articles into ``table``; returns the number added."""
-    existing = None
-    if spark.catalog.tableExists(table) and not overwrite:
-        existing = spark.table(table)
-    new = new_predictions(model, articles, existing, max_new, method, seed)
-    # stage the rows first: the write must not read the table it replaces/extends
-    staged = new.checkpoint(eager=True)
-    n = staged.count()
-    staged.write.mode("overwrite" if (overwrite or existing is None) else "append").saveAsTable(table)
-    return n
+    """Label unpredicted articles into ``table``; returns the number added.
+
+    Without ``batch_size`` this is one job.  With ``batch_size`` the work is
+    done in rounds of at most that many articles (each round anti-joins
+    against what is already in the table), stopping when nothing is left,
+    ``max_new`` is reached or ``timeout`` seconds have passed - checked
+    between rounds.  For continuous or very large runs use the labelling
+    stream (``streaming.labelling``), which tracks progress in its checkpoint
+    instead of re-scanning.
+    """
+    import time
+
+    start = time.monotonic()
+    replace = overwrite  # the first round replaces the table (after its rows are staged)
+    total = 0
+    while True:
+        existing = spark.table(table) if (spark.catalog.tableExists(table) and not replace) else None
+        cap = max_new - total if max_new is not None else None
+        if batch_size is not None:
+            cap = batch_size if cap is None else min(cap, batch_size)
+        if cap is not None and cap <= 0:
+            break
+        new = new_predictions(model, articles, existing, cap, method, seed)
+        # stage the rows first: the write must not read the table it extends
+        staged = new.checkpoint(eager=True)
+        n = staged.count()
+        if n or replace:
+            staged.write.mode("append" if existing is not None else "overwrite").saveAsTable(table)
+        replace = False
+        total += n
+        if batch_size is None or n == 0:
+            break
+        if timeout is not None and time.monotonic() - start >= timeout:
+            break
+    return total
