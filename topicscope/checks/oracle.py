@@ -210,7 +210,7 @@ def _sql() -> dict[str, str]:
     q["name_trends"] = (f"WITH {BASE}, {tm_fixed}, {NAMES} SELECT tm.label, tm.date, tm.articles, names.name "
                         "FROM tm LEFT JOIN names USING (label)")
     q["trend_series"] = (f"WITH {BASE}, {tm_fixed}, {NAMES}, nt AS (SELECT tm.label, tm.date, tm.articles, names.name "
-                         "FROM tm LEFT JOIN names USING (label)) SELECT label, name, list(date ORDER BY date) AS x, "
+                         "FROM tm LEFT JOIN names USING (label)) SELECT label, name, 'line' AS type, list(date ORDER BY date) AS x, "
                          "list(articles ORDER BY date) AS y FROM nt GROUP BY label, name")
     chosen = (f"SELECT label FROM cl ORDER BY 1 - list_cosine_similarity(center, {_vec(R.QUERY_VECTOR)}), label "
               f"LIMIT {R.CLOSEST_N}")

@@ -167,14 +167,15 @@ def name_trends(trend: DataFrame, names: DataFrame, names_bound: int | None = No
 
 
 def trend_series(named: DataFrame) -> DataFrame:
-    """One plot series per label: ``label, name, x array<date>, y array<bigint>``
-    in date order."""
+    """One plot series per label: ``label, name, type, x array<date>, y
+    array<bigint>`` in date order (``type`` is the plot type, ``line``)."""
     grouped = named.groupBy("label", "name").agg(
         F.array_sort(F.collect_list(F.struct("date", "articles"))).alias("pts")
     )
     return grouped.select(
         "label",
         "name",
+        F.lit("line").alias("type"),
         F.transform("pts", lambda p: p["date"]).alias("x"),
         F.transform("pts", lambda p: p["articles"]).alias("y"),
     )

@@ -15,7 +15,6 @@ the topic vector.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession

@@ -45,8 +45,8 @@ def trends_for_vector(
 
 
 def figure(trend: DataFrame, names: DataFrame) -> DataFrame:
-    """Plot series: ``label, name, x, y`` (the ``[]`` result of an empty query is
-    an empty DataFrame)."""
+    """Plot series: ``label, name, type, x, y`` (the ``[]`` result of an empty
+    query is an empty DataFrame)."""
     return TR.trend_series(TR.name_trends(trend, names))
 
 
@@ -72,7 +72,7 @@ def generate_figure(
     prediction table is an error."""
     spark = articles.sparkSession
     if not query:
-        return spark.createDataFrame([], "label int, name string, x array<date>, y array<bigint>")
+        return spark.createDataFrame([], "label int, name string, type string, x array<date>, y array<bigint>")
     if not spark.catalog.tableExists(predictions_table):
         raise ValueError(f"Predictions table {predictions_table} does not exist")
     trend = model.generate_trends(
