@@ -63,3 +63,23 @@ def test_import_stream_runs_each_file_once(spark, scratch):
     assert run_import_stream(spark, data, store, ckpt, max_files_per_trigger=2) == 2
     assert store.read().count() == 3
     assert run_import_stream(spark, data, store, ckpt) == 0
+
+
+def test_bucketed_store_rewrites_only_touched_buckets(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from topicscope.plans.ingest import BucketedCorpusStore
+
+    store = BucketedCorpusStore(spark, os.path.join(scratch, "corpus"), bucket_width=10)
+    first = spark.createDataFrame([(i, f"a{i}") for i in range(0, 30)], "pmid long, title string")
+    assert store.upsert(first) == 3
+    before = {r["pmid_bucket"]: r["n"] for r in store.read().groupBy("pmid_bucket").agg(F.count("*").alias("n")).collect()}
+    assert before == {0: 10, 1: 10, 2: 10}
+    # an update of pmid 5 and a new pmid 35: buckets 0 and 3 only
+    upd = spark.createDataFrame([(5, "b5"), (35, "b35")], "pmid long, title string")
+    assert store.upsert(upd) == 2
+    df = store.read()
+    assert df.count() == 31
+    assert df.filter("pmid = 5").first()["title"] == "b5"
+    assert df.filter("pmid = 15").first()["title"] == "a15"
+    assert df.filter("pmid = 15").first()["load_seq"] == 0
