@@ -196,6 +196,7 @@ def _sql() -> dict[str, str]:
                           "CAST(date_completed AS TIMESTAMP) AS completed_ts, CAST(date_revised AS TIMESTAMP) AS revised_ts FROM oa")
     q["docs_per_day"] = f"WITH {OD}, {OA}, {_dpd()} SELECT date, articles FROM dpd"
     q["docs_per_article_day"] = f"WITH {OD}, {OA}, {_dpd('article_date')} SELECT date, articles FROM dpd"
+    q["docs_per_revised_day"] = f"WITH {OD}, {OA}, {_dpd('date_revised')} SELECT date, articles FROM dpd"
     q["rank_days"] = (f"WITH {OD}, {OA}, {_dpd()} SELECT date, articles, "
                       "CAST(row_number() OVER (ORDER BY articles DESC, date) AS INTEGER) AS rank FROM dpd")
     q["top_spike_dates"] = f"WITH {OD}, {OA}, {_dpd()}, {SPIKES} SELECT date FROM spikes"
@@ -207,6 +208,11 @@ def _sql() -> dict[str, str]:
                              "SELECT label, date, articles FROM filled")
     tm_fixed = _trend_matrix_ctes(_fixed_labels_sql(R.TREND_LABELS))
     q["trend_matrix"] = f"WITH {BASE}, {tm_fixed} SELECT date, label, articles FROM tm"
+    wide_cols = ", ".join(
+        f"CAST(COALESCE(MAX(CASE WHEN label = {int(x)} THEN articles END), 0) AS BIGINT) AS count_{int(x)}"
+        for x in R.TREND_LABELS
+    )
+    q["trend_matrix_wide"] = f"WITH {BASE}, {tm_fixed} SELECT date, {wide_cols} FROM tm GROUP BY date"
     q["name_trends"] = (f"WITH {BASE}, {tm_fixed}, {NAMES} SELECT tm.label, tm.date, tm.articles, names.name "
                         "FROM tm LEFT JOIN names USING (label)")
     q["trend_series"] = (f"WITH {BASE}, {tm_fixed}, {NAMES}, nt AS (SELECT tm.label, tm.date, tm.articles, names.name "
@@ -330,6 +336,11 @@ def _sql() -> dict[str, str]:
         "SELECT label, round(distance, 6) AS distance, CAST(row_number() OVER (ORDER BY distance, label) AS INTEGER) AS rank "
         f"FROM s ORDER BY distance, label LIMIT {R.NEAREST_N}"
     )
+    q["nearest_topics_euclidean"] = (
+        f"WITH {EX}, {CEN}, s AS (SELECT label, list_distance(center, {_vec(R.QUERY_VECTOR)}) AS distance FROM cl) "
+        "SELECT label, round(distance, 6) AS distance, CAST(row_number() OVER (ORDER BY distance, label) AS INTEGER) AS rank "
+        f"FROM s ORDER BY distance, label LIMIT {R.NEAREST_N}"
+    )
     q["similar_topics"] = (
         f"WITH {EX}, {CEN}, s AS (SELECT label, list_cosine_similarity(center, {_vec(R.QUERY_VECTOR)}) AS similarity FROM cl "
         "WHERE label <> -1) SELECT label, round(similarity, 6) AS similarity, "

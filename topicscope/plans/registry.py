@@ -77,6 +77,10 @@ def docs_per_article_day(spark, d):
     return TR.docs_per_day(order_articles(spark, d), "article_date")
 
 
+def docs_per_revised_day(spark, d):
+    return TR.docs_per_day(order_articles(spark, d), "date_revised")
+
+
 def rank_days(spark, d):
     return TR.rank_days(TR.docs_per_day(order_articles(spark, d), "date_completed"))
 
@@ -113,6 +117,12 @@ def _topic_names(spark, d):
     return FE.cluster_names(FE.cluster_term_weights(w, docs), 3, ", ")
 
 
+def trend_matrix_wide(spark, d):
+    from .trends import pivot_wide
+
+    return pivot_wide(trend_matrix(spark, d), TREND_LABELS)
+
+
 def name_trends(spark, d):
     trend = trend_matrix(spark, d)
     return TR.name_trends(trend, _topic_names(spark, d))
@@ -394,6 +404,11 @@ def nearest_topics(spark, d):
     return out.select("label", _r(F.col("distance")).alias("distance"), "rank")
 
 
+def nearest_topics_euclidean(spark, d):
+    out = V.nearest_topics(_centres(spark, d), QUERY_VECTOR, NEAREST_N, kind="euclidean")
+    return out.select("label", _r(F.col("distance")).alias("distance"), "rank")
+
+
 def similar_topics(spark, d):
     out = V.similar_topics(_centres(spark, d), QUERY_VECTOR, NEAREST_N)
     return out.select("label", _r(F.col("similarity")).alias("similarity"), "rank")
@@ -594,12 +609,14 @@ QUERIES: dict[str, Builder] = {
     "extract_dates": extract_dates,
     "docs_per_day": docs_per_day,
     "docs_per_article_day": docs_per_article_day,
+    "docs_per_revised_day": docs_per_revised_day,
     "rank_days": rank_days,
     "top_spike_dates": top_spike_dates,
     "drop_spike_dates": drop_spike_dates,
     **{f"label_trend_{r}": _label_trend(r) for r in ("day", "week", "month", "quarter", "year")},
     "gap_filled_trend": gap_filled_trend,
     "trend_matrix": trend_matrix,
+    "trend_matrix_wide": trend_matrix_wide,
     "name_trends": name_trends,
     "trend_series": trend_series,
     "trends_for_query": trends_for_query,
@@ -644,6 +661,7 @@ QUERIES: dict[str, Builder] = {
     "cosine_topk": cosine_topk,
     "euclidean_topk": euclidean_topk,
     "nearest_topics": nearest_topics,
+    "nearest_topics_euclidean": nearest_topics_euclidean,
     "similar_topics": similar_topics,
     "predict_within_radius": predict_within_radius,
     "calinski_harabasz": calinski_harabasz,
