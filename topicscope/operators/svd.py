@@ -6,7 +6,8 @@ Randomized range finder with power iterations (Halko, Martinsson & Tropp,
 so that every tall matrix stays distributed:
 
 * ``X @ Z``  (n x l): join the non-zeros with the rows of a d x l matrix on
-  ``idx`` and sum per document (``Summarizer.sum``, partially aggregated);
+  ``idx`` and sum per document (one code-generated ``sum`` per component,
+  partially aggregated);
 * ``X.T @ Y`` (d x l): join the non-zeros with the per-document rows on
   ``doc_id`` and sum per term;
 * ``A.T @ A`` (l x l) for any tall ``A``: one vector-sum aggregate.
@@ -70,17 +71,24 @@ def times_matrix(x: DataFrame, m, spark: SparkSession, n_rows: int | None = None
         m = matrix_frame(spark, m)
     mf = _side(m.select("idx", "v"), n_rows, width or 1)
     j = x.join(mf, "idx")
-    scaled = F.transform("v", lambda e: e * F.col("w"))
-    agg = j.groupBy("doc_id").agg(Summarizer.sum(array_to_vector(scaled)).alias("_y"))
-    return agg.select("doc_id", vector_to_array("_y").alias("y"))
+    return _sum_rows(j, "doc_id", "v", width, "y")
 
 
-def transpose_times(x: DataFrame, y: DataFrame) -> DataFrame:
+def _sum_rows(j: DataFrame, key: str, vec: str, width: int | None, out: str) -> DataFrame:
+    """``sum(w * vec)`` per ``key``.  With a known width: one code-generated
+    ``sum`` per component (plain doubles in the aggregation buffer); otherwise
+    a vector-sum aggregate."""
+    if width:
+        agg = j.groupBy(key).agg(*[F.sum(F.col(vec)[i] * F.col("w")).alias(f"_s{i}") for i in range(width)])
+        return agg.select(key, F.array(*[F.col(f"_s{i}") for i in range(width)]).alias(out))
+    scaled = F.transform(vec, lambda e: e * F.col("w"))
+    agg = j.groupBy(key).agg(Summarizer.sum(array_to_vector(scaled)).alias("_v"))
+    return agg.select(key, vector_to_array("_v").alias(out))
+
+
+def transpose_times(x: DataFrame, y: DataFrame, width: int | None = None) -> DataFrame:
     """``X.T @ Y`` -> ``(idx, v array<double>)`` (one row per term)."""
-    j = x.join(y, "doc_id")
-    scaled = F.transform("y", lambda e: e * F.col("w"))
-    agg = j.groupBy("idx").agg(Summarizer.sum(array_to_vector(scaled)).alias("_z"))
-    return agg.select("idx", vector_to_array("_z").alias("v"))
+    return _sum_rows(x.join(y, "doc_id"), "idx", "y", width, "v")
 
 
 def gram(a: DataFrame, col: str, width: int) -> np.ndarray:
@@ -150,13 +158,13 @@ def randomized_svd(
     x = x.select("doc_id", F.col("idx").cast("int").alias("idx"), F.col("w").cast("double").alias("w"))
     z = gaussian_frame(spark, d, width, seed)
     for _ in range(n_iter):
-        c = transpose_times(x, times_matrix(x, z, spark, d, width)).checkpoint(eager=True)
+        c = transpose_times(x, times_matrix(x, z, spark, d, width), width).checkpoint(eager=True)
         w = _inv_sqrt(gram(c, "v", width))
         width = w.shape[1]
         z = project(c, "v", w, "_z").select("idx", F.col("_z").alias("v")).checkpoint(eager=True)
     y = times_matrix(x, z, spark, d, width).checkpoint(eager=True)
     wy = _inv_sqrt(gram(y, "y", width))  # Q = Y wy has orthonormal columns
-    c = transpose_times(x, y)
+    c = transpose_times(x, y, width)
     bt = project(c, "v", wy, "_b").select("idx", F.col("_b").alias("b")).checkpoint(eager=True)  # B^T = X^T Q
     r = wy.shape[1]
     lam, u = np.linalg.eigh(gram(bt, "b", r))  # B B^T = U diag(s^2) U^T
