@@ -83,3 +83,42 @@ def test_bucketed_store_rewrites_only_touched_buckets(spark, scratch):
     assert df.filter("pmid = 5").first()["title"] == "b5"
     assert df.filter("pmid = 15").first()["title"] == "a15"
     assert df.filter("pmid = 15").first()["load_seq"] == 0
+
+
+def test_import_verifies_checksums(spark, scratch):
+    import hashlib
+
+    from topicscope.plans.ingest import CorpusStore, Ledger, import_directory
+
+    data = os.path.join(scratch, "in")
+    os.makedirs(data)
+    text = open(FIXTURE, encoding="utf-8").read()
+    for name, good in (("p0001.xml.gz", True), ("p0002.xml.gz", False)):
+        path = os.path.join(data, name)
+        _gz(text.replace("1001", "2001") if not good else text, path)
+        digest = hashlib.md5(open(path, "rb").read()).hexdigest()
+        with open(path + ".md5", "w") as f:
+            f.write(f"MD5({name})= {digest if good else 'f' * 32}\n")
+    store = CorpusStore(spark, os.path.join(scratch, "corpus"))
+    ledger = Ledger(spark, os.path.join(scratch, "ledger"))
+    rep = import_directory(spark, data, store, ledger, verify=True, glob="*.gz")
+    assert rep["files"] == 1
+    assert [os.path.basename(p) for p in rep["quarantined"]] == ["p0002.xml.gz"]
+    assert store.read().filter("pmid = 2001").count() == 0
+    assert [r["file_stem"] for r in ledger.read().collect()] == ["p0001"]
+
+
+def test_import_last_n_files(spark, scratch):
+    from topicscope.plans.ingest import CorpusStore, Ledger, import_directory
+
+    data = os.path.join(scratch, "in")
+    os.makedirs(data)
+    text = open(FIXTURE, encoding="utf-8").read()
+    _gz(text, os.path.join(data, "p0001.xml.gz"))
+    _gz(text.replace("1001", "3001"), os.path.join(data, "p0002.xml.gz"))
+    store = CorpusStore(spark, os.path.join(scratch, "corpus"))
+    ledger = Ledger(spark, os.path.join(scratch, "ledger"))
+    rep = import_directory(spark, data, store, ledger, last_n_files=1)
+    assert rep["files"] == 1
+    assert [r["file_stem"] for r in ledger.read().collect()] == ["p0002"]
+    assert store.read().filter("pmid = 3001").count() == 1
