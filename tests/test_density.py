@@ -27,7 +27,7 @@ def test_grid_clusters_find_blobs_and_noise(spark):
     assert all(lab[i] == -1 for i in range(start, start + 5))
 
 
-def test_embedding_model(spark):
+def test_embedding_model(spark, scratch):
     from topicscope.plans.embedding_topics import EmbeddingTopicModel
     from topicscope.sources.tables import read_table
 
@@ -47,9 +47,15 @@ def test_embedding_model(spark):
     q = [float(x) for x in emb.first()["embedding"]]
     sims = m.similar_topics(q, 2).collect()
     assert len(sims) == min(2, tv) and all(r["label"] != -1 for r in sims)
+    import os
 
+    m.save(os.path.join(scratch, "emb"))
+    back = EmbeddingTopicModel.load(spark, os.path.join(scratch, "emb"))
+    assert sorted(map(tuple, back.predict(emb).collect())) == sorted(map(tuple, p.collect()))
+    assert sorted(map(tuple, back.transform(emb).collect())) == sorted(map(tuple, red.collect()))
 
-def test_doc_vector_model(spark):
+
+def test_doc_vector_model(spark, scratch):
     from topicscope.plans.embedding_topics import DocVectorTopicModel
     from topicscope.sources.tables import read_table
 
@@ -59,3 +65,8 @@ def test_doc_vector_model(spark):
     names = m.names.collect()
     assert all(len(r["name"].split("_")) <= 5 for r in names)
     assert m.query_topics(spark, "the of and", 1).count() <= 1
+    import os
+
+    m.save(os.path.join(scratch, "dv"))
+    back = DocVectorTopicModel.load(spark, os.path.join(scratch, "dv"))
+    assert sorted(map(tuple, back.predict(docs).collect())) == sorted(map(tuple, m.predict(docs).collect()))

@@ -15,6 +15,8 @@ the topic vector.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -110,6 +112,31 @@ class EmbeddingTopicModel:
     def similar_topics(self, query: list[float], n: int) -> DataFrame:
         return V.similar_topics(self.topic_vectors, query, n)
 
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """Config (JSON), components, topic vectors and names (parquet)."""
+        spark = self.topic_vectors.sparkSession
+        mode = "overwrite" if overwrite else "errorifexists"
+        cfg = dict(self.config, _d=self._d, _k=self._k)
+        spark.createDataFrame([(json.dumps(cfg),)], "config string").coalesce(1).write.mode(mode).json(f"{path}/config")
+        self.components.write.mode(mode).parquet(f"{path}/components")
+        self.topic_vectors.write.mode(mode).parquet(f"{path}/topic_vectors")
+        if self.names is not None:
+            self.names.write.mode(mode).parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "EmbeddingTopicModel":
+        cfg = json.loads(spark.read.json(f"{path}/config").first()["config"])
+        d, k = cfg.pop("_d"), cfg.pop("_k")
+        m = cls(**cfg)
+        m._d, m._k = d, k
+        m.components = spark.read.parquet(f"{path}/components")
+        m.topic_vectors = spark.read.parquet(f"{path}/topic_vectors")
+        try:
+            m.names = spark.read.parquet(f"{path}/names")
+        except Exception:  # saved without names
+            m.names = None
+        return m
+
     def generate_trends(self, query: list[float], resolution: str, articles: DataFrame, predictions: DataFrame,
                         closest_n: int = 1, ignore_top_n_dates: int = 0) -> DataFrame:
         """Trend of the ``closest_n`` most similar topics (noise excluded)."""
@@ -173,6 +200,30 @@ class DocVectorTopicModel:
     def predict(self, docs: DataFrame) -> DataFrame:
         return self.clusterer.predict(self.doc_vectors(docs))
 
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """Word vectors (Spark ML writer), clusterer and topic words."""
+        spark = self.names.sparkSession
+        mode = "overwrite" if overwrite else "errorifexists"
+        w = self.w2v.write()
+        (w.overwrite() if overwrite else w).save(f"{path}/word2vec")
+        self.clusterer.save(f"{path}/clusterer", overwrite)
+        spark.createDataFrame([(json.dumps(self.config),)], "config string").coalesce(1).write.mode(mode).json(
+            f"{path}/config"
+        )
+        self.names.write.mode(mode).parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "DocVectorTopicModel":
+        from pyspark.ml.feature import Word2VecModel
+
+        cfg = json.loads(spark.read.json(f"{path}/config").first()["config"])
+        m = cls(vector_size=cfg["vector_size"], min_count=cfg["min_count"], window=cfg["window"],
+                max_iter=cfg["max_iter"], n_topic_words=cfg["n_topic_words"], random_state=cfg["random_state"])
+        m.w2v = Word2VecModel.load(f"{path}/word2vec")
+        m.clusterer = EmbeddingTopicModel.load(spark, f"{path}/clusterer")
+        m.names = spark.read.parquet(f"{path}/names")
+        return m
+
     def query_vector(self, spark: SparkSession, query: str) -> list[float]:
         q = spark.createDataFrame([(0, query)], "doc_id long, text string")
         return [float(x) for x in self.doc_vectors(q).first()["embedding"]]
