@@ -52,7 +52,7 @@ def _filled_series(pts, lo, hi, resolution: str):
     return F.explode(
         F.transform(
             spine(lo, hi, resolution),
-            lambda d: F.struct(d.alias("date"), F.coalesce(F.element_at(pts, d), F.lit(0)).cast("long").alias("articles")),
+            lambda d: F.struct(d.alias("date"), F.coalesce(F.try_element_at(pts, d), F.lit(0)).cast("long").alias("articles")),
         )
     )
 
