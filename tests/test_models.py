@@ -51,6 +51,13 @@ def test_svd_matches_numpy(spark, model, docs):
 
 def test_predict_and_names(model, docs):
     p = model.predict(docs)
+    # the JVM k-means transform and the column-expression scoring agree
+    km, model.kmeans = model.kmeans, None
+    try:
+        by_expr = sorted(map(tuple, model.predict(docs).collect()))
+    finally:
+        model.kmeans = km
+    assert sorted(map(tuple, p.collect())) == by_expr
     assert p.count() == docs.count()
     assert set(r["label"] for r in p.collect()) <= set(range(4))
     names = {r["label"]: r["name"] for r in model.names.collect()}

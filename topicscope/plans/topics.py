@@ -79,6 +79,7 @@ class TfidfTopicModel:
         self.n_terms = 0
         self.centers: np.ndarray | None = None  # c x k
         self.names: DataFrame | None = None  # label, name
+        self.kmeans = None  # the fitted Spark ML KMeansModel
 
     # ------------------------------------------------------------ building blocks
     def _term_counts(self, docs: DataFrame) -> DataFrame:
@@ -135,6 +136,7 @@ class TfidfTopicModel:
         reduced = self._reduce(docs, x).checkpoint(eager=True)
         km = KMeans(k=c["n_clusters"], seed=c["random_state"], maxIter=c["max_iter"], featuresCol="features")
         km_model = km.fit(reduced.select(array_to_vector("vector").alias("features")))
+        self.kmeans = km_model
         self.centers = np.array([np.asarray(v) for v in km_model.clusterCenters()])
         labels = self._assign(reduced)
         weights = x.join(self.vocab.select("term", "idx"), "idx").select("doc_id", "term", F.col("w").alias("tfidf"))
@@ -145,6 +147,12 @@ class TfidfTopicModel:
         return self
 
     def _assign(self, reduced: DataFrame) -> DataFrame:
+        """Nearest centre per document.  With the fitted ``KMeansModel`` this
+        is its JVM ``transform`` (BLAS distances, first centre wins ties);
+        otherwise the centres are scored with column expressions."""
+        if self.kmeans is not None:
+            out = self.kmeans.transform(reduced.withColumn("features", array_to_vector("vector")))
+            return out.select("doc_id", F.col("prediction").cast("int").alias("label"), "vector")
         centres = self.centres_frame(reduced.sparkSession)
         return V.assign_nearest(reduced, centres, "vector", "euclidean").select("doc_id", "label", "vector")
 
@@ -218,6 +226,9 @@ class TfidfTopicModel:
             self.vocab.write.mode(mode).parquet(f"{path}/vocab")
             self.components.write.mode(mode).parquet(f"{path}/components")
             self.centres_frame(spark).write.mode(mode).parquet(f"{path}/centers")
+            if self.kmeans is not None:
+                w = self.kmeans.write()
+                (w.overwrite() if overwrite else w).save(f"{path}/kmeans")
         if "names" in parts:
             self.names.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/names")
 
@@ -232,6 +243,12 @@ class TfidfTopicModel:
         m.centers = np.array([r["center"] for r in cen])
         m._k = int(m.centers.shape[1])
         m.n_terms = m.vocab.count()
+        from pyspark.ml.clustering import KMeansModel
+
+        try:
+            m.kmeans = KMeansModel.load(f"{path}/kmeans")
+        except Exception:  # saved without the k-means model: score centres directly
+            m.kmeans = None
         m.names = spark.read.option("header", True).schema("label int, name string").csv(f"{path}/names")
         return m
 
@@ -271,5 +288,5 @@ class EntityTopicModel(TfidfTopicModel):
         cfg["ngram_range"] = tuple(cfg["ngram_range"])
         m = cls(dictionary=spark.read.parquet(f"{path}/dictionary"), max_entity_len=max_len, **cfg)
         m.vocab, m.components, m.centers, m.names = base.vocab, base.components, base.centers, base.names
-        m._k, m.n_terms = base._k, base.n_terms
+        m._k, m.n_terms, m.kmeans = base._k, base.n_terms, base.kmeans
         return m
