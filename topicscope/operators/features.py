@@ -10,6 +10,7 @@ its measured size is under the broadcast threshold.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +47,17 @@ def term_counts(
         if words:
             exploded = exploded.filter(~F.col("term").isin(list(words)))
     else:
-        # the token array is projected first so the n-gram lambda reads a column
+        # Spark ML's NGram (compiled sliding window) for every n >= 2; the
+        # unigrams are the token array itself
         toks = docs.select(
             F.col(id_col).alias("doc_id"), remove_stop_words(tokenize(text_col), stop_words).alias("_t")
         )
-        exploded = toks.select("doc_id", F.explode(ngrams("_t", lo, hi)).alias("term"))
+        parts = ["_t"] if lo == 1 else []
+        for n in range(max(lo, 2), hi + 1):
+            toks = NGram(n=n, inputCol="_t", outputCol=f"_g{n}").transform(toks)
+            parts.append(f"_g{n}")
+        terms = F.col(parts[0]) if len(parts) == 1 else F.concat(*parts)
+        exploded = toks.select("doc_id", F.explode(terms).alias("term"))
     # explicit non-null keys: the later joins would infer these filters on one
     # branch only, and the two uses of ``tf`` would no longer share one shuffle
     exploded = exploded.filter(F.col("doc_id").isNotNull() & F.col("term").isNotNull())
