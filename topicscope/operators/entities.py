@@ -5,7 +5,8 @@ Every document's tokens are matched against a dictionary of phrases (1 to
 right, longest first, without overlap, and the document's entity text is the
 chosen phrases joined by a space, in text order, repeats kept.
 
-Work is per document: n-gram candidates are generated from the token array,
+Work is per document: n-gram candidates are generated from the token array
+(Spark ML ``NGram``),
 joined with the dictionary on the phrase (AQE broadcasts it when it is small,
 otherwise a shuffle join), and the greedy selection is a fold over one
 document's sorted matches (``aggregate``), so no document-document or
@@ -14,6 +15,7 @@ match-match pairs are ever formed.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,24 @@ def dictionary_from_texts(texts: DataFrame, text_col: str = "text", lo: int = 2,
 
 
 def entity_matches(docs: DataFrame, dictionary: DataFrame, max_len: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, n, phrase`` - every dictionary phrase found in a document."""
+    """``doc_id, start, n, phrase`` - every dictionary phrase found in a document.
+
+    Candidates are the document's 1..``max_len``-grams from Spark ML's
+    ``NGram`` (a compiled sliding window), paired with their start position by
+    ``arrays_zip``; the phrase length is recovered from the phrase itself.
+    """
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_t"))
-    starts = toks.select("doc_id", "_t", F.posexplode("_t").alias("start", "_w"))
-    cand = starts.select(
-        "doc_id",
-        "start",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(int(max_len)), F.size("_t") - F.col("start"))),
-                lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_t", F.col("start") + 1, n), " ").alias("phrase")),
-            )
-        ).alias("c"),
-    ).select("doc_id", "start", F.col("c.n").alias("n"), F.col("c.phrase").alias("phrase"))
-    return cand.join(dictionary.select("phrase").distinct(), "phrase")
+    grams = []
+    for n in range(1, int(max_len) + 1):
+        src = "_t"
+        if n > 1:
+            src = f"_g{n}"
+            toks = NGram(n=n, inputCol="_t", outputCol=src).transform(toks)
+        grams.append(F.arrays_zip(F.sequence(F.lit(0), F.size(src) - 1).alias("start"), F.col(src).alias("phrase")))
+    cand = toks.select("doc_id", F.explode(F.concat(*grams)).alias("c")).filter(F.col("c.phrase").isNotNull())
+    cand = cand.select("doc_id", F.col("c.start").alias("start"), F.col("c.phrase").alias("phrase"))
+    found = cand.join(dictionary.select("phrase").distinct(), "phrase")
+    return found.select("doc_id", "start", F.size(F.split("phrase", " ")).alias("n"), "phrase")
 
 
 def entity_text(docs: DataFrame, dictionary: DataFrame, max_len: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
