@@ -6,11 +6,10 @@ right, longest first, without overlap, and the document's entity text is the
 chosen phrases joined by a space, in text order, repeats kept.
 
 Work is per document: n-gram candidates are generated from the token array
-(Spark ML ``NGram``),
-joined with the dictionary on the phrase (AQE broadcasts it when it is small,
-otherwise a shuffle join), and the greedy selection is a fold over one
-document's sorted matches (``aggregate``), so no document-document or
-match-match pairs are ever formed.
+(Spark ML ``NGram``), joined with the dictionary on the phrase (AQE
+broadcasts it when it is small, otherwise a shuffle join), and the greedy
+selection is a fold over one document's sorted matches (``aggregate``), so no
+document-document or match-match pairs are ever formed.
 """
 
 from __future__ import annotations
