@@ -28,10 +28,16 @@ def phrase_key(text: Column | str) -> Column:
 
 def dictionary_from_texts(texts: DataFrame, text_col: str = "text", lo: int = 2, hi: int = 3) -> DataFrame:
     """``phrase, n`` - every distinct ``lo..hi``-token phrase of the texts."""
-    from ..functions.text import ngrams
-
     toks = texts.select(tokenize(text_col).alias("_t"))
-    grams = toks.select(F.explode(ngrams("_t", lo, hi)).alias("phrase")).distinct()
+    cols = []
+    for n in range(int(lo), int(hi) + 1):
+        if n == 1:
+            cols.append(F.col("_t"))
+            continue
+        toks = NGram(n=n, inputCol="_t", outputCol=f"_g{n}").transform(toks)
+        cols.append(F.col(f"_g{n}"))
+    terms = cols[0] if len(cols) == 1 else F.concat(*cols)
+    grams = toks.select(F.explode(terms).alias("phrase")).distinct()
     return grams.select("phrase", F.size(F.split("phrase", " ")).alias("n"))
 
 
