@@ -160,9 +160,27 @@ def join_top_terms(ranked: DataFrame, sep: str, prefix_label: bool = False) -> D
     return grouped.select("label", name.alias("name"))
 
 
+def top_terms_name(weights: DataFrame, n: int, sep: str, prefix_label: bool = False,
+                   weight_col: str = "weight", salt_buckets: int = 32) -> DataFrame:
+    """``label, name`` - the ``n`` heaviest terms of every label joined by
+    ``sep`` (ties by term), in two shuffles: a salted per-piece top-``n``
+    (window over ``label, hash(term) % salt_buckets``), then one group per
+    label holding at most ``n x salt_buckets`` candidates, sorted and cut."""
+    key = F.round(F.col(weight_col), 10)
+    salted = weights.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salt_buckets)))
+    w1 = Window.partitionBy("label", "_salt").orderBy(key.desc(), F.asc("term"))
+    pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
+    grouped = pre.groupBy("label").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-key).alias("k"), F.col("term").alias("term")))), 1, n).alias("_t")
+    )
+    words = F.array_join(F.transform("_t", lambda s: s["term"]), sep)
+    name = F.concat(F.col("label").cast("string"), F.lit(sep), words) if prefix_label else words
+    return grouped.select("label", name.alias("name"))
+
+
 def cluster_names(weights: DataFrame, n_terms: int = 3, sep: str = ", ") -> DataFrame:
     """``label, name`` - the ``n_terms`` heaviest cluster terms, joined."""
-    return join_top_terms(top_terms(weights, n_terms), sep)
+    return top_terms_name(weights, n_terms, sep)
 
 
 def class_tfidf(tf: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,4 +212,4 @@ def class_tfidf(tf: DataFrame, labels: DataFrame) -> DataFrame:
 
 def class_tfidf_names(tf: DataFrame, labels: DataFrame, n_words: int = 4) -> DataFrame:
     """``label, name`` = ``<label>_w1_w2_w3_w4`` from class-based TF-IDF."""
-    return join_top_terms(top_terms(class_tfidf(tf, labels), n_words), "_", prefix_label=True)
+    return top_terms_name(class_tfidf(tf, labels), n_words, "_", prefix_label=True)

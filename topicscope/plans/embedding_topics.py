@@ -195,7 +195,7 @@ class DocVectorTopicModel:
             "word", F.explode(F.transform("_centres", lambda t: F.struct(
                 t["label"].alias("label"), cosine_similarity(F.col("v"), t["center"]).alias("weight")))).alias("s")
         ).select(F.col("s.label").alias("label"), F.col("word").alias("term"), F.col("s.weight").alias("weight"))
-        return FE.join_top_terms(FE.top_terms(scored, self.config["n_topic_words"]), "_")
+        return FE.top_terms_name(scored, self.config["n_topic_words"], "_")
 
     def predict(self, docs: DataFrame) -> DataFrame:
         return self.clusterer.predict(self.doc_vectors(docs))

@@ -352,7 +352,7 @@ def cluster_names(spark, d):
 
 def topic_names_top5(spark, d):
     w = FE.cluster_term_weights(_tfidf(spark, d), _doc_labels(spark, d))
-    return FE.join_top_terms(FE.top_terms(w, 5), "_")
+    return FE.top_terms_name(w, 5, "_")
 
 
 def class_tfidf_names(spark, d):
