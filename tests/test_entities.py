@@ -37,3 +37,17 @@ def test_entity_text_matches_brute_force(spark):
     assert got == want
     assert got[1] == "new york city new york new york"
     assert got[3] == ""
+
+
+def test_external_extractor_plugin(spark):
+    import pandas as pd
+
+    from topicscope.operators.entities import entity_text_with
+
+    docs = spark.createDataFrame([(1, "Alice met Bob in Paris"), (2, None), (3, "nothing")], "doc_id long, text string")
+
+    def capitalised(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(w for w in t.split() if w[:1].isupper()))
+
+    got = {r["doc_id"]: r["text"] for r in entity_text_with(docs, capitalised).collect()}
+    assert got == {1: "Alice Bob Paris", 2: "", 3: ""}

@@ -81,3 +81,18 @@ def entity_text(docs: DataFrame, dictionary: DataFrame, max_len: int = 3, id_col
     return docs.select(F.col(id_col).alias("doc_id")).join(chosen, "doc_id", "left").select(
         "doc_id", F.coalesce("entities", F.lit("")).alias("text")
     )
+
+
+def entity_text_with(docs: DataFrame, extractor, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text`` with entities from an external extractor (for example
+    an NER pipeline): ``extractor(texts: pandas.Series) -> pandas.Series`` of
+    space-joined entity strings, run per Arrow batch with ``mapInPandas`` so
+    the model is loaded once per task, not once per row."""
+
+    def run(batches):
+        for pdf in batches:
+            out = extractor(pdf["text"].fillna(""))
+            yield pdf[["doc_id"]].assign(text=list(out))
+
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return src.mapInPandas(run, "doc_id long, text string")

@@ -258,14 +258,19 @@ class EntityTopicModel(TfidfTopicModel):
     (``operators.entities``) instead of its full text; the query of a trend
     request is preprocessed the same way, once."""
 
-    def __init__(self, dictionary: DataFrame | None = None, max_entity_len: int = 3, **kwargs):
+    def __init__(self, dictionary: DataFrame | None = None, max_entity_len: int = 3, extractor=None, **kwargs):
         super().__init__(**kwargs)
+        if dictionary is None and extractor is None:
+            raise ValueError("give a phrase dictionary or an entity extractor")
         self.dictionary = dictionary
+        self.extractor = extractor  # optional pandas Series -> Series (e.g. an NER model)
         self.config["max_entity_len"] = int(max_entity_len)
 
     def _entities(self, docs: DataFrame) -> DataFrame:
-        from ..operators.entities import entity_text
+        from ..operators.entities import entity_text, entity_text_with
 
+        if self.extractor is not None:
+            return entity_text_with(docs.select("doc_id", "text"), self.extractor)
         return entity_text(docs.select("doc_id", "text"), self.dictionary, self.config["max_entity_len"])
 
     def fit(self, docs: DataFrame) -> "EntityTopicModel":
