@@ -160,6 +160,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, before: int = BEFORE,
     rows = keyed(docs, text, doc_id)
     anchors = rows.mapInArrow(_anchor_batches(window, before, after, rounds), _ANCHORS)
     counts = anchors.select("h", "c").groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("h", "mixed")
+    # staged, so that both sides of the join are plain shuffles and a hot key can be split
+    counts = B.stage(counts, "recompress-counts")
     hits = B.stage(anchors.join(counts, "h"), "recompress-hits")
     places = hits.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "t", "p0", "p1")).alias("one"), F.max("mixed").alias("mixed"))
     whole = hits.join(places.filter("copies > 1").select("h", "c"), ["h", "c"], "left_semi").select("rid", "t", F.col("p0").alias("s"), (F.col("p1") + window).alias("e"))

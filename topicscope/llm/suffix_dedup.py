@@ -227,6 +227,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
     rows = keyed(docs, text, doc_id)
     anchors = rows.mapInArrow(_anchor_batches(length, gram), _ANCHORS)
     counts = anchors.select("h", "c").groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("h", "mixed")
+    # staged, so that both sides of the join are plain shuffles and a hot key can be split
+    counts = B.stage(counts, "suffix-counts")
     hits = B.stage(anchors.join(counts, "h"), "suffix-hits")
     places = hits.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "t", "pos", "jlo", "jhi")).alias("one"), F.max("mixed").alias("mixed"))
     # settled: the same context stands elsewhere
