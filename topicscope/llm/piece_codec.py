@@ -19,6 +19,7 @@ no ids; repeated rows are encoded alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 150_000
+MEMO = 300_000
 LONG = 64
 
 # spaces before a run of letters, one digit, a run of other signs, or a line end
@@ -146,6 +147,35 @@ def stream(vocab: Vocabulary, chars: Iterable[str], commit_every: int | None = N
         yield out
 
 
+def within_window(vocab: Vocabulary, text: str) -> list[int]:
+    """The same search for a text no longer than the window, which needs no
+    commits before its end."""
+    n, starts, find = len(text), vocab.starts, vocab.pieces.get
+    score, back, ids = [-np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    score[0] = 0.0
+    for i in range(n):
+        here = score[i]
+        for j in range(i + 1, n + 1):
+            piece = text[i:j]
+            hit = find(piece)
+            if hit is not None and here + hit[1] > score[j]:
+                score[j], back[j], ids[j] = here + hit[1], i, hit[0]
+            if piece not in starts:
+                break
+        if back[i + 1] < 0:
+            raw = text[i].encode()
+            score[i + 1], back[i + 1], ids[i + 1] = here + vocab.byte_score * len(raw), i, -1
+    out = []
+    while n:
+        i = back[n]
+        if ids[n] < 0:
+            out += [vocab.byte_ids[b] for b in reversed(text[i:n].encode())]
+        else:
+            out.append(ids[n])
+        n = i
+    return out[::-1]
+
+
 class Encoder:
     """Texts to ids, remembering the stretches it has solved."""
 
@@ -156,9 +186,11 @@ class Encoder:
         self.cut = vocab.stretches
 
     def _solve(self, stretch: str) -> bytes:
-        got = self.old.get(stretch)
+        got = self.young.get(stretch) or self.old.get(stretch)
         if got is None:
-            got = np.array([x for out in stream(self.vocab, (stretch,)) for x in out], np.int32).tobytes()
+            small = len(stretch) <= self.vocab.longest
+            ids = within_window(self.vocab, stretch) if small else [x for out in stream(self.vocab, (stretch,)) for x in out]
+            got = array("i", ids).tobytes()
         if len(stretch) <= LONG:
             if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
@@ -171,15 +203,11 @@ class Encoder:
             return b""
         if not self.cut:
             return self._solve(" " + text)
-        young, solve = self.young.get, self._solve
-        out = []
-        for s in _STRETCH.findall(" " + text):
-            got = young(s)
-            if got is None:
-                got = solve(s)
-                young = self.young.get
-            out.append(got)
-        return b"".join(out)
+        parts = _STRETCH.findall(" " + text)
+        known = list(map(self.young.get, parts))
+        if None in known:
+            known = [self._solve(s) if k is None else k for s, k in zip(parts, known, strict=True)]
+        return b"".join(known)
 
 
 def decode(table: list[bytes], ids: list[int]) -> str:
