@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from topicscope.llm import decontaminate as D
 
@@ -57,9 +56,7 @@ def test_svd_spans_the_top_singular_vectors(spark, monkeypatch):
     rng = np.random.default_rng(2)
     a = rng.random((40, 3)) @ rng.random((3, 64)) + 0.01 * rng.random((40, 64))
     rows = spark.createDataFrame([(np.arange(64, dtype=np.int32).tobytes(), x.astype(np.float32).tobytes()) for x in a], "terms binary, weights binary")
-    got = D.latent_terms(rows, np.ones(64), rank=3, over=5)
+    got = D.latent_terms(rows, np.ones(64), rank=3, over=5, power=2)
     u, s, vt = np.linalg.svd(a.astype(np.float32).astype(np.float64))
     want = vt[:3].T / s[:3]
-    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-3
-    with pytest.raises(AssertionError):
-        assert np.allclose(got, 0)
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 0.02 * np.abs(want).max()

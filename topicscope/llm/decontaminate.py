@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 
-BITS = 16
+BITS = 15
 PASSAGE = 64
-RANK, OVER, POWER = 48, 16, 2
+RANK, OVER, POWER = 48, 8, 1
 SAMPLE = 2000
 STEP = 8
 COSINE = 0.55
@@ -122,13 +122,13 @@ def _power_batches(q: np.ndarray):
     """A task's share of A'(A q), in blocks of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(q)
+        total = np.zeros(q.shape)
         for batch in batches:
             for t, w in _rows_of(batch):
                 total[t] += np.outer(w, w @ q[t])
         blocks = [total[i : i + TERM_BLOCK] for i in range(0, len(total), TERM_BLOCK)]
         used = [i for i, b in enumerate(blocks) if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].astype(np.float32).tobytes() for i in used], pa.binary())], names=["block", "m"])
 
     return run
 
@@ -140,7 +140,7 @@ def _gram_batches(q: np.ndarray):
             for t, w in _rows_of(batch):
                 b = w @ q[t]
                 total += np.outer(b, b)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "m"])
 
     return run
 
@@ -150,12 +150,12 @@ def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m, np.float64) for m in pdf["m"])
+        total = sum(np.frombuffer(m, np.float32) for m in pdf["m"])
         return pd.DataFrame({"block": pdf["block"][:1], "m": [total.tobytes()]})
 
     out = np.zeros(shape)
     for r in parts.groupBy("block").applyInPandas(add, "block int, m binary").toLocalIterator():
-        rows = np.frombuffer(bytes(r.m), np.float64).reshape(-1, shape[1])
+        rows = np.frombuffer(bytes(r.m), np.float32).reshape(-1, shape[1])
         out[r.block * TERM_BLOCK : r.block * TERM_BLOCK + len(rows)] = rows
     return out
 
@@ -163,10 +163,10 @@ def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
 def latent_terms(rows: DataFrame, idf: np.ndarray, rank: int = RANK, over: int = OVER, power: int = POWER) -> np.ndarray:
     """Latent vector of each hashed term, scaled by idf and singular values."""
     n = 1 << BITS
-    q = np.random.default_rng(11).standard_normal((n, rank + over))
+    q = np.random.default_rng(11).standard_normal((n, rank + over)).astype(np.float32)
     for _ in range(power + 1):
         z = _summed(rows.mapInArrow(_power_batches(q), "block int, m binary"), q.shape)
-        q, _ = np.linalg.qr(z)
+        q = np.linalg.qr(z)[0].astype(np.float32)  # shipped to every task
     gram = _summed(rows.mapInArrow(_gram_batches(q), "block int, m binary"), (rank + over, rank + over))
     values, vectors = np.linalg.eigh(gram)
     top = np.argsort(-values)[:rank]
@@ -285,7 +285,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", rank: in
     drawn = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))
     asked = benchmark.filter("item_id is not null and text is not null")
     source = body.filter(drawn & (F.length("text") > 0)).select(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)).alias("draw"), "text").unionByName(asked.select(F.lit(0).cast("long").alias("draw"), "text"))
-    rows = B.stage(source.mapInArrow(_row_batches(idf), "terms binary, weights binary").coalesce(8), "latent-rows")
+    rows = B.stage(source.mapInArrow(_row_batches(idf), "terms binary, weights binary").coalesce(4), "latent-rows")
     latent = latent_terms(rows, idf, rank)
     items = load_items(benchmark, latent)
     return body.mapInArrow(_search_batches(items, latent, cosine, same, part, answer), "key long, item_id long, share double")
