@@ -8,13 +8,16 @@ linked when ``100 * |A & B| >= percent * |A | B|``.
 2. Minima under ``bands * rows`` universal hashes are banded; documents that
    agree in a band share a bucket.  At a similarity of 0.8, 28 bands of 4 miss
    a pair with a chance of 4e-7.
-3. A bucket is tested against its hub (its least document), then against three
-   more hubs drawn by hash, and at last every pair of its documents that is in
-   different components by then is tested.  Pairs inside a component cannot
-   change it, so no bucket emits all its pairs, and no link between components
-   is lost.
+3. A bucket is tested against its hub, the least document.  What is then in
+   several components is narrowed by a bound: a shingle that no other document
+   of such buckets has cannot be shared, so a document with ``own`` of those
+   shares at most ``n - own``.  Too few for any partner: it is done.  Then three
+   more hubs, those with the least share of own shingles, are tested, and at
+   last all pairs of different components whose sizes the bound allows (joined
+   by bucket and size class).  Pairs inside a component cannot change it and
+   bounded ones cannot be linked, so no link between components is lost.
 4. A pair passes if its sizes allow the similarity, then if its signatures
-   agree in at least 0.55 of the minima (over six deviations below 0.8), then
+   agree in at least 0.62 of the minima (near five deviations below 0.8), then
    by intersecting the full sets.
 5. Components come from alternating large-star and small-star.
 
@@ -37,7 +40,7 @@ from . import _bytes as B
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 28, 4
 HUBS = 3
-AGREE = 0.55
+AGREE = 0.62
 
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
 
@@ -116,6 +119,13 @@ def _set_batches(k: int):
     return run
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+            values = np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d)), pa.array(values)], names=["doc_id", "shingle"])
+
+
 def _agree_batches(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,15 +192,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rep = signed.join(classes, key).filter("doc_id = rep").dropDuplicates(["doc_id"])
     rep = B.stage(rep.select("doc_id", "n_shingles", "bands", "sig"), "minhash-reps")
     banded = rep.select(F.col("doc_id"), F.explode("bands").alias("band"))
-    pick = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(r))).alias(f"hub{r}") for r in range(1, hubs + 1)]
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub0"), *pick).filter("n > 1").drop("n")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").drop("n")
     shared = B.stage(shared, "minhash-buckets")
     members = B.stage(banded.join(shared, "band"), "minhash-members")
     # sets of the documents that share a bucket
     busy = members.select("doc_id").distinct()
     sets = B.stage(source.join(busy, "doc_id").mapInArrow(_set_batches(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "minhash-sets")
     facts = rep.select("doc_id", "n_shingles", "sig")
-    first = members.select(F.col("hub0").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    first = members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     links = B.stage(_links(first, facts, sets, percent, agree), "minhash-links")
     group = B.stage(components(links), "minhash-groups")
 
@@ -200,20 +209,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
         return B.stage(placed.join(B.stage(mixed, "minhash-mixed"), "band", "left_semi"), "minhash-split")
 
-    open_ = split(group)
-    hub = F.explode(F.array(*[F.col(f"hub{r}") for r in range(1, hubs + 1)]))
-    second = open_.select(hub.alias("a"), F.col("doc_id").alias("b"), F.col("component").alias("cb")).filter("a <> b").distinct()
-    place = group.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    second = second.join(place, "a", "left").filter(F.coalesce("ca", "a") != F.col("cb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = split(group).select("band", "doc_id")
+    # shingles that one document alone has, among all that might still be linked
+    single = sets.join(B.stage(open_.distinct().select("doc_id").distinct(), "minhash-open"), "doc_id").mapInArrow(_one_by_one, "doc_id long, shingle long")
+    single = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    own = single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    # |A & B| >= s / (1 + s) * (|A| + |B|) and <= |A| - own: the largest partner
+    share = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    sized = rep.select("doc_id", "n_shingles").join(own, "doc_id", "left").select("doc_id", F.col("n_shingles").alias("n"), F.floor((100 + percent) * share / percent - F.col("n_shingles")).alias("most"))
+    sized = sized.filter(100 * F.col("most") >= percent * F.col("n"))
+    feasible = B.stage(open_.join(sized, "doc_id"), "minhash-feasible")
+    # of each of ``hubs`` parts of a bucket the document with the least share of own shingles
+    best = feasible.groupBy("band").agg(*[F.min(F.struct(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(hubs)) != r, F.col("n") / F.col("most"), F.col("doc_id"))).alias(f"h{r}") for r in range(hubs)])
+    best = best.select("band", F.explode(F.array_distinct(F.array(*[F.col(f"h{r}.doc_id") for r in range(hubs)]))).alias("a"))
+    place = group.select("node", F.col("component").alias("c"))
+    placed = lambda df, doc, to: df.join(place, df[doc] == place.node, "left").withColumn(to, F.coalesce("c", doc)).drop("node", "c")
+    second = feasible.select("band", F.col("doc_id").alias("b")).join(B.stage(best, "minhash-hubs"), "band").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = placed(placed(second, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     links = B.stage(links.unionByName(_links(second, facts, sets, percent, agree)), "minhash-links")
     group = B.stage(components(links), "minhash-groups")
-    # whatever is still apart in a bucket, pair by pair: all but the bucket's
-    # largest component against everything of another component
-    open_ = split(group).select("band", "doc_id", "component")
-    main = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    main = B.stage(main, "minhash-main")
-    minor = open_.join(main, "band").filter("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    last = minor.join(open_.withColumnRenamed("doc_id", "b"), "band").filter("ca <> component")
+    # what is still apart and possible: all but a bucket's largest component
+    # against everything of another component, by size class
+    place = group.select("node", F.col("component").alias("c"))
+    open_ = B.stage(placed(feasible, "doc_id", "component").join(rep.select("doc_id", "bands"), "doc_id"), "minhash-open")
+    main = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    main = B.stage(main.select("band", "main"), "minhash-main")
+    size_class = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(float(np.log(1.05))))
+    least = F.floor(percent * F.col("n") / 100)
+    minor = open_.join(main, "band").filter("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("bands").alias("ba"), F.explode(F.sequence(size_class(least), size_class(F.col("most")))).alias("class"))
+    other = open_.join(main.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("bands").alias("bb"), size_class(F.col("n")).alias("class"))
+    last = minor.join(other, ["band", "class"]).filter("ca <> cb and nb <= ma and na <= mb")
+    # a pair comes from the first band it shares only
+    before = lambda c: F.slice(c, F.lit(1), F.array_position("ba", F.col("band")).cast("int") - 1)
+    last = last.filter(~F.arrays_overlap(before("ba"), before("bb")))
     last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = B.stage(links.unionByName(_links(last, facts, sets, percent, agree)), "minhash-links")
     group = B.stage(components(links), "minhash-groups")
