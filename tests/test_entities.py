@@ -51,3 +51,18 @@ def test_external_extractor_plugin(spark):
 
     got = {r["doc_id"]: r["text"] for r in entity_text_with(docs, capitalised).collect()}
     assert got == {1: "Alice Bob Paris", 2: "", 3: ""}
+
+
+def test_entity_model_reloads_with_dictionary_and_with_extractor(spark, scratch):
+    from topicscope.plans.topics import EntityTopicModel
+
+    docs = spark.createDataFrame([(i, f"alpha beta {'gamma' if i % 2 else 'delta'} word{i % 5}") for i in range(30)], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("alpha", "beta", "gamma", "delta")], "phrase string")
+    last = lambda s: s.str.split().str[2]
+    for name, given in (("d", {"dictionary": words}), ("x", {"extractor": last})):
+        m = EntityTopicModel(n_components=2, n_clusters=2, combine_kwargs={"include_abstract": False}, **given).fit(docs)
+        path = f"{scratch}/{name}"
+        m.save(path)
+        back = EntityTopicModel.load(spark, path, extractor=given.get("extractor"))
+        assert type(back) is EntityTopicModel and back.combine_kwargs == {"include_abstract": False}
+        assert sorted(map(tuple, back.predict(docs).collect())) == sorted(map(tuple, m.predict(docs).collect()))

@@ -122,3 +122,33 @@ def test_import_last_n_files(spark, scratch):
     assert rep["files"] == 1
     assert [r["file_stem"] for r in ledger.read().collect()] == ["p0002"]
     assert store.read().filter("pmid = 3001").count() == 1
+
+
+def _record(pmid, title):
+    return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID><Article><ArticleTitle>{title}</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+
+
+def test_the_later_file_wins_and_rejects_are_counted_on_every_path(spark, scratch):
+    from topicscope.plans.ingest import BucketedCorpusStore, CorpusStore, Ledger, import_directory
+    from topicscope.plans.lifecycle import extract_to_json
+    from topicscope.streaming.ingest import run_import_stream
+
+    data = os.path.join(scratch, "in")
+    os.makedirs(data)
+    # the newer record is in the larger file, which Spark packs first
+    many = "".join(_record(i, f"t{i}") for i in range(100, 400))
+    with open(os.path.join(data, "f0001.xml"), "w") as f:
+        f.write(f"<Set>{_record(1, 'old')}{_record('none', 'reject')}</Set>")
+    with open(os.path.join(data, "f0002.xml"), "w") as f:
+        f.write(f"<Set>{_record(1, 'new')}{many}{_record('', 'reject')}</Set>")
+    title = lambda df: df.filter("pmid = 1").first()["article"]["title"]
+    for name, store in (("a", CorpusStore(spark, os.path.join(scratch, "a"))), ("b", BucketedCorpusStore(spark, os.path.join(scratch, "b")))):
+        report = import_directory(spark, data, store, Ledger(spark, os.path.join(scratch, "ledger" + name)))
+        assert title(store.read()) == "new" and report["rejects"] == 2
+    store = CorpusStore(spark, os.path.join(scratch, "c"))
+    run_import_stream(spark, data, store, os.path.join(scratch, "ck"))
+    assert title(store.read()) == "new" and spark.read.parquet(os.path.join(scratch, "ck_rejects")).count() == 2
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    extract_to_json(spark, data, os.path.join(scratch, "json"), overwrite=True)
+    assert spark.read.parquet(os.path.join(scratch, "json_rejects")).count() == 2
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode

@@ -28,17 +28,18 @@ def test_figure_guards(spark):
         generate_figure(object(), "query", "month", arts, "no_such_predictions")
 
 
-def test_large_sample_path_matches_small_path(spark, monkeypatch):
-    """The distributed scan-position path (used above the take-ordered
-    threshold) returns the same rows as the top-n path."""
+def test_samples_match_a_plain_sort(spark):
+    import hashlib
+
     from topicscope.operators import sampling as S
     from topicscope.sources.tables import read_table
 
     ids = read_table(spark, SF_SMALL, "documents").selectExpr("doc_id AS pmid")
-    small = {m: sorted(map(tuple, S.sample(ids, 37, m, "pmid", seed=5).collect())) for m in S.METHODS}
-    monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 10)
-    large = {m: sorted(map(tuple, S.sample(ids, 37, m, "pmid", seed=5).collect())) for m in S.METHODS}
-    assert small == large
+    keys = sorted(r.pmid for r in ids.collect())
+    drawn = set(sorted(keys, key=lambda k: (hashlib.md5(f"{k}:5".encode()).hexdigest(), k))[:37])
+    rows = list(enumerate(keys))
+    want = {"forward": rows[:37], "backward": rows[-37:], "uniform": [r for r in rows if r[1] in drawn]}
+    assert {m: sorted(map(tuple, S.sample(ids, 37, m, "pmid", seed=5).collect())) for m in S.METHODS} == want
     with pytest.raises(ValueError):
         S.sample(ids, 10**6, "uniform", "pmid")
     assert S.sample(ids, 10**6, "backward", "pmid").count() == ids.count()

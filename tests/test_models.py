@@ -119,13 +119,19 @@ def test_precompute_batches_and_timeout(spark, model):
 
     arts = articles_view(spark, SF_SMALL).drop("label")
     spark.sql("DROP TABLE IF EXISTS preds_batched")
-    # a zero timeout stops after the first round
-    assert precompute_predictions(spark, model, arts, "preds_batched", batch_size=40, timeout=0) == 40
+    # a timeout that is over stops after the first batch
+    assert precompute_predictions(spark, model, arts, "preds_batched", batch_size=40, timeout=1e-6) == 40
+    for bad in ({"timeout": 0}, {"max_new": 0}, {"batch_size": -1}):
+        with pytest.raises(ValueError):
+            precompute_predictions(spark, model, arts, "preds_batched", **bad)
     n = precompute_predictions(spark, model, arts, "preds_batched", batch_size=70, max_new=100)
     assert n == 100
     rest = precompute_predictions(spark, model, arts, "preds_batched", batch_size=1000)
     assert 40 + n + rest == arts.count()
-    assert precompute_predictions(spark, model, arts, "preds_batched", overwrite=True) == arts.count()
+    # a capped overwrite labels again and keeps the others
+    assert precompute_predictions(spark, model, arts, "preds_batched", max_new=5, overwrite=True) == 5
+    assert spark.table("preds_batched").count() == spark.table("preds_batched").select("pmid").distinct().count() == arts.count()
+    assert spark.catalog.listColumns("preds_batched")[-1].isPartition
 
 
 def test_labelling_stream_twice_adds_nothing(spark, model, scratch):
@@ -138,10 +144,35 @@ def test_labelling_stream_twice_adds_nothing(spark, model, scratch):
     spark.sql("DROP TABLE IF EXISTS preds_stream")
     ck = os.path.join(scratch, "ck")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    n = run_labelling_stream(spark, stream, model, "preds_stream", ck)
+    n = run_labelling_stream(spark, stream, model, "preds_stream", ck, spark.read.parquet(src))
     assert n == spark.read.parquet(src).count()
     stream = spark.readStream.schema(schema).parquet(src)
-    assert run_labelling_stream(spark, stream, model, "preds_stream", ck) == 0
+    assert run_labelling_stream(spark, stream, model, "preds_stream", ck, spark.read.parquet(src)) == 0
+    # dates are those of the whole corpus, whatever the micro-batches
+    from topicscope.operators.trends import with_reconstructed_date
+
+    want = with_reconstructed_date(spark.read.parquet(src)).select("pmid", "date")
+    assert spark.table("preds_stream").select("pmid", "date").exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("unit", ["week", "month", "year"])
+def test_event_trend_appends_coarse_buckets(spark, scratch, unit):
+    from pyspark.sql import functions as F
+
+    from topicscope.sources.tables import read_table
+    from topicscope.streaming.trends import event_trend, rolled_up
+
+    ev = read_table(spark, SF_SMALL, "events")
+    src, out = os.path.join(scratch, "events"), os.path.join(scratch, "out")
+    # a last event far ahead lets the watermark close every earlier bucket
+    late = ev.limit(1).withColumn("ts", F.expr("cast('2100-01-01' as timestamp)").cast(ev.schema["ts"].dataType)).withColumn("event_type", F.lit("end"))
+    ev.coalesce(1).write.parquet(f"{src}")
+    late.coalesce(1).write.mode("append").parquet(f"{src}")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = event_trend(stream, unit, watermark="0 seconds").writeStream.outputMode("append").format("parquet").option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    got = sorted(map(tuple, rolled_up(spark.read.parquet(out)).filter("label <> 'end'").collect()))
+    assert got == sorted(map(tuple, event_trend(ev, unit).collect()))
 
 
 def test_event_trend_stream_equals_batch(spark, scratch):

@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Up to this many rows a sample is taken with orderBy().limit() (a per-task
-# top-n then a merge of n x tasks rows); above it the sample is cut from the
-# distributed scan positions instead.
-TAKE_ORDERED_MAX = 100_000
-
 METHODS = ("uniform", "forward", "backward")
 
 
@@ -47,6 +42,13 @@ def uniform_order(key: str, seed: int):
     return [h, F.col(key)]
 
 
+def first_in_order(df: DataFrame, n: int, key: str, order) -> DataFrame:
+    """The keys of the first ``n`` rows by (``order``, key), cut from distributed
+    positions: no task holds more than its range."""
+    ranked = df.select(key, F.struct(order.alias("o"), F.col(key).alias("k")).alias("_order"))
+    return scan_positions(ranked, "_order").filter(F.col("pos") < int(n)).select(key)
+
+
 def sample(
     df: DataFrame,
     n: int,
@@ -73,27 +75,10 @@ def sample(
             raise ValueError(f"cannot sample {n} rows without replacement from {total}")
     cols = df.columns
     if method == "forward":
-        if n <= TAKE_ORDERED_MAX:
-            # the window below sees at most TAKE_ORDERED_MAX rows (after the limit)
-            top = df.orderBy(key).limit(n)
-            return top.select(
-                (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("pos"), *cols
-            )
         return scan_positions(df, key).filter(F.col("pos") < n)
     if method == "backward":
         total = df.select(F.count(F.lit(1))).scalar()
-        if n <= TAKE_ORDERED_MAX:
-            top = df.orderBy(F.desc(key)).limit(n)
-            pos = total - F.row_number().over(Window.orderBy(F.desc(key)))
-            return top.select(pos.cast("long").alias("pos"), *cols).orderBy("pos")
         return scan_positions(df, key).filter(F.col("pos") >= total - F.lit(n))
     # uniform
-    order = uniform_order(key, seed if seed is not None else 0)
-    if n <= TAKE_ORDERED_MAX:
-        chosen = F.broadcast(df.orderBy(*order).limit(n).select(key))
-    else:
-        ranked = df.select(key, *order[:1])
-        chosen = scan_positions(ranked.withColumnRenamed(ranked.columns[1], "_h"), "_h").filter(
-            F.col("pos") < n
-        ).select(key)
+    chosen = first_in_order(df, n, key, uniform_order(key, seed if seed is not None else 0)[0])
     return scan_positions(df, key).join(chosen, key, "left_semi").orderBy("pos")

@@ -46,25 +46,19 @@ def with_reconstructed_date(articles: DataFrame, offset: DataFrame | None = None
     )
 
 
-def _filled_series(pts, lo, hi, resolution: str):
-    """Explode a ``sequence`` of bucket starts, each with its count from the
-    ``pts`` map (0 when absent)."""
-    return F.explode(
-        F.transform(
-            spine(lo, hi, resolution),
-            lambda d: F.struct(d.alias("date"), F.coalesce(F.try_element_at(pts, d), F.lit(0)).cast("long").alias("articles")),
-        )
-    )
+def _zero_filled(counts: DataFrame, resolution: str, keys: list[str]) -> DataFrame:
+    """``counts`` plus a zero for every bucket between the first and the last of
+    each key: calendar and counts are put together and summed, which is linear
+    in the buckets and spreads one key's buckets over the tasks."""
+    ends = counts.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).filter(F.col("lo").isNotNull())
+    calendar = ends.select(*keys, F.explode(spine(F.col("lo"), F.col("hi"), resolution)).alias("date"), F.lit(0).cast("long").alias("articles"))
+    both = counts.select(*keys, "date", "articles").unionByName(calendar)
+    return both.groupBy(*keys, "date").agg(F.sum("articles").alias("articles"))
 
 
 def docs_per_day(articles: DataFrame, date_field: str = "date_completed") -> DataFrame:
     """Articles per calendar day of ``date_field``, zero-filled between the first
-    and the last day; rows without the date are not counted.  ``date, articles``.
-
-    The per-day counts (one row per calendar day, bounded by the calendar, not
-    by the corpus) are folded into one map and the zero-filled series is read
-    off a date sequence: one pass, no self-join.
-    """
+    and the last day; rows without the date are not counted.  ``date, articles``."""
     if date_field not in DATE_FIELDS:
         raise ValueError(f"Invalid date field: {date_field!r}; expected one of {DATE_FIELDS}")
     counts = (
@@ -73,11 +67,7 @@ def docs_per_day(articles: DataFrame, date_field: str = "date_completed") -> Dat
         .groupBy("date")
         .agg(F.count(F.lit(1)).alias("articles"))
     )
-    one = counts.agg(
-        F.min("date").alias("lo"), F.max("date").alias("hi"),
-        F.map_from_entries(F.collect_list(F.struct("date", "articles"))).alias("pts"),
-    ).filter(F.col("lo").isNotNull())
-    return one.select(_filled_series(F.col("pts"), F.col("lo"), F.col("hi"), "day").alias("p")).select("p.*")
+    return _zero_filled(counts, "day", [])
 
 
 def rank_days(per_day: DataFrame) -> DataFrame:
@@ -129,18 +119,8 @@ def label_trend(predictions: DataFrame, resolution: str, labels: Sequence[int] |
 
 
 def gap_fill(trend: DataFrame, resolution: str) -> DataFrame:
-    """Per label, add zero-count buckets between its first and last bucket.
-
-    One group per label holding that label's buckets (bounded by the
-    calendar), folded into a map and read off the bucket sequence - a single
-    pass over the (small) histogram, no self-join.
-    """
-    per_label = trend.groupBy("label").agg(
-        F.min("date").alias("lo"), F.max("date").alias("hi"),
-        F.map_from_entries(F.collect_list(F.struct("date", "articles"))).alias("pts"),
-    )
-    out = per_label.select("label", _filled_series(F.col("pts"), F.col("lo"), F.col("hi"), resolution).alias("p"))
-    return out.select("label", "p.date", "p.articles")
+    """Per label, add zero-count buckets between its first and last bucket."""
+    return _zero_filled(trend, resolution, ["label"]).select("label", "date", "articles")
 
 
 def trend_matrix(filled: DataFrame, labels: Sequence[int]) -> DataFrame:

@@ -38,6 +38,12 @@ def keep_latest(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     return packed.select("_v.*")
 
 
+def record_order(df: DataFrame) -> list[str]:
+    """What decides between records of one key: the load, then the file name,
+    then the position in the file (split packing does not follow file names)."""
+    return ["load_seq", *(["file_stem"] if "file_stem" in df.columns else []), "_pos"]
+
+
 class CorpusStore:
     """Versioned parquet table of articles keyed by ``pmid`` (last write wins)."""
 
@@ -73,7 +79,7 @@ class CorpusStore:
 
     def upsert(self, articles: DataFrame) -> int:
         """Merge ``articles`` (latest record per pmid wins, within the batch by
-        ``_pos`` order) into a new version; returns the new version number."""
+        ``record_order``) into a new version; returns the new version number."""
         v = self.current_version()
         nxt = 0 if v is None else v + 1
         new = articles.withColumn("load_seq", F.lit(nxt).cast("int"))
@@ -84,7 +90,7 @@ class CorpusStore:
             if "_pos" not in old.columns:
                 old = old.withColumn("_pos", F.lit(0).cast("long"))
             new = old.unionByName(new.select(*old.columns))
-        merged = keep_latest(new, "pmid", ["load_seq", "_pos"])
+        merged = keep_latest(new, "pmid", record_order(new))
         merged.repartition("pmid").write.mode("errorifexists").parquet(self.path(nxt))
         return nxt
 
@@ -136,10 +142,9 @@ class BucketedCorpusStore:
             seq = old.agg(F.max("load_seq")).first()[0]
             new = new.withColumn("load_seq", F.lit((seq if seq is not None else -1) + 1).cast("long"))
             new = old.unionByName(new.select(*old.columns))
-        merged = keep_latest(new, "pmid", ["load_seq", "_pos"]).checkpoint(eager=True)
+        merged = keep_latest(new, "pmid", record_order(new)).checkpoint(eager=True)
         n_buckets = merged.select(self.BUCKET).distinct().count()
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        merged.repartition(self.BUCKET).write.mode("overwrite").partitionBy(self.BUCKET).parquet(self.path)
+        merged.repartition(self.BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.BUCKET).parquet(self.path)
         return n_buckets
 
 
@@ -190,7 +195,8 @@ def import_directory(
 ) -> dict:
     """List -> last n -> not yet imported -> checksum -> parse -> upsert -> register.
 
-    Returns a small report (counts and the imported stems).
+    Returns a small report; ``rejects`` counts this import's records without a
+    numeric identifier, which are kept in ``rejects_path`` if given.
     """
     ledger.reset_if_target_empty(store)
     files = list_files(spark, directory, glob).filter(~F.col("name").endswith(".md5"))
@@ -208,12 +214,13 @@ def import_directory(
     report = {"files": len(paths), "quarantined": quarantined, "version": store.current_version(), "rejects": 0}
     if not paths:
         return report
-    # _pos: record order inside each file (the projection keeps the split order)
-    typed = normalise(read_medline_raw(spark, paths)).withColumn("_pos", F.monotonically_increasing_id())
+    # _pos: record order inside each file (the projection keeps the split order);
+    # parsed once, then read by both outputs
+    typed = normalise(read_medline_raw(spark, paths)).withColumn("_pos", F.monotonically_increasing_id()).checkpoint(eager=True)
     good, bad = split_rejects(typed)
-    if rejects_path:
+    report["rejects"] = bad.count()
+    if rejects_path and report["rejects"]:
         bad.write.mode("append").parquet(rejects_path)
-        report["rejects"] = spark.read.parquet(rejects_path).count()
     report["version"] = store.upsert(good)
     ledger.register(pending.select("file_stem"))
     return report

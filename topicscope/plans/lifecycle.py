@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import combine_text
 from ..operators.sampling import sample
 from ..sources.listing import list_files
-from ..sources.medline import flat_articles, read_medline
+from ..sources.medline import flat_articles, normalise, read_medline_raw, split_rejects
 from ..sources.ndjson import write_articles_json
 from .ingest import _exists, _fs
 from .topics import TfidfTopicModel
@@ -66,16 +66,17 @@ def train(
 ) -> TfidfTopicModel:
     """Sample -> fit -> save (the ``train`` command)."""
     s = training_sample(spark, articles, n_samples, method, seed, combine_kwargs, cache_path)
-    model = TfidfTopicModel(**model_kwargs).fit(s.select(F.col("pmid").alias("doc_id"), "text"))
+    model = TfidfTopicModel(combine_kwargs=combine_kwargs, **model_kwargs).fit(s.select(F.col("pmid").alias("doc_id"), "text"))
     model.save(model_path, overwrite=overwrite)
     return model
 
 
 def extract_to_json(spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False,
-                    glob: str = "*.xml*") -> list[str]:
+                    glob: str = "*.xml*", rejects_path: str | None = None) -> list[str]:
     """Convert every XML file to NDJSON (one output directory per input file,
     ``file_stem=<stem>``).  Files whose output exists are skipped unless
-    ``overwrite``; returns the converted stems."""
+    ``overwrite``; returns the converted stems.  Records without a numeric
+    identifier go to ``rejects_path`` (beside the output unless given)."""
     files = list_files(spark, input_dir, glob).filter(~F.col("name").endswith(".md5"))
     if not overwrite and _exists(spark, output_dir):
         fs, p = _fs(spark, output_dir)
@@ -86,12 +87,10 @@ def extract_to_json(spark: SparkSession, input_dir: str, output_dir: str, overwr
     todo = files.select("path", "file_stem").collect()  # one row per file
     if not todo:
         return []
-    arts = read_medline(spark, [r["path"] for r in todo])
-    if overwrite:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        write_articles_json(arts, output_dir, mode="overwrite")
-    else:
-        write_articles_json(arts, output_dir, mode="append")
+    arts, bad = split_rejects(normalise(read_medline_raw(spark, [r["path"] for r in todo])).checkpoint(eager=True))
+    if not bad.isEmpty():
+        bad.write.mode("append").parquet(rejects_path or f"{output_dir.rstrip('/')}_rejects")
+    write_articles_json(arts, output_dir, mode="overwrite" if overwrite else "append")
     return sorted(r["file_stem"] for r in todo)
 
 

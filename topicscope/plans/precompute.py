@@ -1,24 +1,44 @@
 """Bulk labelling of the corpus: every article without a prediction gets its
 topic label, its reconstructed date and its completion date.
 
-``forward`` takes unpredicted articles in identifier order, ``uniform`` in a
-seeded pseudo-random order (so that a capped run is an unbiased sample);
+``forward`` takes articles in identifier order, ``uniform`` in a seeded
+pseudo-random order (so that a capped or timed run is an unbiased sample);
 ``max_new`` caps the number of new predictions.  The prediction table is
-appended to (or replaced with ``overwrite``); an article is never labelled
-twice because the new rows are anti-joined against the table first.
+partitioned by label; articles already in it are skipped, or with ``overwrite``
+labelled again and upserted: rows of other articles always stay.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_text
-from ..operators.sampling import uniform_order
-from ..operators.store import unpredicted
-from ..operators.trends import with_reconstructed_date
+from ..operators.sampling import first_in_order, scan_positions, uniform_order
+from ..operators.store import ensure_predictions_table, unpredicted
+from ..operators.trends import completion_offset, with_reconstructed_date
 
 ORDER_METHODS = ("forward", "uniform")
+BATCH_SIZE = 10_000
+
+
+def _order(method: str, seed: int):
+    if method not in ORDER_METHODS:
+        raise ValueError(f"Invalid method: {method}")
+    return F.col("pmid") if method == "forward" else uniform_order("pmid", seed)[0]
+
+
+def labelled(model, articles: DataFrame, offset: DataFrame | None = None, combine_kwargs: dict | None = None) -> DataFrame:
+    """``pmid, date, date_completed, label`` of all of ``articles``."""
+    dated = with_reconstructed_date(articles, offset).dropDuplicates(["pmid"])
+    kw = combine_kwargs if combine_kwargs is not None else getattr(model, "combine_kwargs", None) or {}
+    text = combine_text("title", "abstract", "keywords_major", "keywords_minor", **kw).alias("text")
+    labels = model.predict(dated.select(F.col("pmid").alias("doc_id"), text))
+    return dated.select("pmid", "date", "date_completed").join(
+        labels.select(F.col("doc_id").alias("pmid"), F.col("label").cast("int").alias("label")), "pmid"
+    )
 
 
 def new_predictions(
@@ -26,32 +46,46 @@ def new_predictions(
     articles: DataFrame,
     existing: DataFrame | None = None,
     max_new: int | None = None,
-    method: str = "forward",
+    method: str = "uniform",
     seed: int = 0,
     combine_kwargs: dict | None = None,
+    offset: DataFrame | None = None,
 ) -> DataFrame:
     """``pmid, date, date_completed, label`` for articles not yet predicted.
 
     ``articles`` is the flat article view (``pmid, title, abstract,
     keywords_major, keywords_minor, article_date, date_completed``).  The
-    completion offset for date reconstruction is computed over all articles.
+    completion offset for date reconstruction is that of ``offset``
+    (``completion_offset`` of the whole corpus) or computed over ``articles``.
+    A cap is cut on identifiers alone, from distributed positions; the texts of
+    the chosen rows are joined afterwards.
     """
-    if method not in ORDER_METHODS:
-        raise ValueError(f"Invalid method: {method}")
-    dated = with_reconstructed_date(articles)
-    todo = dated if existing is None else unpredicted(dated, existing.select("pmid"), "pmid")
+    order = _order(method, seed)
+    if max_new is not None and max_new <= 0:
+        raise ValueError("max_new must be positive")
+    offset = completion_offset(articles) if offset is None else offset
+    todo = articles if existing is None else unpredicted(articles, existing.select("pmid"), "pmid")
     if max_new is not None:
-        order = [F.col("pmid")] if method == "forward" else uniform_order("pmid", seed)
-        todo = todo.orderBy(*order).limit(int(max_new))
-    kw = combine_kwargs or {}
-    docs = todo.select(
-        F.col("pmid").alias("doc_id"),
-        combine_text("title", "abstract", "keywords_major", "keywords_minor", **kw).alias("text"),
-    )
-    labels = model.predict(docs)
-    return todo.select("pmid", "date", "date_completed").join(
-        labels.select(F.col("doc_id").alias("pmid"), F.col("label").cast("int").alias("label")), "pmid"
-    ).dropDuplicates(["pmid"])
+        todo = todo.join(first_in_order(todo.select("pmid").distinct(), max_new, "pmid", order), "pmid", "left_semi")
+    return labelled(model, todo, offset, combine_kwargs)
+
+
+def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: bool = False) -> int:
+    """Put ``new`` into the label-partitioned ``table``; with ``upsert`` rows of
+    the same articles are replaced.  Returns the rows written."""
+    ensure_predictions_table(spark, table)
+    cols = ["pmid", "date", "date_completed", "label"]
+    # staged first: the write must not read the table it changes
+    staged = new.select(*cols).checkpoint(eager=True)
+    n = staged.count()
+    if not n:
+        return 0
+    if upsert:
+        old = spark.table(table).select(*cols)
+        staged = old.join(staged.select("pmid"), "pmid", "left_anti").unionByName(staged).select(*cols).checkpoint(eager=True)
+    staged.write.mode("overwrite" if upsert else "append").option("partitionOverwriteMode", "static").insertInto(table)
+    spark.catalog.refreshTable(table)
+    return n
 
 
 def precompute_predictions(
@@ -60,44 +94,45 @@ def precompute_predictions(
     articles: DataFrame,
     table: str,
     max_new: int | None = None,
-    method: str = "forward",
+    method: str = "uniform",
     overwrite: bool = False,
     seed: int = 0,
     batch_size: int | None = None,
     timeout: float | None = None,
+    combine_kwargs: dict | None = None,
 ) -> int:
-    """Label unpredicted articles into ``table``; returns the number added.
-
-    Without ``batch_size`` this is one job.  With ``batch_size`` the work is
-    done in rounds of at most that many articles (each round anti-joins
-    against what is already in the table), stopping when nothing is left,
-    ``max_new`` is reached or ``timeout`` seconds have passed - checked
-    between rounds.  For continuous or very large runs use the labelling
-    stream (``streaming.labelling``), which tracks progress in its checkpoint
-    instead of re-scanning.
-    """
-    import time
+    """Label articles into ``table``; returns the number labelled.
 
+    The identifiers to do are chosen and numbered once and cut into batches of
+    ``batch_size`` (one batch without it; ``BATCH_SIZE`` if a ``timeout`` is
+    given); ``timeout`` seconds are checked between batches.  For continuous
+    runs use the labelling stream (``streaming.labelling``).
+    """
+    order = _order(method, seed)
+    for name, value in (("max_new", max_new), ("batch_size", batch_size), ("timeout", timeout)):
+        if value is not None and value <= 0:
+            raise ValueError(f"{name} must be positive")
     start = time.monotonic()
-    replace = overwrite  # the first round replaces the table (after its rows are staged)
-    total = 0
-    while True:
-        existing = spark.table(table) if (spark.catalog.tableExists(table) and not replace) else None
-        cap = max_new - total if max_new is not None else None
-        if batch_size is not None:
-            cap = batch_size if cap is None else min(cap, batch_size)
-        if cap is not None and cap <= 0:
-            break
-        new = new_predictions(model, articles, existing, cap, method, seed)
-        # stage the rows first: the write must not read the table it extends
-        staged = new.checkpoint(eager=True)
-        n = staged.count()
-        if n or replace:
-            staged.write.mode("append" if existing is not None else "overwrite").saveAsTable(table)
-        replace = False
-        total += n
-        if batch_size is None or n == 0:
-            break
+    offset = completion_offset(articles).checkpoint(eager=True)
+    ids = articles.select("pmid").distinct()
+    if not overwrite and spark.catalog.tableExists(table):
+        ids = unpredicted(ids, spark.table(table).select("pmid"), "pmid")
+    if timeout is not None and batch_size is None:
+        batch_size = BATCH_SIZE
+    if max_new is None and batch_size is None:
+        todo = articles.join(ids.checkpoint(eager=True), "pmid", "left_semi")
+        return write_predictions(spark, labelled(model, todo, offset, combine_kwargs), table, overwrite)
+    ranked = ids.select("pmid", F.struct(order.alias("o"), F.col("pmid").alias("k")).alias("_order"))
+    placed = scan_positions(ranked, "_order").select("pmid", "pos")
+    if max_new is not None:
+        placed = placed.filter(F.col("pos") < int(max_new))
+    placed = placed.checkpoint(eager=True)
+    n, total = placed.count(), 0
+    size = batch_size or max(1, n)
+    for at in range(0, n, size):
+        batch = placed.filter((F.col("pos") >= at) & (F.col("pos") < at + size)).select("pmid")
+        todo = articles.join(batch, "pmid", "left_semi")
+        total += write_predictions(spark, labelled(model, todo, offset, combine_kwargs), table, overwrite)
         if timeout is not None and time.monotonic() - start >= timeout:
             break
     return total

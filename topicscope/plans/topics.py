@@ -62,8 +62,10 @@ class TfidfTopicModel:
         random_state: int = 0,
         n_name_terms: int = 3,
         max_iter: int = 20,
+        combine_kwargs: dict | None = None,
     ):
         self.config = dict(
+            combine_kwargs=dict(combine_kwargs or {}),
             stop_words=stop_words,
             ngram_range=list(ngram_range),
             min_df=min_df,
@@ -81,6 +83,11 @@ class TfidfTopicModel:
         self.names: DataFrame | None = None  # label, name
         self.kmeans = None  # the fitted Spark ML KMeansModel
 
+    @property
+    def combine_kwargs(self) -> dict:
+        """The text parts the model was trained on; labelling uses the same."""
+        return self.config["combine_kwargs"]
+
     # ------------------------------------------------------------ building blocks
     def _term_counts(self, docs: DataFrame) -> DataFrame:
         c = self.config
@@ -232,11 +239,16 @@ class TfidfTopicModel:
         if "names" in parts:
             self.names.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/names")
 
+    @classmethod
+    def _load_parts(cls, spark: SparkSession, path: str) -> dict:
+        """Constructor arguments that are not in the saved config."""
+        return {}
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TfidfTopicModel":
         cfg = json.loads(spark.read.json(f"{path}/config").first()["config"])
         cfg["ngram_range"] = tuple(cfg["ngram_range"])
-        m = cls(**cfg)
+        m = cls(**cls._load_parts(spark, path), **cfg)
         m.vocab = spark.read.parquet(f"{path}/vocab")
         m.components = spark.read.parquet(f"{path}/components")
         cen = spark.read.parquet(f"{path}/centers").orderBy("label").collect()
@@ -245,10 +257,10 @@ class TfidfTopicModel:
         m.n_terms = m.vocab.count()
         from pyspark.ml.clustering import KMeansModel
 
-        try:
-            m.kmeans = KMeansModel.load(f"{path}/kmeans")
-        except Exception:  # saved without the k-means model: score centres directly
-            m.kmeans = None
+        from .ingest import _exists
+
+        # saved without the k-means model: score centres directly
+        m.kmeans = KMeansModel.load(f"{path}/kmeans") if _exists(spark, f"{path}/kmeans") else None
         m.names = spark.read.option("header", True).schema("label int, name string").csv(f"{path}/names")
         return m
 
@@ -282,16 +294,26 @@ class EntityTopicModel(TfidfTopicModel):
     def save(self, path: str, overwrite: bool = False, save_only: Sequence[str] | None = None) -> None:
         super().save(path, overwrite, save_only)
         parts = set(save_only or ("config", "model", "names"))
-        if "model" in parts:
+        if "model" in parts and self.dictionary is not None:
             self.dictionary.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/dictionary")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "EntityTopicModel":
-        base = TfidfTopicModel.load.__func__(TfidfTopicModel, spark, path)
-        cfg = dict(base.config)
-        max_len = cfg.pop("max_entity_len", 3)
-        cfg["ngram_range"] = tuple(cfg["ngram_range"])
-        m = cls(dictionary=spark.read.parquet(f"{path}/dictionary"), max_entity_len=max_len, **cfg)
-        m.vocab, m.components, m.centers, m.names = base.vocab, base.components, base.centers, base.names
-        m._k, m.n_terms, m.kmeans = base._k, base.n_terms, base.kmeans
+    def _load_parts(cls, spark: SparkSession, path: str) -> dict:
+        from .ingest import _exists
+
+        if _exists(spark, f"{path}/dictionary"):
+            return {"dictionary": spark.read.parquet(f"{path}/dictionary")}
+        if cls._extractor is None:
+            raise ValueError("the model was saved with an extractor; give it to load")
+        return {"extractor": cls._extractor}
+
+    _extractor = None
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, extractor=None) -> "EntityTopicModel":
+        """A saved model; one that used an extractor needs it again, since code is
+        not saved."""
+        kind = type(cls.__name__, (cls,), {"_extractor": staticmethod(extractor)}) if extractor is not None else cls
+        m = super(EntityTopicModel, kind).load(spark, path)
+        m.__class__ = cls
         return m

@@ -25,17 +25,23 @@ def run_import_stream(
     store: CorpusStore,
     checkpoint: str,
     max_files_per_trigger: int | None = None,
+    rejects_path: str | None = None,
 ) -> int:
     """Process every file not yet seen (``availableNow``) and stop.
 
     Returns the number of micro-batches that carried data.  Running it again
-    with the same checkpoint adds nothing.
+    with the same checkpoint adds nothing.  Records without a numeric identifier
+    go to ``rejects_path`` (beside the checkpoint unless given), one folder per
+    micro-batch, so a repeated batch replaces its own.
     """
+    rejects = (rejects_path or f"{checkpoint.rstrip('/')}_rejects").rstrip("/")
     batches = []
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        typed = normalise(batch).withColumn("_pos", F.monotonically_increasing_id())
-        good, _ = split_rejects(typed)
+        typed = normalise(batch).withColumn("_pos", F.monotonically_increasing_id()).checkpoint(eager=True)
+        good, bad = split_rejects(typed)
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={int(batch_id)}")
         if not good.isEmpty():
             store.upsert(good)
             batches.append(batch_id)

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.precompute import new_predictions
+from ..operators.trends import completion_offset
+from ..plans.precompute import new_predictions, write_predictions
 
 
 def run_labelling_stream(
@@ -16,23 +17,23 @@ def run_labelling_stream(
     model,
     table: str,
     checkpoint: str,
+    corpus: DataFrame,
     timeout: float | None = None,
 ) -> int:
     """Label every available article (``availableNow``) and stop; returns the
-    number of rows appended.  Articles already in ``table`` are skipped.
+    number of rows appended.  Articles already in ``table`` are skipped.  Missing
+    dates are reconstructed with the completion offset of ``corpus`` (a batch view
+    of the whole corpus), computed once, so they do not depend on micro-batches.
 
     With ``timeout`` (seconds) the stream is stopped between micro-batches once
     the time is up; the checkpoint lets the next run continue where it ended.
     """
     added = []
+    offset = completion_offset(corpus).checkpoint(eager=True)
 
     def label(batch: DataFrame, batch_id: int) -> None:
         existing = spark.table(table) if spark.catalog.tableExists(table) else None
-        new = new_predictions(model, batch.dropDuplicates(["pmid"]), existing).checkpoint(eager=True)
-        n = new.count()
-        if n:
-            new.write.mode("append").saveAsTable(table)
-            added.append(n)
+        added.append(write_predictions(spark, new_predictions(model, batch, existing, offset=offset), table))
 
     q = (
         articles_stream.writeStream.foreachBatch(label)
