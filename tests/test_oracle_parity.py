@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from topicscope.checks.oracle import ORACLE_SQL
+from topicscope.plans.registry import QUERIES
 from tools.compare_oracle import digest
 
 from .conftest import SF_SMALL
@@ -20,11 +21,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle(spark, duck, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(oracle_sql()[name])
+    cur = duck.execute(ORACLE_SQL[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
@@ -33,7 +34,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_model_dependent():
-    missing = set(queries()) - set(oracle_sql())
+    missing = set(QUERIES) - set(ORACLE_SQL)
     from topicscope.plans.registry import ROWS_ONLY
 
     assert missing == set(ROWS_ONLY)

@@ -240,7 +240,7 @@ def _sql() -> dict[str, str]:
         "array_to_string(ma, ' ') AS major, array_to_string(mi, ' ') AS minor FROM s"
     )
     q["strip_inline_markup"] = (
-        "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), "
+        "SELECT page_id, trim(regexp_replace(html, "
         f"'{INLINE_MARKUP_PATTERN}', '', 'g')) AS text FROM pages"
     )
     q["combine_text"] = (
@@ -358,6 +358,24 @@ def _sql() -> dict[str, str]:
         f"WITH {EX}, {CEN}, {STATS}, {CH}, {DB}, {SIL} SELECT round(sil.silhouette, 6) AS silhouette, "
         "round(ch.calinski_harabasz, 6) AS calinski_harabasz, round(db.davies_bouldin, 6) AS davies_bouldin FROM sil, ch, db"
     )
+    todo = "SELECT pmid, date, date_completed, CAST(pmid % 10 AS INTEGER) AS label FROM pred"
+    cap = f"LIMIT {R.PRECOMPUTE_CAP}"
+    q["precompute_dates"] = f"WITH {BASE} {todo} WHERE pmid % 3 <> 0"
+    q["precompute_capped_forward"] = f"WITH {BASE} {todo} WHERE pmid % 3 <> 0 ORDER BY pmid {cap}"
+    q["precompute_capped_uniform"] = (f"WITH {BASE} {todo} WHERE pmid % 3 <> 0 "
+                                      f"ORDER BY md5(CAST(pmid AS VARCHAR) || ':{R.SAMPLE_SEED}'), pmid {cap}")
+    q["precompute_overwrite"] = (f"WITH {BASE}, n AS ({todo} ORDER BY pmid {cap}) SELECT * FROM n UNION ALL "
+                                 "SELECT pmid, CAST(NULL AS DATE), date_completed, -1 FROM oa WHERE pmid % 3 = 0 AND pmid NOT IN (SELECT pmid FROM n)")
+    q["upsert_across_files"] = (
+        "SELECT pmid, file_stem, price FROM (SELECT o_custkey AS pmid, 'f' || CAST(o_orderkey % 4 AS VARCHAR) AS file_stem, o_totalprice AS price, "
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+    q["gap_filled_trend_day"] = (f"WITH {BASE}, {_label_trend('pred', 'day')}, {_gap_fill('lt', 'day')} "
+                                 "SELECT label, date, articles FROM filled")
+    q["event_trend_hour_filled"] = (
+        "WITH c AS (SELECT event_type AS label, date_trunc('hour', ts) AS date, COUNT(*) AS n FROM events GROUP BY ALL), "
+        "s AS (SELECT label, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS date FROM "
+        "(SELECT label, CAST(MIN(date) AS TIMESTAMP) AS lo, CAST(MAX(date) AS TIMESTAMP) AS hi FROM c GROUP BY label)) "
+        "SELECT s.label, strftime(s.date, '%Y-%m-%d %H:%M:%S') AS date, COALESCE(n, 0) AS articles FROM s LEFT JOIN c ON c.label = s.label AND c.date = s.date")
     q["event_trend_daily"] = ("SELECT event_type AS label, CAST(date_trunc('day', ts) AS DATE) AS date, COUNT(*) AS articles "
                               "FROM events GROUP BY ALL")
     q["event_trend_month"] = ("SELECT event_type AS label, CAST(date_trunc('month', ts) AS DATE) AS date, COUNT(*) AS articles "

@@ -70,6 +70,11 @@ def new_predictions(
     return labelled(model, todo, offset, combine_kwargs)
 
 
+def merged_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same articles."""
+    return old.join(new.select("pmid"), "pmid", "left_anti").unionByName(new)
+
+
 def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: bool = False) -> int:
     """Put ``new`` into the label-partitioned ``table``; with ``upsert`` rows of
     the same articles are replaced.  Returns the rows written."""
@@ -82,7 +87,7 @@ def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: b
         return 0
     if upsert:
         old = spark.table(table).select(*cols)
-        staged = old.join(staged.select("pmid"), "pmid", "left_anti").unionByName(staged).select(*cols).checkpoint(eager=True)
+        staged = merged_predictions(old, staged).select(*cols).checkpoint(eager=True)
     staged.write.mode("overwrite" if upsert else "append").option("partitionOverwriteMode", "static").insertInto(table)
     spark.catalog.refreshTable(table)
     return n

@@ -195,8 +195,7 @@ def split_flagged_array(spark, d):
 
 def strip_inline_markup(spark, d):
     p = read_table(spark, d, "pages")
-    body = F.regexp_extract(F.col("html"), r"(?s)<article>(.*?)</article>", 1)
-    return p.select("page_id", T.strip_inline_markup(body).alias("text"))
+    return p.select("page_id", T.strip_inline_markup(F.col("html")).alias("text"))
 
 
 def combine_text(spark, d):
@@ -449,6 +448,79 @@ def event_trend_month(spark, d):
     return event_trend(read_table(spark, d, "events"), "month")
 
 
+def event_trend_hour_filled(spark, d):
+    from ..streaming.trends import event_trend
+
+    filled = TR.gap_fill(event_trend(read_table(spark, d, "events"), "hour"), "hour")
+    return filled.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+
+
+def gap_filled_trend_day(spark, d):
+    return TR.gap_fill(TR.label_trend(predictions_view(spark, d), "day"), "day")
+
+
+# ---------------------------------------------------------------- precompute, on fixed labels
+PRECOMPUTE_CAP = 100
+
+
+class _LabelFromText:
+    """Stands in for a fitted model, so that SQL can tell every label."""
+
+    @staticmethod
+    def predict(docs):
+        return docs.select("doc_id", (F.trim("text").cast("long") % 10).cast("int").alias("label"))
+
+
+def _text_articles(spark, d):
+    a = order_articles(spark, d).drop("label")
+    none = F.array().cast("array<string>")
+    return a.withColumns({"title": F.lit(""), "abstract": F.col("pmid").cast("string"), "keywords_major": none, "keywords_minor": none})
+
+
+def _done(arts):
+    done = arts.filter("pmid % 3 = 0")
+    return done.select("pmid", F.lit(None).cast("date").alias("date"), "date_completed", F.lit(-1).alias("label"))
+
+
+def precompute_dates(spark, d):
+    from .precompute import new_predictions
+
+    arts = _text_articles(spark, d)
+    return new_predictions(_LabelFromText, arts, _done(arts))
+
+
+def precompute_capped_forward(spark, d):
+    from .precompute import new_predictions
+
+    arts = _text_articles(spark, d)
+    return new_predictions(_LabelFromText, arts, _done(arts), PRECOMPUTE_CAP, "forward")
+
+
+def precompute_capped_uniform(spark, d):
+    from .precompute import new_predictions
+
+    arts = _text_articles(spark, d)
+    return new_predictions(_LabelFromText, arts, _done(arts), PRECOMPUTE_CAP, "uniform", SAMPLE_SEED)
+
+
+def precompute_overwrite(spark, d):
+    from .precompute import merged_predictions, new_predictions
+
+    arts = _text_articles(spark, d)
+    return merged_predictions(_done(arts), new_predictions(_LabelFromText, arts, None, PRECOMPUTE_CAP, "forward"))
+
+
+def upsert_across_files(spark, d):
+    from .ingest import keep_latest, record_order
+
+    o = read_table(spark, d, "orders")
+    records = o.select(
+        F.col("o_custkey").alias("pmid"), F.concat(F.lit("f"), (F.col("o_orderkey") % 4).cast("string")).alias("file_stem"),
+        F.col("o_orderkey").alias("_pos"), F.lit(0).alias("load_seq"), F.col("o_totalprice").alias("price"),
+    )
+    return keep_latest(records, "pmid", record_order(records)).select("pmid", "file_stem", "price")
+
+
 # ---------------------------------------------------------------- topic models
 MODEL_PARAMS = dict(stop_words="english", min_df=MIN_DF, max_df=MAX_DF, n_components=20, n_clusters=10, random_state=42)
 QUERY_TEXT = "the thesis of the station"
@@ -671,6 +743,14 @@ QUERIES: dict[str, Builder] = {
     # streaming trend, batch twin
     "event_trend_daily": event_trend_daily,
     "event_trend_month": event_trend_month,
+    "event_trend_hour_filled": event_trend_hour_filled,
+    "gap_filled_trend_day": gap_filled_trend_day,
+    # precompute and import, on fixed labels and records
+    "precompute_dates": precompute_dates,
+    "precompute_capped_forward": precompute_capped_forward,
+    "precompute_capped_uniform": precompute_capped_uniform,
+    "precompute_overwrite": precompute_overwrite,
+    "upsert_across_files": upsert_across_files,
     # gazetteer entities (SQL twin: a recursive walk)
     "entity_text": entity_text,
     # topic model (rows-only)
