@@ -292,9 +292,12 @@ def _read_batches(root: str, keep_payload: bool):
 def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFrame:
     """Every record the index knows, read from the archives (``_PAYLOAD``); a
     revisit's payload is left null here, see ``resolved``."""
-    entries = index.repartition("file").mapInArrow(_entries_batches(root), _ENTRY)
+    # a stated count: entries are small, but the records behind them are not, so
+    # Spark must not put many archives into one task
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = index.repartition(parts, "file").mapInArrow(_entries_batches(root), _ENTRY)
     # neighbours in an archive are read together; files are of bounded size
-    ordered = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    ordered = entries.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_read_batches(root, payloads), _PAYLOAD)
 
 
