@@ -225,12 +225,21 @@ def _score_batches(chain: list[Linear]):
     return run
 
 
-def scored(docs: DataFrame, chain: list[Linear], carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of ``docs`` with ``p``, the chain's probabilities."""
+def _scored(docs: DataFrame, chain: list[Linear], carry: list[str]) -> DataFrame:
+    """The ``carry`` columns as c0, c1 ... (names may clash) and ``p``."""
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     source = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
     schema = source.drop("text").withColumn("p", F.lit(None).cast("array<double>")).schema
-    return source.mapInArrow(_score_batches(chain), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "p")
+    return source.mapInArrow(_score_batches(chain), schema)
+
+
+def _named(carry: list[str]) -> list[Column]:
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
+
+
+def scored(docs: DataFrame, chain: list[Linear], carry: list[str]) -> DataFrame:
+    """The ``carry`` columns of ``docs`` with ``p``, the chain's probabilities."""
+    return _scored(docs, chain, carry).select(*_named(carry), "p")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,4 +253,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the last category does not reject, as they were."""
     chain = train(docs, labels)
-    return scored(docs, chain, docs.columns).filter(F.col("p")[len(chain) - 1] < chain[-1].threshold).drop("p")
+    return _scored(docs, chain, docs.columns).filter(F.col("p")[len(chain) - 1] < chain[-1].threshold).select(*_named(docs.columns))
