@@ -55,3 +55,19 @@ def test_nulls_repeats_and_empty(spark):
     got = near_duplicates(spark.createDataFrame([(4, "a b c d e"), (4, "a b c d e"), (None, "a b c d e"), (9, "a b c d e")], schema)).collect()
     assert sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in got) == [(0, 0, False), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_dense_group_around_the_threshold(spark):
+    """Copies of one text whose similarities lie on both sides of the limit."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(140)]
+    texts = []
+    for i in range(90):
+        copy = list(base)
+        for at in r.sample(range(140), i % 9):
+            copy[at] = f"e{r.randrange(6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts)
+    assert 3 < len({c for _, _, c, _ in want}) < 80
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == want

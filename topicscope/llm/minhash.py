@@ -13,9 +13,11 @@ linked when ``100 * |A & B| >= percent * |A | B|``.
    of such buckets has cannot be shared, so a document with ``own`` of those
    shares at most ``n - own``.  Too few for any partner: it is done.  Then three
    more hubs, those with the least share of own shingles, are tested, and at
-   last all pairs of different components whose sizes the bound allows (joined
-   by bucket and size class).  Pairs inside a component cannot change it and
-   bounded ones cannot be linked, so no link between components is lost.
+   last what is still apart: bucket and size class are joined on sizes and on a
+   bitmap of each set.  A bit that one set has and the other has not is a shingle
+   they do not share, so the bits in common bound the intersection from above.
+   Pairs inside a component cannot change it and bounded ones cannot be linked,
+   so no link between components is lost.
 4. A pair passes if its sizes allow the similarity, then if its signatures
    agree in at least 0.62 of the minima (near five deviations below 0.8), then
    by intersecting the full sets.
@@ -29,6 +31,8 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,9 @@ SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 28, 4
 HUBS = 3
 AGREE = 0.62
+MAP_WORDS = 32
 
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
+_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary, map array<long>"
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +77,19 @@ def _shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return values, np.searchsorted(owner, np.arange(len(words) + 1))
 
 
+def _bitmaps(values: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """Per document 64 * MAP_WORDS bits, each set if a shingle falls on it."""
+    on = np.zeros((docs, 64 * MAP_WORDS), bool)
+    on[owner, (B.mix(values + B.U64(5)) % B.U64(64 * MAP_WORDS)).astype(np.int64)] = True
+    return np.packbits(on, axis=1).view(np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as an Arrow list column."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(rows.ravel()))
+
+
 def _sign_batches(k: int, bands: int, rows: int):
     a, b = _family(bands * rows)
 
@@ -99,10 +117,10 @@ def _sign_batches(k: int, bands: int, rows: int):
                 for r in range(rows):
                     key = B.mix(key * B.U64(0x9E3779B97F4A7C15) + least[:, r::rows])
                 sig = least.astype(np.uint8)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
+                maps = _bitmaps(values, np.repeat(np.arange(hi - lo), n), hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat, pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
+                    [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), _lists(key.view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), _lists(maps)],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "map"],
                 )
 
     return run
@@ -190,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     key = ["n_shingles", "k1", "k2"]
     classes = B.stage(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "minhash-classes")
     rep = signed.join(classes, key).filter("doc_id = rep").dropDuplicates(["doc_id"])
-    rep = B.stage(rep.select("doc_id", "n_shingles", "bands", "sig"), "minhash-reps")
+    rep = B.stage(rep.select("doc_id", "n_shingles", "bands", "sig", "map"), "minhash-reps")
     banded = rep.select(F.col("doc_id"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").drop("n")
     shared = B.stage(shared, "minhash-buckets")
@@ -231,14 +249,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # what is still apart and possible: all but a bucket's largest component
     # against everything of another component, by size class
     place = group.select("node", F.col("component").alias("c"))
-    open_ = B.stage(placed(feasible, "doc_id", "component").join(rep.select("doc_id", "bands"), "doc_id"), "minhash-open")
+    open_ = B.stage(placed(feasible, "doc_id", "component").join(rep.select("doc_id", "bands", "map"), "doc_id"), "minhash-open")
     main = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     main = B.stage(main.select("band", "main"), "minhash-main")
-    size_class = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(float(np.log(1.05))))
+    size_class = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(float(np.log(1.12))))
     least = F.floor(percent * F.col("n") / 100)
-    minor = open_.join(main, "band").filter("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("bands").alias("ba"), F.explode(F.sequence(size_class(least), size_class(F.col("most")))).alias("class"))
-    other = open_.join(main.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("bands").alias("bb"), size_class(F.col("n")).alias("class"))
+    # shingles beyond the bits set: no set shares more than these and its common bits
+    spare = F.col("n") - reduce(add, [F.bit_count(F.col("map")[i]) for i in range(MAP_WORDS)])
+    minor = open_.join(main, "band").filter("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("bands").alias("ba"), F.col("map").alias("xa"), spare.alias("sa"), F.explode(F.sequence(size_class(least), size_class(F.col("most")))).alias("class"))
+    other = open_.join(main.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("bands").alias("bb"), F.col("map").alias("xb"), spare.alias("sb"), size_class(F.col("n")).alias("class"))
     last = minor.join(other, ["band", "class"]).filter("ca <> cb and nb <= ma and na <= mb")
+    # bits in common, and with them the largest intersection
+    both = reduce(add, [F.bit_count(F.col("xa")[i].bitwiseAND(F.col("xb")[i])) for i in range(MAP_WORDS)])
+    most = F.least("sa", "sb") + both
+    last = last.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
     # a pair comes from the first band it shares only
     before = lambda c: F.slice(c, F.lit(1), F.array_position("ba", F.col("band")).cast("int") - 1)
     last = last.filter(~F.arrays_overlap(before("ba"), before("bb")))
