@@ -191,12 +191,16 @@ class Items:
         return out
 
 
-def common_subsequence(masks: dict[int, int], n: int, other: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel over the item."""
+def common_subsequence(masks: dict[int, int], n: int, other: list[int], least: int = 0) -> int:
+    """Length of the longest common subsequence, bit-parallel over the item; 0
+    where fewer than ``least`` tokens occur in the item at all."""
+    shared = list(filter(None, map(masks.get, other)))
+    if len(shared) < least:
+        return 0
     full = (1 << n) - 1
     v = full
-    for t in other:
-        u = v & masks.get(t, 0)
+    for m in shared:
+        u = v & m
         v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
@@ -257,12 +261,13 @@ def _search_batches(items: Items, latent: np.ndarray, cosine: float, same: float
             key = batch.column("key").to_pylist()
             for lo, _, buf, off in B.doc_chunks(batch.column("text")):
                 h, at = tokens(buf, off)
+                listed, at_ = h.tolist(), at.tolist()
                 best: dict[tuple[int, int], float] = {}
                 for d, i, s, e in candidates(h, at):
                     n = len(items.tokens[i])
                     # a margin of one step on either side: windows start every STEP tokens
-                    near = h[max(at[d], s - STEP) : min(at[d + 1], e + STEP)].tolist()
-                    share = common_subsequence(masks[i], n, near) / n
+                    near = listed[max(at_[d], s - STEP) : min(at_[d + 1], e + STEP)]
+                    share = common_subsequence(masks[i], n, near, int(part * n)) / n
                     if share < part or share <= best.get((d, i), 0.0):
                         continue
                     if share < same:
