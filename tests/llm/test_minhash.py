@@ -71,3 +71,39 @@ def test_dense_group_around_the_threshold(spark):
     want = brute(texts)
     assert 3 < len({c for _, _, c, _ in want}) < 80
     assert sorted(map(tuple, near_duplicates(docs).collect())) == want
+
+
+def test_pipeline_stage_takes_five_words(spark):
+    """The stage against a five-word brute force, on pairs that only four words link."""
+    from corpus_pipeline import drop_near_duplicates
+
+    r = random.Random(5)
+    texts = ["one", "one", "a b c d", "A b c d", ""]
+    for i in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(40, 120))]
+        copy = list(base)
+        for at in r.sample(range(len(base)), max(1, len(base) * (i % 5) // 100)):
+            copy[at] = "x"
+        texts += [" ".join(base), " ".join(copy)]
+
+    def kept(k):
+        sets, root = [], list(range(len(texts)))
+        for t in texts:
+            w = t.lower().split()
+            sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+        return [i for i in range(len(texts)) if find(i) == i]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(x.doc_id for x in drop_near_duplicates(spark, docs, "").collect())
+    assert kept(4) != kept(5) and got == kept(5)

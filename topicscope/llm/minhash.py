@@ -275,9 +275,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, with all its columns.  Repeated rows of its id
     are one document; rows without an id cannot be grouped and stay."""
-    stay = B.stage(near_duplicates(docs).filter("kept").select("doc_id").distinct(), "minhash-kept")
+    stay = B.stage(near_duplicates(docs, shingle).filter("kept").select("doc_id").distinct(), "minhash-kept")
     named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
