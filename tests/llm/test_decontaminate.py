@@ -60,3 +60,57 @@ def test_svd_spans_the_top_singular_vectors(spark, monkeypatch):
     u, s, vt = np.linalg.svd(a.astype(np.float32).astype(np.float64))
     want = vt[:3].T / s[:3]
     assert np.abs(np.abs(got) - np.abs(want)).max() < 0.02 * np.abs(want).max()
+
+
+def test_recall_in_bands_against_brute_force_windows(spark):
+    """Short exact items, and paraphrases down to a share of 0.55, that the check
+    accepts in some window are found, at least nine of ten in each band."""
+    r = random.Random(6)
+    docs = [x.text.split() for x in spark.read.parquet(f"{SF_MID}/documents.parquet").filter("text is not null").collect()]
+    texts = [x.text.split() for x in spark.read.parquet(f"{SF_MID}/benchmark.parquet").collect()]
+    vocab = [w for d in docs for w in d]
+    rows, items, band = [(i, " ".join(d)) for i, d in enumerate(docs)], [], {}
+    places = r.sample([i for i, d in enumerate(docs) if 30 < len(d) < 600], 120)
+    for kind in (1, 2, 4, 6, 12, 0.55):
+        for words in r.sample(texts, 20):
+            at = r.randint(0, len(words) - kind) if kind >= 1 else 0
+            item = words[at : at + kind] if kind >= 1 else words
+            put = list(item)
+            if kind < 1:
+                for k in r.sample(range(len(put) - 6), min(len(put) - 6, round(len(put) * (1 - kind)))):
+                    put[k] = r.choice(vocab)
+            i = places[len(items)]
+            at = r.randint(0, len(docs[i]))
+            rows[i] = (i, " ".join(docs[i][:at] + put + docs[i][at:]))
+            band.setdefault(kind, []).append((i, len(items)))
+            items.append((len(items), " ".join(item)))
+    got = {(x.doc_id, x.item_id) for x in D.contamination_report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def hashes(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return D.tokens(buf, np.array([0, len(buf)]))[0].tolist()
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    def accepted(item, doc):
+        """Over the windows of the item's length at every token."""
+        n, tail = len(item), item[-min(6, len(item)) :]
+        for s in range(max(1, len(doc) - n + 1)):
+            near = doc[s : s + n]
+            if len(set(near) & set(item)) * 4 < len(set(item)):
+                continue
+            share = longest(item, near) / n
+            if share >= 0.75 or (share >= 0.5 and longest(tail, near) >= 0.8 * len(tail)):
+                return True
+        return False
+
+    for kind, of in band.items():
+        want = [(i, k) for i, k in of if hashes(items[k][1]) and accepted(hashes(items[k][1]), hashes(rows[i][1]))]
+        assert len(want) > 15 and len(got & set(want)) >= 0.9 * len(want), kind

@@ -8,9 +8,12 @@
    each scaled by its singular value.  The rows stay in Spark; each power step
    sends one partial matrix per task, in row blocks that are summed by block.
 3. Every document is searched whole: windows of an item's length, every
-   ``STEP`` tokens, are sums of latent vectors, and those whose cosine with the
-   item is at least ``cosine`` are candidates.
-4. A candidate counts if the longest common subsequence of item and window
+   ``STEP`` tokens (every token for items under one and a half steps), are sums
+   of latent vectors, and those whose cosine with the item is at least ``cosine``
+   are candidates.  The README gives the share of matches that are candidates.
+4. The tokens of a candidate that the item has too bound the subsequence from
+   above; they are counted by slots of a hash, which can only raise the bound.
+5. A candidate counts if the longest common subsequence of item and window
    holds ``same`` of the item's tokens, or ``part`` of them and, as a paraphrase
    must, also the item's answer (its closing tokens).
 
@@ -38,10 +41,11 @@ PASSAGE = 64
 RANK, OVER, POWER = 48, 8, 1
 SAMPLE = 2000
 STEP = 8
-COSINE = 0.55
+COSINE = 0.45
 SAME, PART, ANSWER = 0.75, 0.5, 6
 MAX_ITEMS, MAX_TOKENS = 20_000, 2_000_000
 TERM_BLOCK = 4096
+SLOTS = 1024
 
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = True
@@ -66,6 +70,10 @@ def term(h: np.ndarray) -> np.ndarray:
     return (h >> B.U64(64 - BITS)).astype(np.int64)
 
 
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h & B.U64(SLOTS - 1)).astype(np.int64)
+
+
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's passages, and in how many of them each term occurs."""
     df, passages = np.zeros(1 << BITS, np.int64), 0
@@ -181,7 +189,7 @@ class Items:
 
     ids: list[int]
     tokens: list[np.ndarray]
-    blocks: np.ndarray  # window length in steps
+    blocks: np.ndarray  # window length in steps, negative: in tokens
     vectors: np.ndarray
 
     def masks(self, i: int) -> dict[int, int]:
@@ -215,7 +223,7 @@ def load_items(benchmark: DataFrame, latent: np.ndarray) -> Items:
     words = [h[at[i] : at[i + 1]] for i in use]
     vectors = np.array([latent[term(w)].sum(axis=0) for w in words], np.float32).reshape(len(use), latent.shape[1])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    blocks = np.array([max(1, round(len(w) / STEP)) for w in words], np.int64)
+    blocks = np.array([round(len(w) / STEP) if 2 * len(w) >= 3 * STEP else -len(w) for w in words], np.int64)
     return Items([rows[i].item_id for i in use], words, blocks, vectors)
 
 
@@ -231,42 +239,75 @@ def _search_batches(items: Items, latent: np.ndarray, cosine: float, same: float
     sizes = sorted(set(items.blocks.tolist()))
     groups = {k: np.flatnonzero(items.blocks == k) for k in sizes}
     padded = np.vstack([latent, np.zeros((1, latent.shape[1]), np.float32)])
+    has = np.zeros((len(items.ids), SLOTS + 1), np.uint8)  # the last slot is no token's
+    for i, w in enumerate(items.tokens):
+        has[i, slot(w)] = 1
+    has = has.ravel()
+    least = np.array([int(part * len(w)) for w in items.tokens], np.int64)
+
+    def windows(total: np.ndarray, first: np.ndarray, k: int):
+        """(document, start, end, vector, length) of windows of ``k`` rows of a
+        run of documents, from running sums.  Those at a document's end are
+        shorter and left out, but for its first."""
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        start = np.arange(len(owner))
+        end = np.minimum(start + k, first[owner + 1])
+        use = (end - start == k) | (start == first[owner])
+        s, e = start[use], end[use]
+        v = (total[e] - total[s]).astype(np.float32)
+        return owner[use], s, e, v, np.sqrt(np.einsum("ij,ij->i", v, v))
+
+    def possible(slots: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether enough tokens of ``lo .. hi`` fall on a slot of the item."""
+        out = np.zeros(len(item), bool)
+        for a in range(0, len(item), 4096):
+            one = slice(a, a + 4096)
+            at = lo[one, None] + np.arange(int((hi[one] - lo[one]).max()))
+            on = np.where(at < hi[one, None], slots[np.minimum(at, len(slots) - 1)], SLOTS)
+            out[one] = has[on + item[one, None] * (SLOTS + 1)].sum(axis=1, dtype=np.int64) >= least[item[one]]
+        return out
 
     def candidates(h: np.ndarray, at: np.ndarray):
-        """(document, item, first token, end token) of the windows near an item."""
+        """(document, item, first token, end token) of the windows near an item,
+        with a margin of one step on either side."""
+        if not len(h):
+            return
         size = np.diff(at)
-        steps = np.maximum(1, -(-size // STEP))
+        t = term(h)
+        slots = slot(h)
+        steps = -(-size // STEP)
         first = np.append(0, np.cumsum(steps))
         place = np.full(first[-1] * STEP, 1 << BITS, np.int64)
         doc = np.repeat(np.arange(len(size)), size)
-        place[first[doc] * STEP + np.arange(len(h)) - at[doc]] = term(h)
-        sums = padded[place].reshape(-1, STEP, latent.shape[1]).sum(axis=1)
-        owner = np.repeat(np.arange(len(size)), steps)
-        run = np.vstack([np.zeros((1, latent.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-        start = np.arange(len(owner))
+        place[first[doc] * STEP + np.arange(len(h)) - at[doc]] = t
+        sums = padded[place[::STEP]]
+        for j in range(1, STEP):
+            sums += padded[place[j::STEP]]
+        running = lambda x: np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])
+        run = running(sums)
+        fine = running(latent[t]) if sizes[0] < 0 else None
         for k, members in groups.items():
-            # the last windows of a document are shorter; the first is always there
-            end = np.minimum(start + k, first[owner + 1])
-            use = (end - start == k) | (start == first[owner])
-            s, e = start[use], end[use]
-            v = (run[e] - run[s]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            close = v @ items.vectors[members].T >= cosine
-            w, m = np.nonzero(close)
-            d = owner[s[w]]
-            yield from zip(d.tolist(), members[m].tolist(), (at[d] + (s[w] - first[d]) * STEP).tolist(), (at[d] + (e[w] - first[d]) * STEP).tolist(), strict=True)
+            d, s, e, v, norm = windows(run, first, k) if k > 0 else windows(fine, at, -k)
+            w, m = np.nonzero(v @ items.vectors[members].T >= cosine * np.maximum(norm, 1e-12)[:, None])
+            if not len(w):
+                continue
+            d, s, e, m = d[w], s[w], e[w], members[m]
+            if k > 0:
+                s, e = at[d] + (s - first[d]) * STEP, at[d] + (e - first[d]) * STEP
+            lo, hi = np.maximum(at[d], s - STEP), np.minimum(at[d + 1], e + STEP)
+            ok = possible(slots, m, lo, hi)
+            yield from zip(d[ok].tolist(), m[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if items.ids else ():
             key = batch.column("key").to_pylist()
             for lo, _, buf, off in B.doc_chunks(batch.column("text")):
                 h, at = tokens(buf, off)
-                listed, at_ = h.tolist(), at.tolist()
+                listed = h.tolist()
                 best: dict[tuple[int, int], float] = {}
-                for d, i, s, e in candidates(h, at):
+                for d, i, lo_, hi_ in candidates(h, at):
                     n = len(items.tokens[i])
-                    # a margin of one step on either side: windows start every STEP tokens
-                    near = listed[max(at_[d], s - STEP) : min(at_[d + 1], e + STEP)]
+                    near = listed[lo_:hi_]
                     share = common_subsequence(masks[i], n, near, int(part * n)) / n
                     if share < part or share <= best.get((d, i), 0.0):
                         continue
