@@ -114,3 +114,12 @@ def test_recall_in_bands_against_brute_force_windows(spark):
     for kind, of in band.items():
         want = [(i, k) for i, k in of if hashes(items[k][1]) and accepted(hashes(items[k][1]), hashes(rows[i][1]))]
         assert len(want) > 15 and len(got & set(want)) >= 0.9 * len(want), kind
+
+
+def test_svd_is_fitted_on_every_passage(spark, monkeypatch):
+    seen, fit = [], D.latent_terms
+    monkeypatch.setattr(D, "latent_terms", lambda rows, *a, **b: (seen.append(rows.count()), fit(rows, *a, **b))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([0, 1, 64, 65, 700])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w4x3 w4x4 w4x5 w4x6"), (2, "")], "item_id long, text string")
+    got = D.contamination_report(docs, bench).collect()
+    assert seen == [0 + 1 + 1 + 2 + 11 + 1] and [(x.doc_id, x.item_id, x.share) for x in got] == [(4, 1, 1.0)]

@@ -3,10 +3,13 @@
 1. Tokens (lower-cased runs of letters and digits) are hashed into terms; their
    document frequency is counted over all passages of ``PASSAGE`` tokens of all
    documents, and gives the idf.
-2. A randomised SVD of TF-IDF rows - all items and a bounded sample of passages,
-   drawn by a hash - gives every term a place in ``rank`` latent dimensions,
-   each scaled by its singular value.  The rows stay in Spark; each power step
-   sends one partial matrix per task, in row blocks that are summed by block.
+2. A randomised SVD of TF-IDF rows - all items and all passages of all documents -
+   gives every term a place in ``rank`` latent dimensions, each scaled by its
+   singular value.  All items together weigh a tenth of all passages, or more
+   where there are few, so that the space does not depend on the input's size.
+   The rows stay in Spark; each power step sends one partial matrix per task, in
+   row blocks that are summed by block, and the last one gives the singular
+   values too (Nystrom).
 3. Every document is searched whole: windows of an item's length, every
    ``STEP`` tokens (every token for items under one and a half steps), are sums
    of latent vectors, and those whose cosine with the item is at least ``cosine``
@@ -39,7 +42,8 @@ from . import _bytes as B
 BITS = 15
 PASSAGE = 64
 RANK, OVER, POWER = 48, 8, 1
-SAMPLE = 2000
+ITEMS_SHARE = 0.1
+GROUP = 24
 STEP = 8
 COSINE = 0.45
 SAME, PART, ANSWER = 0.75, 0.5, 6
@@ -74,56 +78,77 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h & B.U64(SLOTS - 1)).astype(np.int64)
 
 
+def passage(at: np.ndarray) -> np.ndarray:
+    """The passage of every token, numbered through a run of documents."""
+    size = np.diff(at)
+    blocks = -(-size // PASSAGE)
+    first = np.cumsum(blocks) - blocks
+    doc = np.repeat(np.arange(len(size)), size)
+    return first[doc] + (np.arange(len(doc)) - at[doc]) // PASSAGE
+
+
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's passages, and in how many of them each term occurs."""
     df, passages = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
         for _, _, buf, off in B.doc_chunks(batch.column("text")):
             h, at = tokens(buf, off)
-            size = np.diff(at)
-            blocks = -(-size // PASSAGE)
-            first = np.cumsum(blocks) - blocks
-            doc = np.repeat(np.arange(len(size)), size)
-            block = first[doc] + (np.arange(len(h)) - at[doc]) // PASSAGE
+            block = passage(at)
             df += np.bincount(np.unique(block << BITS | term(h)) & ((1 << BITS) - 1), minlength=1 << BITS)
-            passages += int(blocks.sum())
+            passages += int(block[-1]) + 1 if len(block) else 0
     seen = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], passages))], names=["term", "n"])
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """idf of every hashed term over all passages of ``docs``."""
+def inverse_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """idf of every hashed term over all passages of ``docs``, and their number."""
     rows = docs.select("text").mapInArrow(_frequency_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros((1 << BITS) + 1)
     for r in rows:
         df[r.term] = r.n
-    return np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
+    return np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0, int(df[-1])
+
 
+def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary cell per run of values."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-def _row_batches(idf: np.ndarray):
-    """TF-IDF rows (unit length) of one drawn passage per text."""
+
+def _row_batches(idf: np.ndarray, weight: float):
+    """TF-IDF rows (of length ``weight``) of all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            draw = batch.column("draw").to_numpy()
-            for lo, hi, buf, off in B.doc_chunks(batch.column("text")):
+            for _, _, buf, off in B.doc_chunks(batch.column("text")):
                 h, at = tokens(buf, off)
-                t, terms, weights = term(h), [], []
-                for i in range(hi - lo):
-                    n = at[i + 1] - at[i]
-                    s = at[i] + PASSAGE * (int(draw[lo + i]) % max(1, -(-n // PASSAGE)))
-                    u, c = np.unique(t[s : min(s + PASSAGE, at[i + 1])], return_counts=True)
-                    w = c * idf[u]
-                    terms.append(u.astype(np.int32).tobytes())
-                    weights.append((w / max(1e-12, np.sqrt((w * w).sum()))).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], names=["terms", "weights"])
+                if not len(h):
+                    continue
+                cell, count = np.unique(passage(at) << BITS | term(h), return_counts=True)
+                terms, block = cell & ((1 << BITS) - 1), cell >> BITS
+                starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                w = count * idf[terms]
+                w *= weight / np.sqrt(np.add.reduceat(w * w, starts))[block]
+                yield pa.RecordBatch.from_arrays([_binaries(terms.astype(np.int32), starts), _binaries(w.astype(np.float32), starts)], names=["terms", "weights"])
 
     return run
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for t, w in zip(batch.column("terms").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-        yield np.frombuffer(t, np.int32), np.frombuffer(w, np.float32).astype(np.float64)
+def _groups_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows in small groups: their terms, and a dense matrix over these."""
+    (t, off), (w, _) = (B.text_buffer(batch.column(c)) for c in ("terms", "weights"))
+    t, w, off = t.view(np.int32), w.view(np.float32), off // 4
+    place, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
+    for lo in range(0, len(off) - 1, GROUP):
+        at = off[lo : lo + GROUP + 1]
+        own = t[at[0] : at[-1]]
+        seen[own] = True
+        terms = np.flatnonzero(seen)
+        seen[terms] = False
+        place[terms] = np.arange(len(terms))
+        m = np.zeros((len(at) - 1, len(terms)), np.float32)
+        m[np.repeat(np.arange(len(at) - 1), np.diff(at)), place[own]] = w[at[0] : at[-1]]
+        yield terms, m
 
 
 def _power_batches(q: np.ndarray):
@@ -132,8 +157,8 @@ def _power_batches(q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(q.shape)
         for batch in batches:
-            for t, w in _rows_of(batch):
-                total[t] += np.outer(w, w @ q[t])
+            for terms, m in _groups_of(batch):
+                total[terms] += m.T @ (m @ q[terms])
         blocks = [total[i : i + TERM_BLOCK] for i in range(0, len(total), TERM_BLOCK)]
         used = [i for i, b in enumerate(blocks) if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].astype(np.float32).tobytes() for i in used], pa.binary())], names=["block", "m"])
@@ -141,18 +166,6 @@ def _power_batches(q: np.ndarray):
     return run
 
 
-def _gram_batches(q: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((q.shape[1], q.shape[1]))
-        for batch in batches:
-            for t, w in _rows_of(batch):
-                b = w @ q[t]
-                total += np.outer(b, b)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "m"])
-
-    return run
-
-
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """Blocks added up per block in Spark; the matrix itself has a fixed size."""
     import pandas as pd
@@ -172,15 +185,17 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, rank: int = RANK, over: int =
     """Latent vector of each hashed term, scaled by idf and singular values."""
     n = 1 << BITS
     q = np.random.default_rng(11).standard_normal((n, rank + over)).astype(np.float32)
-    for _ in range(power + 1):
+    for step in range(power + 1):
+        q = q if not step else np.linalg.qr(z)[0].astype(np.float32)  # shipped to every task
         z = _summed(rows.mapInArrow(_power_batches(q), "block int, m binary"), q.shape)
-        q = np.linalg.qr(z)[0].astype(np.float32)  # shipped to every task
-    gram = _summed(rows.mapInArrow(_gram_batches(q), "block int, m binary"), (rank + over, rank + over))
-    values, vectors = np.linalg.eigh(gram)
-    top = np.argsort(-values)[:rank]
-    sigma = np.sqrt(np.maximum(values[top], 0))
+    # Nystrom: A'A is near z (q'z)^-1 z', whose root's left singular vectors are A's right ones
+    core = q.T.astype(np.float64) @ z
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    use = values > 1e-6 * max(1e-12, values.max(initial=0))
+    u, sigma, _ = np.linalg.svd(z @ (vectors[:, use] / np.sqrt(values[use])), full_matrices=False)
+    u, sigma = u[:, :rank], sigma[:rank]
     scale = np.where(sigma > 1e-6 * max(1e-12, sigma.max(initial=0)), 1 / np.maximum(sigma, 1e-12), 0)
-    return (idf[:, None] * (q @ vectors[:, top]) * scale).astype(np.float32)
+    return (idf[:, None] * u * scale).astype(np.float32)
 
 
 @dataclass
@@ -322,16 +337,17 @@ def _search_batches(items: Items, latent: np.ndarray, cosine: float, same: float
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", rank: int = RANK, sample: int = SAMPLE, cosine: float = COSINE, same: float = SAME, part: float = PART, answer: int = ANSWER) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", rank: int = RANK, cosine: float = COSINE, same: float = SAME, part: float = PART, answer: int = ANSWER) -> DataFrame:
     """(key, item_id, share): items found in documents, with the share of the
     item's tokens in the common subsequence."""
     body = docs.select(F.col(key).cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    idf = inverse_frequency(body)
-    total = body.count()
-    drawn = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))
-    asked = benchmark.filter("item_id is not null and text is not null")
-    source = body.filter(drawn & (F.length("text") > 0)).select(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)).alias("draw"), "text").unionByName(asked.select(F.lit(0).cast("long").alias("draw"), "text"))
-    rows = B.stage(source.mapInArrow(_row_batches(idf), "terms binary, weights binary").coalesce(4), "latent-rows")
+    idf, passages = inverse_frequency(body)
+    asked = benchmark.filter("item_id is not null and text is not null").select("text")
+    weight = max(1.0, (ITEMS_SHARE * passages / max(1, asked.count())) ** 0.5)
+    row = "terms binary, weights binary"
+    rows = B.stage(body.select("text").mapInArrow(_row_batches(idf, 1.0), row).unionByName(asked.mapInArrow(_row_batches(idf, weight), row)), "latent-rows")
+    # a task's partial matrix has a fixed size, so their number follows the cores
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     latent = latent_terms(rows, idf, rank)
     items = load_items(benchmark, latent)
     return body.mapInArrow(_search_batches(items, latent, cosine, same, part, answer), "key long, item_id long, share double")
