@@ -123,3 +123,15 @@ def test_svd_is_fitted_on_every_passage(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "w4x3 w4x4 w4x5 w4x6"), (2, "")], "item_id long, text string")
     got = D.contamination_report(docs, bench).collect()
     assert seen == [0 + 1 + 1 + 2 + 11 + 1] and [(x.doc_id, x.item_id, x.share) for x in got] == [(4, 1, 1.0)]
+
+
+def test_a_benchmark_over_the_bounds_is_searched_in_blocks(spark, monkeypatch):
+    bench = spark.read.parquet(f"{SF_MID}/benchmark.parquet").limit(12)
+    texts = [x.text for x in bench.collect()]
+    docs = spark.createDataFrame([(i, f"{t} and {texts[i - 1]}") for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, D.contamination_report(docs, bench).collect()))
+    for bounds in ((5, 2_000_000), (20_000, 100)):
+        monkeypatch.setattr(D, "MAX_ITEMS", bounds[0])
+        monkeypatch.setattr(D, "MAX_TOKENS", bounds[1])
+        assert len(D.item_blocks(bench, np.ones((1 << D.BITS, 2), np.float32))) > 2
+        assert sorted(map(tuple, D.contamination_report(docs, bench).collect())) == want and len(want) >= 24

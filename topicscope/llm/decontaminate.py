@@ -20,8 +20,9 @@
    holds ``same`` of the item's tokens, or ``part`` of them and, as a paraphrase
    must, also the item's answer (its closing tokens).
 
-The items are a benchmark: at most ``MAX_ITEMS`` of at most ``MAX_TOKENS``
-tokens in total are sent to every task, more are refused.  Null and empty texts
+The items are a benchmark: blocks of at most ``MAX_ITEMS`` and ``MAX_TOKENS``
+tokens (a longer item is a block) are sent to every task; the documents are
+searched once per block.  Null and empty texts
 and items match nothing; repeated rows are matched each on its own (matches are
 by id); equal items are all reported; extra columns are ignored (``clean`` keeps
 those of the documents).
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ SAME, PART, ANSWER = 0.75, 0.5, 6
 MAX_ITEMS, MAX_TOKENS = 20_000, 2_000_000
 TERM_BLOCK = 4096
 SLOTS = 1024
+CELLS = 1 << 22
 
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = True
@@ -228,18 +231,27 @@ def common_subsequence(masks: dict[int, int], n: int, other: list[int], least: i
     return n - v.bit_count()
 
 
-def load_items(benchmark: DataFrame, latent: np.ndarray) -> Items:
-    rows = sorted(benchmark.filter("item_id is not null and text is not null").select("item_id", "text").limit(MAX_ITEMS + 1).collect())
-    buf, off = B.text_buffer(pa.array([r.text for r in rows], pa.string()))
-    h, at = tokens(buf, off)
-    if len(rows) > MAX_ITEMS or len(h) > MAX_TOKENS:
-        raise ValueError(f"a benchmark of over {MAX_ITEMS} items or {MAX_TOKENS} tokens; pass it in parts")
-    use = [i for i in range(len(rows)) if at[i + 1] > at[i]]
-    words = [h[at[i] : at[i + 1]] for i in use]
-    vectors = np.array([latent[term(w)].sum(axis=0) for w in words], np.float32).reshape(len(use), latent.shape[1])
+def _items(rows: list, latent: np.ndarray) -> Items:
+    ids, words = [i for i, _ in rows], [w for _, w in rows]
+    vectors = np.array([latent[term(w)].sum(axis=0) for w in words], np.float32).reshape(len(words), latent.shape[1])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     blocks = np.array([round(len(w) / STEP) if 2 * len(w) >= 3 * STEP else -len(w) for w in words], np.int64)
-    return Items([rows[i].item_id for i in use], words, blocks, vectors)
+    return Items(ids, words, blocks, vectors)
+
+
+def item_blocks(benchmark: DataFrame, latent: np.ndarray) -> list[Items]:
+    """All items with tokens, in blocks under the two bounds; one block at least."""
+    out, rows, total = [], [], 0
+    for r in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+        w = tokens(*B.text_buffer(pa.array([r.text], pa.string())))[0]
+        if not len(w):
+            continue
+        if rows and (len(rows) == MAX_ITEMS or total + len(w) > MAX_TOKENS):
+            out.append(_items(rows, latent))
+            rows, total = [], 0
+        rows.append((r.item_id, w))
+        total += len(w)
+    return [*out, _items(rows, latent)]
 
 
 def _search_batches(items: Items, latent: np.ndarray, cosine: float, same: float, part: float, answer: int):
@@ -302,16 +314,19 @@ def _search_batches(items: Items, latent: np.ndarray, cosine: float, same: float
         run = running(sums)
         fine = running(latent[t]) if sizes[0] < 0 else None
         for k, members in groups.items():
-            d, s, e, v, norm = windows(run, first, k) if k > 0 else windows(fine, at, -k)
-            w, m = np.nonzero(v @ items.vectors[members].T >= cosine * np.maximum(norm, 1e-12)[:, None])
-            if not len(w):
-                continue
-            d, s, e, m = d[w], s[w], e[w], members[m]
-            if k > 0:
-                s, e = at[d] + (s - first[d]) * STEP, at[d] + (e - first[d]) * STEP
-            lo, hi = np.maximum(at[d], s - STEP), np.minimum(at[d + 1], e + STEP)
-            ok = possible(slots, m, lo, hi)
-            yield from zip(d[ok].tolist(), m[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)
+            d_, s_, e_, v, norm = windows(run, first, k) if k > 0 else windows(fine, at, -k)
+            vectors, limit = items.vectors[members].T, cosine * np.maximum(norm, 1e-12)[:, None]
+            rows = max(1, CELLS // len(members))
+            for a in range(0, len(v), rows):
+                w, m = np.nonzero(v[a : a + rows] @ vectors >= limit[a : a + rows])
+                if not len(w):
+                    continue
+                d, s, e, m = d_[a + w], s_[a + w], e_[a + w], members[m]
+                if k > 0:
+                    s, e = at[d] + (s - first[d]) * STEP, at[d] + (e - first[d]) * STEP
+                lo, hi = np.maximum(at[d], s - STEP), np.minimum(at[d + 1], e + STEP)
+                ok = possible(slots, m, lo, hi)
+                yield from zip(d[ok].tolist(), m[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches if items.ids else ():
@@ -349,8 +364,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", rank: in
     # a task's partial matrix has a fixed size, so their number follows the cores
     rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     latent = latent_terms(rows, idf, rank)
-    items = load_items(benchmark, latent)
-    return body.mapInArrow(_search_batches(items, latent, cosine, same, part, answer), "key long, item_id long, share double")
+    found = [body.mapInArrow(_search_batches(items, latent, cosine, same, part, answer), "key long, item_id long, share double") for items in item_blocks(benchmark, latent)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
