@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, minhash, packing, piece_codec, recompress, secret_scan, suffix_dedup, topk, toxicity, warc
+from . import alignment, decontaminate, language_id, minhash, packing, piece_codec, recompress, secret_scan, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_substring_dedup, op5_toxicity, op6_secret_scan, op7_decontaminate, op8_piece_codec, op9_near_duplicates, op10_warc, op13_packing)
+    for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_substring_dedup, op5_toxicity, op6_secret_scan, op7_decontaminate, op8_piece_codec, op9_near_duplicates, op10_warc, op11_token_alignment, op13_packing)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
