@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, language_id, minhash, packing, piece_codec, recompress, secret_scan, suffix_dedup, topk, toxicity, warc
+from . import alignment, collocations, decontaminate, language_id, minhash, packing, piece_codec, recompress, secret_scan, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.token_alignment(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_substring_dedup, op5_toxicity, op6_secret_scan, op7_decontaminate, op8_piece_codec, op9_near_duplicates, op10_warc, op11_token_alignment, op13_packing)
+    for f in (op1_suffix_dedup, op2_language_id, op3_exact_topk, op4_substring_dedup, op5_toxicity, op6_secret_scan, op7_decontaminate, op8_piece_codec, op9_near_duplicates, op10_warc, op11_token_alignment, op12_collocations, op13_packing)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -104,4 +108,21 @@ ORACLE_SQL: dict[str, str] = {
     m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS last FROM p)
     SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+    "op12_collocations": f"""
+    WITH RECURSIVE p AS (SELECT row_number() OVER () AS id, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents)),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) x(k))),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+    cut AS (SELECT lang, c.k, phrase, a, j, array_to_string(w[1 : j], ' ') AS lp, array_to_string(w[j + 1 :], ' ') AS rp FROM c, (VALUES (1), (2)) y(j) WHERE j < c.k),
+    s AS (SELECT cut.lang, cut.k, cut.phrase, a, j, x.f AS l, y.f AS r,
+      CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s) WHERE o = 1),
+    sub AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, a AS longer FROM (SELECT lang, w, a, unnest(range(1, 3)) AS i FROM c WHERE k = 3)),
+    kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = b.lang AND sub.phrase = b.phrase AND 100 * sub.longer >= 50 * b.a)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
 }
