@@ -37,7 +37,7 @@ def test_pipeline_stages_take_effect(spark):
         assert docs.columns == first.columns
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] == sizes[4] > 0
-    assert minhash.near_duplicates(docs).filter("not kept").isEmpty()
+    assert minhash.near_duplicates(docs, shingle=5).filter("not kept").isEmpty()
     assert secret_scan.secret_report(docs).filter("n_assign + n_access + n_hex > 0").isEmpty()
     last = P.STAGES[-1][1](spark, docs, SF_SMALL).collect()
     assert len(last) == sizes[4] and all(r.exact for r in last)
