@@ -34,6 +34,15 @@ def test_matches_full_sort(spark, monkeypatch, n, big):
     assert got == brute(rows, 5, 10)
 
 
+def test_different_vectors_of_one_query_id_pool_their_scores(spark):
+    r = random.Random(8)
+    rows = [(i, [float(r.randrange(-9, 9)) for _ in range(4)]) for i in range(1, 20)]
+    asked = [(0, [1.0, 2.0, -3.0, 4.0]), (0, [-4.0, 1.0, 1.0, 0.5]), (0, [-4.0, 1.0, 1.0, 0.5])]
+    df = spark.createDataFrame(rows + asked, "vec_id long, embedding array<double>")
+    pool = sorted((-int(sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(q, v, strict=True))), i) for _, q in asked[:2] for i, v in rows)[:5]
+    assert sorted(map(tuple, topk.exact_top_k(df, 5, 50).collect())) == [(0, k + 1, i, -s) for k, (s, i) in enumerate(pool)]
+
+
 def test_scores_beyond_62_bits_are_refused(spark):
     with pytest.raises(ValueError):
         topk.exact_top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"))

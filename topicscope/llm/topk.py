@@ -15,7 +15,8 @@ shuffled: a grid of bounded blocks of queries and candidates scores itself, and
 Vectors that are null, empty or hold a null or non-finite component take no
 part, nor do rows without an id; vectors of another length than the query's are
 no candidates of it.  A query never returns its own row, but repeated rows with
-its id are its own as well.  Fewer than k candidates are all returned.
+its id are its own as well.  Equal rows of one query id are one query; different
+vectors of one query id pool their scores, and its k best are taken from the pool.  Fewer than k candidates are all returned.
 Components so large that a score could pass 62 bits raise a ValueError.
 """
 
@@ -115,7 +116,7 @@ def exact_top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     vectors = B.stage(quantised(df, scale, vec_id, vector), "topk-vectors")
     wanted = F.pmod("id", F.lit(every)) == 0
     # repeated query rows with equal vectors are one query
-    asked = vectors.filter(wanted).dropDuplicates(["id", "v"])
+    asked = B.stage(vectors.filter(wanted).dropDuplicates(["id", "v"]), "topk-asked")
     n, m, most = vectors.agg(F.count(F.lit(1)), F.count(F.when(wanted, 1)), F.max(F.length("v"))).first()
     # blocks: hashed on the id, so no block depends on how ids are spread
     down, across = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-(m or 0) // QUERY_BLOCK))
@@ -133,9 +134,10 @@ def exact_top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     width = 1
     while width * BINS < 2 * reach + 1:
         width *= BINS
-    state = asked.select("id", "dim", "v", F.lit(-reach).cast("long").alias("lo"), F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("above"))
+    # one state per query id: rows of one id with different vectors pool their scores
+    state = B.stage(asked.select("id").distinct().select("id", F.lit(-reach).cast("long").alias("lo"), F.lit(width).cast("long").alias("width"), F.lit(0).cast("long").alias("above")), "topk-state")
     while True:
-        bins = spread(state).cogroup(grid).applyInPandas(_histograms(k), "query_id long, bin long, n long")
+        bins = spread(asked.join(state, "id")).cogroup(grid).applyInPandas(_histograms(k), "query_id long, bin long, n long")
         total = bins.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # from the top: the bin in which the k-th score falls, or the last one there is
         down_to = Window.partitionBy("query_id").orderBy(F.desc("bin"))
@@ -143,13 +145,13 @@ def exact_top_k(df: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
         over = total.withColumn("over", F.sum("n").over(down_to) - F.col("n") + F.col("was")).filter(F.col("over") < k)
         found = over.groupBy("query_id").agg(F.min(F.struct("bin", "over")).alias("at"))
         state = state.join(found, state.id == found.query_id)
-        state = state.select("id", "dim", "v", (F.col("lo") + F.col("at.bin") * F.col("width")).alias("lo"), F.col("width"), F.col("at.over").alias("above"))
+        state = state.select("id", (F.col("lo") + F.col("at.bin") * F.col("width")).alias("lo"), F.col("width"), F.col("at.over").alias("above"))
         state = B.stage(state, "topk-state")
         if width == 1:
             break
         width //= BINS
         state = state.withColumn("width", F.lit(width).cast("long"))
-    best = spread(state.withColumnRenamed("lo", "kth")).cogroup(grid).applyInPandas(_survivors(k), "query_id long, vec_id long, score long")
+    best = spread(asked.join(state.withColumnRenamed("lo", "kth"), "id")).cogroup(grid).applyInPandas(_survivors(k), "query_id long, vec_id long, score long")
     # at most k rows of a query come from each block of candidates
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
