@@ -3,11 +3,14 @@ skew-safe top-k per group."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # A broadcast hint is only placed on a side whose row count is bounded by a
 # parameter the caller knows (top-n dates, k centres, chosen labels).  Anything
 # else is left to AQE, which broadcasts at run time only when the measured size
@@ -22,6 +25,18 @@ def bounded_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
     return df
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back.
+
+    Rounds that join their own results use this in place of ``checkpoint()``: a
+    checkpointed plan keeps its estimated size, and the product of a join's sizes
+    taken round by round grows without bound; a file has its true size.
+    """
+    path = f"{shared_dir(df.sparkSession, 'tables')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def top_k_per_group(
     df: DataFrame,
     group_cols: Sequence[str],
