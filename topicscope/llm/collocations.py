@@ -45,9 +45,9 @@ SCALE = 1_000_000
 COVERED = 50
 SPREAD = 16
 SALTS = 8
-SHARD_BYTES = 1 << 24
-RANGE_BYTES = 12 << 20
-_HELD = 1 << 22
+SHARD_BYTES = 1 << 23
+RANGE_BYTES = 6 << 20
+_HELD = 1 << 21
 _WIDE = np.int64(1) << 62
 
 _PIECE_END = np.zeros(256, bool)
@@ -258,7 +258,7 @@ def count_shard(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, pa.Array, l
     words, w = _numbered(_strings(buf[word], ends - starts))
     names, lang = _numbered(pc.cast(langs, pa.large_binary()))
     doc = np.searchsorted(off, starts, side="right") - 1
-    piece = np.concatenate([[0], np.cumsum(_PIECE_END[buf])])[starts]
+    piece = np.searchsorted(np.flatnonzero(_PIECE_END[buf]), starts)
     joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
     size = np.int64(len(words) + 1)
 
