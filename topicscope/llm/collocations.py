@@ -270,15 +270,17 @@ def count_shard(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, pa.Array, l
     i = i[:-1][(i[1:] == i[:-1] + 1)]
     three, n_three = np.unique(at_two[i] * size + w[i + 2], return_counts=True)
 
-    of_two, of_three = two // size, three // size
-    heads = [one // size, one % size]
+    del buf, word, cuts, starts, ends, doc, piece, joined, w, at_one, at, at_two, i
+    narrow = lambda x: x.astype(np.int32)
+    heads, of_two, last_two = (narrow(one // size), narrow(one % size)), narrow(two // size), narrow(two % size)
+    of_three = narrow(three // size)
     grams = [
         np.concatenate([heads[0], heads[0][of_two], heads[0][of_two[of_three]]]),
         np.concatenate([heads[1], heads[1][of_two], heads[1][of_two[of_three]]]),
-        np.concatenate([np.zeros(len(one), np.int64), two % size, (two % size)[of_three]]),
-        np.concatenate([np.zeros(len(one) + len(two), np.int64), three % size]),
+        np.concatenate([np.zeros(len(one), np.int32), last_two, last_two[of_three]]),
+        np.concatenate([np.zeros(len(one) + len(two), np.int32), narrow(three % size)]),
     ]
-    return names, words, grams, np.concatenate([n_one, n_two, n_three]).astype(np.int64)
+    return names, words, grams, np.concatenate([n_one, n_two, n_three])
 
 
 def _narrowed(values: pa.Array, columns: list[np.ndarray]) -> tuple[pa.Array, list[np.ndarray]]:
@@ -295,7 +297,7 @@ def _narrowed(values: pa.Array, columns: list[np.ndarray]) -> tuple[pa.Array, li
 def _shard_blobs(texts: list[pa.Array], langs: list[pa.Array], ranges: int) -> Iterator[pa.RecordBatch]:
     names, words, grams, counts = count_shard(pa.concat_arrays(texts), pa.concat_arrays(langs))
     at = _ranges(names, words, grams, ranges)
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int32), kind="stable").astype(np.int32)
     cuts = _runs(np.diff(at[order], prepend=-1) != 0)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         pick = order[lo:hi]
