@@ -300,6 +300,27 @@ def _sql() -> dict[str, str]:
     )
     q["term_doc_freq"] = (f"WITH tok AS (SELECT doc_id, unnest({_content()}) AS term FROM documents), "
                           "tf AS (SELECT DISTINCT doc_id, term FROM tok) SELECT term, COUNT(*) AS df FROM tf GROUP BY term")
+    q["tokenizer_term_freq"] = (
+        "WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS term FROM documents), "
+        "tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM tok GROUP BY ALL) "
+        "SELECT term, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS ttf FROM tf GROUP BY term")
+    pairs = (
+        f"tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_toks()} AS t FROM documents)), "
+        f"kept AS (SELECT term FROM tok GROUP BY term HAVING COUNT(*) >= {R.WORD_MIN_COUNT}), "
+        "near AS (SELECT a.term, b.term AS context, COUNT(*) AS n FROM tok a JOIN tok b ON a.doc_id = b.doc_id "
+        f"AND a.pos <> b.pos AND a.pos - b.pos BETWEEN -{R.WORD_WINDOW} AND {R.WORD_WINDOW} GROUP BY ALL), "
+        "pairs AS (SELECT * FROM near WHERE term IN (SELECT term FROM kept) AND context IN (SELECT term FROM kept))")
+    ppmi = (
+        f"{pairs}, rows_ AS (SELECT term, CAST(SUM(n) AS DOUBLE) AS nt FROM pairs GROUP BY term), "
+        "ppmi AS (SELECT term, context, w FROM (SELECT p.term, p.context, "
+        "ln(p.n * (SELECT SUM(pow(nt, 0.75)) FROM rows_) / (r.nt * pow(c.nt, 0.75))) - ln(2.0) AS w "
+        "FROM pairs p JOIN rows_ r ON r.term = p.term JOIN rows_ c ON c.term = p.context) WHERE w > 0)")
+    q["word_cooccurrence"] = f"WITH {pairs} SELECT term, context, n FROM pairs"
+    q["word_ppmi"] = f"WITH {ppmi} SELECT term, context, round(w, 6) AS ppmi FROM ppmi"
+    q["ppmi_projection"] = (
+        f"WITH {ppmi}, idx AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM (SELECT DISTINCT term FROM ppmi)) "
+        f"SELECT p.term, CAST(j AS BIGINT) AS j, round(SUM(w * sin(i + 2 * j)), 6) AS value FROM ppmi p JOIN idx ON idx.term = p.context, "
+        f"range({R.PROJECTION_WIDTH}) t(j) GROUP BY ALL")
     q["df_pruned_vocab"] = f"WITH {_tfidf_ctes(DOCS)} SELECT term, df, round(idf, 6) AS idf FROM voc"
     q["tfidf"] = f"WITH {_tfidf_ctes(DOCS)} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM tfidf"
     base_ctw = f"{_tfidf_ctes(DOCS)}, {DL}, {CTW}"

@@ -14,6 +14,7 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.analyzers import tokens_of
 from ..functions.text import ngrams, remove_stop_words, stop_word_list, tokenize
 from .common import top_k_per_group
 
@@ -36,13 +37,15 @@ def term_counts(
     text_col: str = "text",
     stop_words=None,
     ngram_range: tuple[int, int] = (1, 1),
+    tokenizer: str | None = None,
 ) -> DataFrame:
-    """``doc_id, term, tf`` - raw counts of every analyzed term per document."""
+    """``doc_id, term, tf`` - raw counts of every analyzed term per document;
+    ``tokenizer`` names a registered one (``functions.analyzers``)."""
     lo, hi = ngram_range
     if (lo, hi) == (1, 1):
         # unigrams: explode first, then drop stop words with a set lookup in a
         # code-generated filter (no per-array lambda)
-        exploded = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col)).alias("term"))
+        exploded = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens_of(text_col, tokenizer)).alias("term"))
         words = stop_word_list(stop_words)
         if words:
             exploded = exploded.filter(~F.col("term").isin(list(words)))
@@ -50,7 +53,7 @@ def term_counts(
         # Spark ML's NGram (compiled sliding window) for every n >= 2; the
         # unigrams are the token array itself
         toks = docs.select(
-            F.col(id_col).alias("doc_id"), remove_stop_words(tokenize(text_col), stop_words).alias("_t")
+            F.col(id_col).alias("doc_id"), remove_stop_words(tokens_of(text_col, tokenizer), stop_words).alias("_t")
         )
         parts = ["_t"] if lo == 1 else []
         for n in range(max(lo, 2), hi + 1):

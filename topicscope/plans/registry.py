@@ -609,12 +609,13 @@ def entity_topics(spark, d):
 
 
 def _embedding_model(spark, d):
-    from .embedding_topics import EmbeddingTopicModel
+    from .embedding_topics import EmbeddingTopicModel, stored_vectors
 
     key = (spark.sparkContext.applicationId, d, "embedding")
     if key not in _MODELS:
         emb = _emb(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
-        _MODELS[key] = EmbeddingTopicModel(n_components=2, min_points=5, random_state=42).fit(emb, _docs(spark, d))
+        model = EmbeddingTopicModel(n_components=2, min_points=5, random_state=42, encoder=stored_vectors(emb))
+        _MODELS[key] = model.fit(emb, _docs(spark, d))
     return _MODELS[key]
 
 
@@ -655,6 +656,47 @@ def doc_vector_trends(spark, d):
                              CLOSEST_N, SPIKE_N)
 
 
+# Word vectors from counts.
+WORD_WINDOW = 2
+WORD_MIN_COUNT = 20
+PROJECTION_WIDTH = 3
+
+
+def _pairs(spark, d):
+    from ..operators.cooccurrence import pair_counts
+
+    return pair_counts(_docs(spark, d), WORD_WINDOW, WORD_MIN_COUNT)
+
+
+def word_cooccurrence(spark, d):
+    return _pairs(spark, d)
+
+
+def word_ppmi(spark, d):
+    from ..operators.cooccurrence import ppmi
+
+    return ppmi(_pairs(spark, d), shift=2.0).select("term", "context", _r(F.col("w")).alias("ppmi"))
+
+
+def ppmi_projection(spark, d):
+    """One step of the factorisation on a given matrix: the PPMI matrix times a dense
+    one with a row per context, here ``sin(i + 2 j)``."""
+    from ..operators.cooccurrence import numbered_matrix, ppmi
+    from ..operators.svd import times_matrix
+
+    weights = ppmi(_pairs(spark, d), shift=2.0)
+    terms = S.scan_positions(weights.select("term").distinct(), "term").select("term", F.col("pos").cast("int").alias("idx"))
+    dense = terms.select("idx", F.array(*[F.sin(F.col("idx") + F.lit(2 * j)) for j in range(PROJECTION_WIDTH)]).alias("v"))
+    y = times_matrix(numbered_matrix(weights, terms), dense, spark, None, PROJECTION_WIDTH)
+    rows = y.join(terms.withColumnRenamed("idx", "doc_id"), "doc_id").select("term", F.posexplode("y").alias("j", "value"))
+    return rows.select("term", F.col("j").cast("long").alias("j"), _r(F.col("value")).alias("value"))
+
+
+def tokenizer_term_freq(spark, d):
+    """Document frequencies under a tokenizer that is named, not built in."""
+    return FE.doc_freq(FE.term_counts(_docs(spark, d), tokenizer="whitespace")).select("term", "df", "ttf")
+
+
 # Model-dependent queries: no exact SQL twin (checked for rows plus pytest
 # invariants).
 ROWS_ONLY: tuple[str, ...] = (
@@ -753,6 +795,11 @@ QUERIES: dict[str, Builder] = {
     "upsert_across_files": upsert_across_files,
     # gazetteer entities (SQL twin: a recursive walk)
     "entity_text": entity_text,
+    # word vectors from counts, and a named tokenizer
+    "word_cooccurrence": word_cooccurrence,
+    "word_ppmi": word_ppmi,
+    "ppmi_projection": ppmi_projection,
+    "tokenizer_term_freq": tokenizer_term_freq,
     # topic model (rows-only)
     **{name: globals()[name] for name in ROWS_ONLY},
 }

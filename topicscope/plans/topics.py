@@ -51,6 +51,8 @@ def _stage_index(last_step: str | None, exclude_from: str | None) -> int:
 
 
 class TfidfTopicModel:
+    """``tokenizer`` names a registered tokenizer (``functions.analyzers``)."""
+
     def __init__(
         self,
         stop_words: str | None = "english",
@@ -63,9 +65,11 @@ class TfidfTopicModel:
         n_name_terms: int = 3,
         max_iter: int = 20,
         combine_kwargs: dict | None = None,
+        tokenizer: str | None = None,
     ):
         self.config = dict(
             combine_kwargs=dict(combine_kwargs or {}),
+            tokenizer=tokenizer,
             stop_words=stop_words,
             ngram_range=list(ngram_range),
             min_df=min_df,
@@ -91,7 +95,7 @@ class TfidfTopicModel:
     # ------------------------------------------------------------ building blocks
     def _term_counts(self, docs: DataFrame) -> DataFrame:
         c = self.config
-        return FE.term_counts(docs, "doc_id", "text", c["stop_words"], tuple(c["ngram_range"]))
+        return FE.term_counts(docs, "doc_id", "text", c["stop_words"], tuple(c["ngram_range"]), c["tokenizer"])
 
     def _vectorize(self, docs: DataFrame) -> DataFrame:
         if self.vocab is None:
