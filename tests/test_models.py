@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicscope.operators.store import drop_table
+
 from .conftest import SF_SMALL
 
 
@@ -88,7 +90,7 @@ def test_precompute_cap_and_no_repeat(spark, model, scratch):
     from topicscope.plans.precompute import precompute_predictions
     from topicscope.sources.tables import articles_view
 
-    spark.sql("DROP TABLE IF EXISTS preds_test")
+    drop_table(spark, "preds_test")
     arts = articles_view(spark, SF_SMALL).drop("label")
     n1 = precompute_predictions(spark, model, arts, "preds_test", max_new=50, method="uniform", seed=1)
     assert n1 == 50
@@ -102,7 +104,7 @@ def test_precompute_cap_and_no_repeat(spark, model, scratch):
 
     out = os.path.join(scratch, "preds_json")
     export_predictions(spark, "preds_test", out)
-    spark.sql("DROP TABLE IF EXISTS preds_copy")
+    drop_table(spark, "preds_copy")
     back = import_predictions(spark, "preds_copy", filepath=out)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spark.table("preds_test").collect()))
     with pytest.raises(ValueError):
@@ -118,7 +120,7 @@ def test_precompute_batches_and_timeout(spark, model):
     from topicscope.sources.tables import articles_view
 
     arts = articles_view(spark, SF_SMALL).drop("label")
-    spark.sql("DROP TABLE IF EXISTS preds_batched")
+    drop_table(spark, "preds_batched")
     # a timeout that is over stops after the first batch
     assert precompute_predictions(spark, model, arts, "preds_batched", batch_size=40, timeout=1e-6) == 40
     for bad in ({"timeout": 0}, {"max_new": 0}, {"batch_size": -1}):
@@ -141,7 +143,7 @@ def test_labelling_stream_twice_adds_nothing(spark, model, scratch):
     src = os.path.join(scratch, "arts")
     articles_view(spark, SF_SMALL).drop("label").repartition(3).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    spark.sql("DROP TABLE IF EXISTS preds_stream")
+    drop_table(spark, "preds_stream")
     ck = os.path.join(scratch, "ck")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     n = run_labelling_stream(spark, stream, model, "preds_stream", ck, spark.read.parquet(src))

@@ -76,14 +76,24 @@ def ensure_predictions_table(spark: SparkSession, name: str, path: str | None =
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Drop a table or a published prediction store; a missing one is no error."""
+    from ..sources.delta_store import PredictionStore
+
+    if not spark.catalog.tableExists(name):
+        return
+    if spark.catalog.getTable(name).tableType == "VIEW":
+        PredictionStore(spark, name).drop()
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_model_tables(spark: SparkSession, model_name: str) -> list[str]:
     """Drop every ``*_<model>_predictions`` table; returns the dropped names."""
     dropped = []
     for t in spark.catalog.listTables(pattern=f"*_{model_name}_predictions"):
-        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+        if t.isTemporary:
+            continue
+        drop_table(spark, t.name)
         dropped.append(t.name)
     return dropped
 

@@ -201,7 +201,7 @@ class EmbeddingTopicModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, encoder: Encoder | None = None) -> "EmbeddingTopicModel":
-        from .ingest import _exists
+        from ..sources.files import exists
 
         cfg = json.loads(spark.read.json(f"{path}/config").first()["config"])
         d, k = cfg.pop("_d"), cfg.pop("_k")
@@ -209,7 +209,7 @@ class EmbeddingTopicModel:
         m._d, m._k = d, k
         m.components = spark.read.parquet(f"{path}/components")
         m.topic_vectors = spark.read.parquet(f"{path}/topic_vectors")
-        m.names = spark.read.parquet(f"{path}/names") if _exists(spark, f"{path}/names") else None
+        m.names = spark.read.parquet(f"{path}/names") if exists(spark, f"{path}/names") else None
         return m
 
     def generate_trends(self, query: str | Sequence[float], resolution: str, articles: DataFrame, predictions: DataFrame,
@@ -312,12 +312,12 @@ class DocVectorTopicModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DocVectorTopicModel":
-        from .ingest import _exists
+        from ..sources.files import exists
 
         m = cls(**json.loads(spark.read.json(f"{path}/config").first()["config"]))
         m.words = spark.read.parquet(f"{path}/words")
         m.clusterer = EmbeddingTopicModel.load(spark, f"{path}/clusterer", encoder=m.doc_vectors)
-        m.names = spark.read.parquet(f"{path}/names") if _exists(spark, f"{path}/names") else None
+        m.names = spark.read.parquet(f"{path}/names") if exists(spark, f"{path}/names") else None
         return m
 
     def query_vector(self, spark: SparkSession, query: str) -> list[float]:

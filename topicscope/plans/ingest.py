@@ -1,10 +1,9 @@
 """Corpus ingestion: a versioned article store with keyed upserts, the ledger
 of imported files, and the end-to-end batch import.
 
-Storage is plain parquet in versioned directories (``<base>/v=<n>``): an
-upsert reads version ``n`` and writes version ``n + 1`` - never over the path
-it reads - and readers always open the newest complete version (a version is
-complete once its ``_SUCCESS`` marker exists).
+Storage is plain parquet under a commit manifest (``sources.delta_store``): an upsert
+writes its own records as a delta and commits it by one rename, and readers merge the
+deltas of the newest committed version.
 """
 
 from __future__ import annotations
@@ -12,21 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.delta_store import DeltaTable
+from ..sources.files import delete, exists
 from ..sources.listing import list_files, verify_checksums
 from ..sources.medline import normalise, read_medline_raw, split_rejects
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def keep_latest(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """One row per ``key``: the row with the greatest ``order_cols``.
 
@@ -45,54 +35,54 @@ def record_order(df: DataFrame) -> list[str]:
 
 
 class CorpusStore:
-    """Versioned parquet table of articles keyed by ``pmid`` (last write wins)."""
+    """Table of articles keyed by ``pmid`` (last write wins): a base and deltas
+    (``sources.delta_store``), so an import costs its own records."""
 
     def __init__(self, spark: SparkSession, base_path: str):
         self.spark = spark
         self.base = base_path.rstrip("/")
+        self._table: DeltaTable | None = None
+
+    def _open(self, columns: DataFrame | None = None) -> DeltaTable | None:
+        """The table; its columns are those of the first batch written to it."""
+        if self._table is None:
+            if exists(self.spark, f"{self.base}/commits"):
+                part = next((p["dir"] for p in DeltaTable(self.spark, self.base, "pmid bigint").manifest()["parts"]), None)
+                if part is not None:
+                    columns = self.spark.read.parquet(f"{self.base}/data/{part}")
+            if columns is None:
+                return None
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
+            self._table = DeltaTable(self.spark, self.base, ddl)
+        return self._table
 
     def versions(self) -> list[int]:
-        if not _exists(self.spark, self.base):
-            return []
-        fs, p = _fs(self.spark, self.base)
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+        table = self._open()
+        return table.versions() if table is not None else []
 
     def current_version(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
-    def path(self, version: int) -> str:
-        return f"{self.base}/v={int(version)}"
-
     def read(self) -> DataFrame | None:
-        v = self.current_version()
-        return None if v is None else self.spark.read.parquet(self.path(v))
+        table = self._open()
+        return table.read() if table is not None and table.exists() else None
 
     def is_empty(self) -> bool:
         df = self.read()
         return df is None or df.isEmpty()
 
-    def upsert(self, articles: DataFrame) -> int:
+    def upsert(self, articles: DataFrame, batch: tuple[str, int] | None = None) -> int | None:
         """Merge ``articles`` (latest record per pmid wins, within the batch by
-        ``record_order``) into a new version; returns the new version number."""
+        ``record_order``); returns the newest version number.  ``batch``: (stream
+        name, batch id), merged once."""
         v = self.current_version()
-        nxt = 0 if v is None else v + 1
-        new = articles.withColumn("load_seq", F.lit(nxt).cast("int"))
+        new = articles.withColumn("load_seq", F.lit(0 if v is None else v + 1).cast("int"))
         if "_pos" not in new.columns:
             new = new.withColumn("_pos", F.monotonically_increasing_id())
-        if v is not None:
-            old = self.read()
-            if "_pos" not in old.columns:
-                old = old.withColumn("_pos", F.lit(0).cast("long"))
-            new = old.unionByName(new.select(*old.columns))
         merged = keep_latest(new, "pmid", record_order(new))
-        merged.repartition("pmid").write.mode("errorifexists").parquet(self.path(nxt))
-        return nxt
+        self._open(merged).upsert(merged, batch)
+        return self.current_version()
 
 
 class BucketedCorpusStore:
@@ -116,7 +106,7 @@ class BucketedCorpusStore:
         self.width = int(bucket_width)
 
     def read(self) -> DataFrame | None:
-        if not _exists(self.spark, self.path):
+        if not exists(self.spark, self.path):
             return None
         return self.spark.read.parquet(self.path)
 
@@ -127,9 +117,9 @@ class BucketedCorpusStore:
     def current_version(self) -> int | None:
         return None
 
-    def upsert(self, articles: DataFrame) -> int:
+    def upsert(self, articles: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Merge ``articles`` into the touched buckets; returns the number of
-        buckets rewritten."""
+        buckets rewritten.  Merging a ``batch`` again changes nothing."""
         new = articles.withColumn(self.BUCKET, F.floor(F.col("pmid") / F.lit(self.width)).cast("long"))
         if "_pos" not in new.columns:
             new = new.withColumn("_pos", F.monotonically_increasing_id())
@@ -156,7 +146,7 @@ class Ledger:
         self.path = path.rstrip("/")
 
     def read(self) -> DataFrame:
-        if not _exists(self.spark, self.path):
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], "file_stem string")
         return self.spark.read.parquet(self.path)
 
@@ -171,9 +161,8 @@ class Ledger:
         return files.join(self.read().select("file_stem"), "file_stem", "left_anti")
 
     def reset(self) -> None:
-        if _exists(self.spark, self.path):
-            fs, p = _fs(self.spark, self.path)
-            fs.delete(p, True)
+        if exists(self.spark, self.path):
+            delete(self.spark, self.path)
 
     def reset_if_target_empty(self, store: CorpusStore) -> bool:
         """Forget every import when the corpus is missing or empty."""

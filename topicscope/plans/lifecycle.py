@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import combine_text
 from ..operators.sampling import sample
+from ..sources import files as fl
 from ..sources.listing import list_files
 from ..sources.medline import flat_articles, normalise, read_medline_raw, split_rejects
 from ..sources.ndjson import write_articles_json
-from .ingest import _exists, _fs
 from .topics import TfidfTopicModel
 
 
@@ -40,7 +40,7 @@ def training_sample(
     with their combined text.  With ``cache_path`` the sample is written once
     as parquet and read back on later calls; the path should encode the
     sampling parameters (the caller's key)."""
-    if cache_path and _exists(spark, cache_path):
+    if cache_path and fl.exists(spark, cache_path):
         return spark.read.parquet(cache_path)
     picked = sample(articles.select("pmid"), n_samples, method=method, key="pmid", seed=seed)
     kw = combine_kwargs or {}
@@ -78,10 +78,8 @@ def extract_to_json(spark: SparkSession, input_dir: str, output_dir: str, overwr
     ``overwrite``; returns the converted stems.  Records without a numeric
     identifier go to ``rejects_path`` (beside the output unless given)."""
     files = list_files(spark, input_dir, glob).filter(~F.col("name").endswith(".md5"))
-    if not overwrite and _exists(spark, output_dir):
-        fs, p = _fs(spark, output_dir)
-        done = [st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
-                if st.isDirectory() and st.getPath().getName().startswith("file_stem=")]
+    if not overwrite and fl.exists(spark, output_dir):
+        done = [n.split("=", 1)[1] for n in fl.names_in(spark, output_dir) if n.startswith("file_stem=")]
         done_df = spark.createDataFrame([(s,) for s in done], "file_stem string")
         files = files.join(done_df, "file_stem", "left_anti")
     todo = files.select("path", "file_stem").collect()  # one row per file
@@ -97,10 +95,8 @@ def extract_to_json(spark: SparkSession, input_dir: str, output_dir: str, overwr
 def models_with_predictions(spark: SparkSession, models_dir: str, source: str) -> DataFrame:
     """``model`` names (sub-directories of ``models_dir``) that have a
     ``<source>_<model>_predictions`` table in the catalog."""
-    names = []
-    if _exists(spark, models_dir):
-        fs, p = _fs(spark, models_dir)
-        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    fs, p = fl.file_system(spark, models_dir)
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()] if fs.exists(p) else []
     models = spark.createDataFrame([(n,) for n in names], "model string")
     tables = spark.createDataFrame(
         [(t.name,) for t in spark.catalog.listTables(pattern=f"{source}_*_predictions")], "table string"
@@ -113,9 +109,8 @@ def remove_model(spark: SparkSession, model_path: str, model_name: str) -> list[
     """Delete a saved model and drop all its prediction tables."""
     from ..operators.store import drop_model_tables
 
-    if _exists(spark, model_path):
-        fs, p = _fs(spark, model_path)
-        fs.delete(p, True)
+    if fl.exists(spark, model_path):
+        fl.delete(spark, model_path)
     return drop_model_tables(spark, model_name)
 
 

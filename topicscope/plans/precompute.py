@@ -3,22 +3,27 @@ topic label, its reconstructed date and its completion date.
 
 ``forward`` takes articles in identifier order, ``uniform`` in a seeded
 pseudo-random order (so that a capped or timed run is an unbiased sample);
-``max_new`` caps the number of new predictions.  The prediction table is
-partitioned by label; articles already in it are skipped, or with ``overwrite``
-labelled again and upserted: rows of other articles always stay.
+``max_new`` caps the number of new predictions.  The prediction table is a store of
+deltas partitioned by label (``sources.delta_store``); articles already in it are
+skipped, or with ``overwrite`` labelled again and upserted: rows of other articles
+always stay.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_text
 from ..operators.sampling import first_in_order, scan_positions, uniform_order
-from ..operators.store import ensure_predictions_table, unpredicted
+from ..operators.store import unpredicted
 from ..operators.trends import completion_offset, with_reconstructed_date
+from ..session import shared_dir
+from ..sources.delta_store import PredictionStore
 
 ORDER_METHODS = ("forward", "uniform")
 BATCH_SIZE = 10_000
@@ -75,22 +80,23 @@ def merged_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("pmid"), "pmid", "left_anti").unionByName(new)
 
 
-def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: bool = False) -> int:
-    """Put ``new`` into the label-partitioned ``table``; with ``upsert`` rows of
-    the same articles are replaced.  Returns the rows written."""
-    ensure_predictions_table(spark, table)
-    cols = ["pmid", "date", "date_completed", "label"]
-    # staged first: the write must not read the table it changes
-    staged = new.select(*cols).checkpoint(eager=True)
-    n = staged.count()
-    if not n:
-        return 0
-    if upsert:
-        old = spark.table(table).select(*cols)
-        staged = merged_predictions(old, staged).select(*cols).checkpoint(eager=True)
-    staged.write.mode("overwrite" if upsert else "append").option("partitionOverwriteMode", "static").insertInto(table)
-    spark.catalog.refreshTable(table)
-    return n
+def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: bool = False, batch: tuple[str, int] | None = None) -> int:
+    """Put ``new`` into the prediction store ``table``; with ``upsert`` rows of the same
+    articles are replaced.  Costs the rows of ``new``, not those of the table.  Returns
+    the rows written (0 for a ``batch`` that was committed before)."""
+    store = PredictionStore(spark, table)
+    rows = new.select("pmid", "date", "date_completed", "label")
+    return store.upsert(rows, batch) if upsert else store.append(rows, batch)
+
+
+def _batches(spark: SparkSession, articles: DataFrame, placed: DataFrame, size: int) -> str:
+    """The articles of ``placed(pmid, pos)`` written once, a folder a batch, so that a
+    batch reads its own rows only."""
+    path = f"{shared_dir(spark, 'tables')}/batches-{uuid.uuid4().hex[:12]}"
+    at = placed.select("pmid", F.floor(F.col("pos") / F.lit(size)).cast("long").alias("_batch"))
+    rows = articles.join(at, "pmid").repartition(F.col("_batch"), F.pmod(F.xxhash64("pmid"), F.lit(4)))
+    rows.write.partitionBy("_batch").parquet(path)
+    return path
 
 
 def precompute_predictions(
@@ -105,12 +111,14 @@ def precompute_predictions(
     batch_size: int | None = None,
     timeout: float | None = None,
     combine_kwargs: dict | None = None,
+    stop: Callable[[], bool] | None = None,
 ) -> int:
     """Label articles into ``table``; returns the number labelled.
 
     The identifiers to do are chosen and numbered once and cut into batches of
-    ``batch_size`` (one batch without it; ``BATCH_SIZE`` if a ``timeout`` is
-    given); ``timeout`` seconds are checked between batches.  For continuous
+    ``batch_size`` (one batch without it; ``BATCH_SIZE`` if a ``timeout`` or ``stop`` is
+    given); ``timeout`` seconds and ``stop()`` are checked between batches.  Every
+    batch is one commit: a run that dies keeps the batches before it.  For continuous
     runs use the labelling stream (``streaming.labelling``).
     """
     order = _order(method, seed)
@@ -120,9 +128,10 @@ def precompute_predictions(
     start = time.monotonic()
     offset = completion_offset(articles).checkpoint(eager=True)
     ids = articles.select("pmid").distinct()
-    if not overwrite and spark.catalog.tableExists(table):
-        ids = unpredicted(ids, spark.table(table).select("pmid"), "pmid")
-    if timeout is not None and batch_size is None:
+    store = PredictionStore(spark, table)
+    if not overwrite and store.exists():
+        ids = unpredicted(ids, store.read().select("pmid"), "pmid")
+    if (timeout is not None or stop is not None) and batch_size is None:
         batch_size = BATCH_SIZE
     if max_new is None and batch_size is None:
         todo = articles.join(ids.checkpoint(eager=True), "pmid", "left_semi")
@@ -134,10 +143,12 @@ def precompute_predictions(
     placed = placed.checkpoint(eager=True)
     n, total = placed.count(), 0
     size = batch_size or max(1, n)
-    for at in range(0, n, size):
-        batch = placed.filter((F.col("pos") >= at) & (F.col("pos") < at + size)).select("pmid")
-        todo = articles.join(batch, "pmid", "left_semi")
+    if not n:
+        return 0
+    path = _batches(spark, articles, placed, size)
+    for i in range(-(-n // size)):
+        todo = spark.read.schema(articles.schema).parquet(f"{path}/_batch={i}")
         total += write_predictions(spark, labelled(model, todo, offset, combine_kwargs), table, overwrite)
-        if timeout is not None and time.monotonic() - start >= timeout:
+        if (timeout is not None and time.monotonic() - start >= timeout) or (stop is not None and stop()):
             break
     return total

@@ -261,10 +261,10 @@ class TfidfTopicModel:
         m.n_terms = m.vocab.count()
         from pyspark.ml.clustering import KMeansModel
 
-        from .ingest import _exists
+        from ..sources.files import exists
 
         # saved without the k-means model: score centres directly
-        m.kmeans = KMeansModel.load(f"{path}/kmeans") if _exists(spark, f"{path}/kmeans") else None
+        m.kmeans = KMeansModel.load(f"{path}/kmeans") if exists(spark, f"{path}/kmeans") else None
         m.names = spark.read.option("header", True).schema("label int, name string").csv(f"{path}/names")
         return m
 
@@ -303,9 +303,9 @@ class EntityTopicModel(TfidfTopicModel):
 
     @classmethod
     def _load_parts(cls, spark: SparkSession, path: str) -> dict:
-        from .ingest import _exists
+        from ..sources.files import exists
 
-        if _exists(spark, f"{path}/dictionary"):
+        if exists(spark, f"{path}/dictionary"):
             return {"dictionary": spark.read.parquet(f"{path}/dictionary")}
         if cls._extractor is None:
             raise ValueError("the model was saved with an extractor; give it to load")

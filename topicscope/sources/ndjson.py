@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .delta_store import PredictionStore
+
 ARTICLE_JSON_SCHEMA = (
     "PMID bigint, DATE_REVISED date, DATE_COMPLETED date, KEYWORDS_MAJOR array<string>, "
     "KEYWORDS_MINOR array<string>, ARTICLE struct<ARTICLE_TITLE:string, ABSTRACT:string, LANGUAGE:string, "
     "ARTICLE_DATE:date, AUTHORS:array<struct<LAST_NAME:string, FIRST_NAME:string, COLLECTIVE_NAME:string>>>"
 )
 
+FILES_PER_STEM = 4
+
 PREDICTION_SCHEMA = "pmid bigint, date date, date_completed date, label int"
 
 
@@ -43,7 +47,9 @@ def write_articles_json(articles: DataFrame, path: str, mode: str = "errorifexis
         ).alias("ARTICLE"),
         "file_stem",
     )
-    out.write.mode(mode).partitionBy("file_stem").option("dateFormat", "yyyy-MM-dd").json(path)
+    # a file's records come together first, so a folder has at most FILES_PER_STEM files
+    dealt = out.repartition(F.col("file_stem"), F.pmod(F.xxhash64("PMID"), F.lit(FILES_PER_STEM)))
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("file_stem").option("dateFormat", "yyyy-MM-dd").json(path)
 
 
 def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +92,9 @@ def export_predictions(spark: SparkSession, table: str, path: str, mode: str = "
 def import_predictions(
     spark: SparkSession, target_table: str, source_table: str | None = None, filepath: str | None = None
 ) -> DataFrame:
-    """Replace ``target_table`` with predictions from exactly one of a table or
-    an NDJSON path.  Returns the new table."""
+    """Replace ``target_table`` (a prediction store, label-partitioned as ``precompute``
+    writes it) with predictions from exactly one of a table or an NDJSON path.
+    Returns the new table."""
     if (source_table is None) == (filepath is None):
         raise ValueError("Exactly one of source_table and filepath must be given")
     if source_table is not None:
@@ -95,7 +102,7 @@ def import_predictions(
     else:
         df = spark.read.schema(PREDICTION_SCHEMA).option("dateFormat", "yyyy-MM-dd").json(filepath)
         df = df.filter(F.col("pmid").isNotNull())
-    # materialise the source before replacing the target (never overwrite the path being read)
-    staged = df.select("pmid", "date", "date_completed", "label").checkpoint(eager=True)
-    staged.write.mode("overwrite").saveAsTable(target_table)
+    # the source may be the target: its files stay until a vacuum
+    store = PredictionStore(spark, target_table)
+    store.replace(df.select("pmid", "date", "date_completed", "label"))
     return spark.table(target_table)

@@ -43,7 +43,7 @@ def run_import_stream(
         if not bad.isEmpty():
             bad.write.mode("overwrite").parquet(f"{rejects}/batch={int(batch_id)}")
         if not good.isEmpty():
-            store.upsert(good)
+            store.upsert(good, (checkpoint, int(batch_id)))
             batches.append(batch_id)
 
     q = (
