@@ -60,7 +60,7 @@ def test_doc_vector_model(spark, scratch):
     from topicscope.sources.tables import read_table
 
     docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
-    m = DocVectorTopicModel(vector_size=8, min_points=3, n_components=3, random_state=1).fit(docs)
+    m = DocVectorTopicModel(vector_size=8, min_points=3, n_components=3, random_state=1, cell_size=0.05).fit(docs)
     assert m.predict(docs).count() == docs.count()
     names = m.names.collect()
     assert all(len(r["name"].split("_")) <= 5 for r in names)

@@ -49,3 +49,12 @@ def test_tfidf_document_frequency_is_partially_aggregated(spark):
     p = _plan(tfidf(spark, SF_SMALL))
     assert "partial_count" in p
     assert "Window [sum" in p  # per-document norm, not a join back
+
+
+def test_trends_read_each_table_once(spark):
+    from topicscope.plans.registry import QUERIES
+
+    for name, scans in (("gap_filled_trend", 1), ("docs_per_day", 1), ("trends_for_query", 2)):
+        df = QUERIES[name](spark, SF_SMALL)
+        df.collect()
+        assert _plan(df).split("Initial Plan")[0].count("FileScan") == scans, name

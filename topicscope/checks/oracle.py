@@ -387,6 +387,11 @@ def _sql() -> dict[str, str]:
                                       f"ORDER BY md5(CAST(pmid AS VARCHAR) || ':{R.SAMPLE_SEED}'), pmid {cap}")
     q["precompute_overwrite"] = (f"WITH {BASE}, n AS ({todo} ORDER BY pmid {cap}) SELECT * FROM n UNION ALL "
                                  "SELECT pmid, CAST(NULL AS DATE), date_completed, -1 FROM oa WHERE pmid % 3 = 0 AND pmid NOT IN (SELECT pmid FROM n)")
+    q["precompute_overwrite_batches"] = q["precompute_overwrite"]
+    q["embedding_precompute"] = (
+        f"WITH {BASE}, {VEC}, {_ranked_pairs('euclidean')} SELECT pmid, date, date_completed, "
+        f"CAST(CASE WHEN distance <= {R.RADIUS} THEN rp.label ELSE -1 END AS INTEGER) AS label "
+        "FROM pred LEFT JOIN rp ON rp.vec_id = pmid AND rank = 1")
     q["upsert_across_files"] = (
         "SELECT pmid, file_stem, price FROM (SELECT o_custkey AS pmid, 'f' || CAST(o_orderkey % 4 AS VARCHAR) AS file_stem, o_totalprice AS price, "
         "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
@@ -426,6 +431,25 @@ def _sql() -> dict[str, str]:
         "SELECT d.doc_id, COALESCE(p.text, '') AS text FROM documents d\n"
         "LEFT JOIN (SELECT doc_id, string_agg(phrase, ' ' ORDER BY start) AS text FROM picked GROUP BY doc_id) p USING (doc_id)\n"
     )
+    # the same entity texts for the documents and the first benchmark text (id -1)
+    first = "SELECT -1 AS doc_id, text FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)"
+    ents = q["entity_text"].replace("FROM documents", "FROM src").replace("documents d", "src d")
+    ctes, final = ents.split("WITH RECURSIVE\n", 1)[1].rsplit("SELECT d.doc_id", 1)
+    q["entity_trends"] = (
+        f"WITH RECURSIVE src AS (SELECT doc_id, text FROM documents UNION ALL {first}),\n{ctes.rstrip()},\n"
+        f"ents AS (SELECT d.doc_id{final}), {BASE}, {DL}, "
+        f"tok AS (SELECT doc_id, unnest({_content()}) AS term FROM ents), "
+        "tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM tok GROUP BY ALL), "
+        "nd AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM documents), "
+        "voc AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, COUNT(*) AS df FROM tf WHERE doc_id <> -1 GROUP BY term), nd), "
+        "w AS (SELECT tf.doc_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc USING (term)), "
+        "nrm AS (SELECT doc_id, sqrt(SUM(w * w)) AS nrm FROM w GROUP BY doc_id), "
+        "ctw AS (SELECT l.label, w.term, SUM(w.w / nrm.nrm) AS weight FROM w JOIN nrm USING (doc_id) JOIN dl l USING (doc_id) GROUP BY ALL), "
+        "qw AS (SELECT term, w AS weight FROM w WHERE doc_id = -1), "
+        "cn AS (SELECT label, sqrt(SUM(weight * weight)) AS n FROM ctw GROUP BY label), "
+        "sim AS (SELECT label, round(SUM(c.weight * qw.weight) / (any_value(cn.n) * (SELECT sqrt(SUM(weight * weight)) FROM qw)), 9) AS similarity "
+        "FROM ctw c JOIN qw USING (term) JOIN cn USING (label) GROUP BY label), "
+        f"{_trend_matrix_ctes('SELECT label FROM sim ORDER BY similarity DESC, label LIMIT ' + str(R.CLOSEST_N))} SELECT date, label, articles FROM tm")
     return q
 
 

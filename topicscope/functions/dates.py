@@ -64,6 +64,11 @@ def spine(lo: Column, hi: Column, resolution: str) -> Column:
     return F.sequence(lo, hi, F.expr(_STEP[unit]))
 
 
+def previous_bucket(start: Column, resolution: str) -> Column:
+    """The bucket start one step before a bucket start."""
+    return start - F.expr(_STEP[resolution_unit(resolution)])
+
+
 def assemble_date(year: Column | str, month: Column | str, day: Column | str) -> Column:
     """Date from Year/Month/Day text leaves; NULL when a part is missing or bad.
 

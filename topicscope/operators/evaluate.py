@@ -68,8 +68,9 @@ def calinski_harabasz(
             "trw", F.aggregate("C", F.lit(0.0), lambda a, c: a + c["q"] - squared_norm(c["s"]) / c["n"])
         )
     )
+    # one cluster has no score (null)
     score = F.when(F.col("trw") == 0, F.lit(1.0)).otherwise(
-        F.col("trb") * (F.col("N") - F.col("k")) / (F.col("trw") * (F.col("k") - F.lit(1.0)))
+        F.try_divide(F.col("trb") * (F.col("N") - F.col("k")), F.col("trw") * (F.col("k") - F.lit(1.0)))
     )
     return one.select(score.alias("calinski_harabasz"))
 
@@ -101,9 +102,7 @@ def davies_bouldin(
     def worst(ci):
         ratios = F.transform(
             F.filter(F.col("C"), lambda cj: cj["label"] != ci["label"]),
-            lambda cj: F.when(euclidean(ci["c"], cj["c"]) == 0, F.lit(0.0)).otherwise(
-                (ci["S"] + cj["S"]) / euclidean(ci["c"], cj["c"])
-            ),
+            lambda cj: F.coalesce(F.try_divide(ci["S"] + cj["S"], euclidean(ci["c"], cj["c"])), F.lit(0.0)),
         )
         return F.coalesce(F.array_max(ratios), F.lit(0.0))
 
@@ -136,12 +135,12 @@ def silhouette(
 
     own = F.filter(carr, lambda c: c["label"] == F.col("label"))[0]
     others = F.transform(F.filter(carr, lambda c: c["label"] != F.col("label")), mean_sq)
-    p = p.withColumn("own_n", own["n"]).withColumn("a", mean_sq(own) * own["n"] / (own["n"] - F.lit(1.0)))
+    p = p.withColumn("own_n", own["n"]).withColumn("a", F.try_divide(mean_sq(own) * own["n"], own["n"] - F.lit(1.0)))
     p = p.withColumn("b", F.array_min(others))
     s = (
         F.when(F.col("own_n") <= 1, F.lit(0.0))
-        .when(F.col("a") < F.col("b"), F.lit(1.0) - F.col("a") / F.col("b"))
-        .when(F.col("a") > F.col("b"), F.col("b") / F.col("a") - F.lit(1.0))
+        .when(F.col("a") < F.col("b"), F.lit(1.0) - F.try_divide("a", "b"))
+        .when(F.col("a") > F.col("b"), F.try_divide("b", "a") - F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
     return p.agg(F.avg(s).alias("silhouette"))

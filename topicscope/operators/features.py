@@ -146,6 +146,18 @@ def cluster_term_weights(weights: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def nearest_by_terms(weights: DataFrame, query: DataFrame, n: int) -> DataFrame:
+    """``label, similarity``: the ``n`` labels whose term weights ``label, term, weight``
+    have the largest cosine with the query's ``term, weight`` (ties by label at 9
+    decimals).  Labels without a common term are left out."""
+    norms = weights.groupBy("label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
+    q = query.groupBy("term").agg(F.sum("weight").alias("_q"))
+    dots = weights.join(q, "term").groupBy("label").agg(F.sum(F.col("weight") * F.col("_q")).alias("_d"))
+    length = query.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")))).scalar()
+    scored = dots.join(norms, "label").select("label", F.round(F.col("_d") / (F.col("_n") * length), 9).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), "label").limit(int(n))
+
+
 def top_terms(weights: DataFrame, n: int, weight_col: str = "weight") -> DataFrame:
     """``label, term, weight, rank`` - the ``n`` heaviest terms per label
     (ties by term), skew-safe."""

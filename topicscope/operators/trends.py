@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import calendar_bucket, reconstructed_date, resolution_unit, spine
+from ..functions.dates import calendar_bucket, previous_bucket, reconstructed_date, resolution_unit, spine
 from .common import bounded_broadcast
 
 DATE_FIELDS = ("date_completed", "article_date", "date_revised")
@@ -48,26 +48,29 @@ def with_reconstructed_date(articles: DataFrame, offset: DataFrame | None = None
 
 def _zero_filled(counts: DataFrame, resolution: str, keys: list[str]) -> DataFrame:
     """``counts`` plus a zero for every bucket between the first and the last of
-    each key: calendar and counts are put together and summed, which is linear
-    in the buckets and spreads one key's buckets over the tasks."""
-    ends = counts.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi")).filter(F.col("lo").isNotNull())
-    calendar = ends.select(*keys, F.explode(spine(F.col("lo"), F.col("hi"), resolution)).alias("date"), F.lit(0).cast("long").alias("articles"))
-    both = counts.select(*keys, "date", "articles").unionByName(calendar)
-    return both.groupBy(*keys, "date").agg(F.sum("articles").alias("articles"))
+    each key: every bucket also writes the empty ones up to the next bucket of its key.
+    One pass over the counts; the window holds one row per bucket."""
+    nxt = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
+    reach = F.coalesce(previous_bucket(F.col("_next"), resolution), F.col("date"))
+    run = counts.select(*keys, "date", "articles", nxt.alias("_next")).select(
+        *keys, "articles", F.posexplode(spine(F.col("date"), reach, resolution)).alias("_i", "date")
+    )
+    return run.select(*keys, "date", F.when(F.col("_i") == 0, F.col("articles")).otherwise(F.lit(0)).cast("long").alias("articles"))
+
+
+def day_counts(articles: DataFrame, date_field: str = "date_completed") -> DataFrame:
+    """Articles per calendar day of ``date_field``: ``date, articles``, days without
+    articles left out."""
+    if date_field not in DATE_FIELDS:
+        raise ValueError(f"Invalid date field: {date_field!r}; expected one of {DATE_FIELDS}")
+    days = articles.select(F.col(date_field).cast("date").alias("date")).filter(F.col("date").isNotNull())
+    return days.groupBy("date").agg(F.count(F.lit(1)).alias("articles"))
 
 
 def docs_per_day(articles: DataFrame, date_field: str = "date_completed") -> DataFrame:
     """Articles per calendar day of ``date_field``, zero-filled between the first
     and the last day; rows without the date are not counted.  ``date, articles``."""
-    if date_field not in DATE_FIELDS:
-        raise ValueError(f"Invalid date field: {date_field!r}; expected one of {DATE_FIELDS}")
-    counts = (
-        articles.select(F.col(date_field).cast("date").alias("date"))
-        .filter(F.col("date").isNotNull())
-        .groupBy("date")
-        .agg(F.count(F.lit(1)).alias("articles"))
-    )
-    return _zero_filled(counts, "day", [])
+    return _zero_filled(day_counts(articles, date_field), "day", [])
 
 
 def rank_days(per_day: DataFrame) -> DataFrame:
@@ -173,7 +176,8 @@ def spike_filtered_trend(
     per label, outer merged.  ``date, label, articles`` sorted by date."""
     preds = predictions.filter(F.col("label").isin([int(x) for x in labels]))
     if ignore_top_n_dates > 0:
-        spikes = top_spike_dates(docs_per_day(articles, "date_completed"), ignore_top_n_dates)
+        # days without articles cannot be spikes: no calendar is needed
+        spikes = top_spike_dates(day_counts(articles, "date_completed"), ignore_top_n_dates)
         preds = drop_spike_dates(preds, spikes, ignore_top_n_dates)
     filled = gap_fill(label_trend(preds, resolution), resolution)
     return trend_matrix(filled, labels).orderBy("date", "label")

@@ -13,7 +13,10 @@ from ..sources import files as fl
 from ..sources.listing import list_files
 from ..sources.medline import flat_articles, normalise, read_medline_raw, split_rejects
 from ..sources.ndjson import write_articles_json
-from .topics import TfidfTopicModel
+from .embedding_topics import DocVectorTopicModel, EmbeddingTopicModel
+from .topics import EntityTopicModel, TfidfTopicModel
+
+MODELS = {"tfidf": TfidfTopicModel, "entity": EntityTopicModel, "embedding": EmbeddingTopicModel, "docvec": DocVectorTopicModel}
 
 
 def predictions_table_name(source: str, model_name: str) -> str:
@@ -60,15 +63,23 @@ def train(
     method: str = "uniform",
     seed: int | None = 0,
     combine_kwargs: dict | None = None,
-    cache_path: str | None = None,
+    cache_dir: str | None = None,
     overwrite: bool = False,
+    model: str | type = "tfidf",
+    source: str = "articles",
     **model_kwargs,
-) -> TfidfTopicModel:
-    """Sample -> fit -> save (the ``train`` command)."""
-    s = training_sample(spark, articles, n_samples, method, seed, combine_kwargs, cache_path)
-    model = TfidfTopicModel(combine_kwargs=combine_kwargs, **model_kwargs).fit(s.select(F.col("pmid").alias("doc_id"), "text"))
-    model.save(model_path, overwrite=overwrite)
-    return model
+):
+    """Sample -> fit -> save (the ``train`` command) for any of ``MODELS`` or a class of
+    the same interface.  ``cache_dir`` keeps samples by ``source`` and every parameter
+    that changes them."""
+    kind = MODELS.get(model) if isinstance(model, str) else model
+    if kind is None:
+        raise ValueError(f"unknown model {model!r}; expected one of {sorted(MODELS)}")
+    cache = sample_cache_path(cache_dir, source, n_samples, method, seed, combine_kwargs) if cache_dir else None
+    s = training_sample(spark, articles, n_samples, method, seed, combine_kwargs, cache)
+    fitted = kind(combine_kwargs=combine_kwargs, **model_kwargs).fit(s.select(F.col("pmid").alias("doc_id"), "text"))
+    fitted.save(model_path, overwrite=overwrite)
+    return fitted
 
 
 def extract_to_json(spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False,

@@ -80,11 +80,15 @@ def merged_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("pmid"), "pmid", "left_anti").unionByName(new)
 
 
-def write_predictions(spark: SparkSession, new: DataFrame, table: str, upsert: bool = False, batch: tuple[str, int] | None = None) -> int:
+def _store(spark: SparkSession, table: str | PredictionStore) -> PredictionStore:
+    return table if isinstance(table, PredictionStore) else PredictionStore(spark, table)
+
+
+def write_predictions(spark: SparkSession, new: DataFrame, table: str | PredictionStore, upsert: bool = False, batch: tuple[str, int] | None = None) -> int:
     """Put ``new`` into the prediction store ``table``; with ``upsert`` rows of the same
     articles are replaced.  Costs the rows of ``new``, not those of the table.  Returns
     the rows written (0 for a ``batch`` that was committed before)."""
-    store = PredictionStore(spark, table)
+    store = _store(spark, table)
     rows = new.select("pmid", "date", "date_completed", "label")
     return store.upsert(rows, batch) if upsert else store.append(rows, batch)
 
@@ -103,7 +107,7 @@ def precompute_predictions(
     spark: SparkSession,
     model,
     articles: DataFrame,
-    table: str,
+    table: str | PredictionStore,
     max_new: int | None = None,
     method: str = "uniform",
     overwrite: bool = False,
@@ -128,14 +132,14 @@ def precompute_predictions(
     start = time.monotonic()
     offset = completion_offset(articles).checkpoint(eager=True)
     ids = articles.select("pmid").distinct()
-    store = PredictionStore(spark, table)
+    store = _store(spark, table)
     if not overwrite and store.exists():
         ids = unpredicted(ids, store.read().select("pmid"), "pmid")
     if (timeout is not None or stop is not None) and batch_size is None:
         batch_size = BATCH_SIZE
     if max_new is None and batch_size is None:
         todo = articles.join(ids.checkpoint(eager=True), "pmid", "left_semi")
-        return write_predictions(spark, labelled(model, todo, offset, combine_kwargs), table, overwrite)
+        return write_predictions(spark, labelled(model, todo, offset, combine_kwargs), store, overwrite)
     ranked = ids.select("pmid", F.struct(order.alias("o"), F.col("pmid").alias("k")).alias("_order"))
     placed = scan_positions(ranked, "_order").select("pmid", "pos")
     if max_new is not None:
@@ -148,7 +152,7 @@ def precompute_predictions(
     path = _batches(spark, articles, placed, size)
     for i in range(-(-n // size)):
         todo = spark.read.schema(articles.schema).parquet(f"{path}/_batch={i}")
-        total += write_predictions(spark, labelled(model, todo, offset, combine_kwargs), table, overwrite)
+        total += write_predictions(spark, labelled(model, todo, offset, combine_kwargs), store, overwrite)
         if (timeout is not None and time.monotonic() - start >= timeout) or (stop is not None and stop()):
             break
     return total

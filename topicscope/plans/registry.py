@@ -9,6 +9,7 @@ rounded to 6 decimals so that the two engines' summation orders agree.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from ..operators import sampling as S
 from ..operators import store as ST
 from ..operators import trends as TR
 from ..operators import vectors as V
+from ..session import shared_dir
 from ..sources import listing as LS
 from ..sources.tables import articles_view, order_articles, predictions_view, read_table
 
@@ -510,6 +512,36 @@ def precompute_overwrite(spark, d):
     return merged_predictions(_done(arts), new_predictions(_LabelFromText, arts, None, PRECOMPUTE_CAP, "forward"))
 
 
+OVERWRITE_BATCH = 40
+
+
+def precompute_overwrite_batches(spark, d):
+    """A capped overwrite in batches into a prediction store, and its merged read."""
+    from ..sources.delta_store import PredictionStore
+    from .precompute import precompute_predictions
+
+    arts = _text_articles(spark, d)
+    name = f"batches_{uuid.uuid4().hex[:12]}_predictions"
+    store = PredictionStore(spark, name, f"{shared_dir(spark, 'stores')}/{name}")
+    store.append(_done(arts))
+    precompute_predictions(spark, _LabelFromText, arts, store, PRECOMPUTE_CAP, "forward", overwrite=True, batch_size=OVERWRITE_BATCH)
+    rows = store.read()
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    return rows
+
+
+def embedding_precompute(spark, d):
+    """Bulk labelling by an embedding model with given topic vectors (the mean vector
+    of every label) and radius; articles without a stored vector are noise."""
+    from .embedding_topics import EmbeddingTopicModel, stored_vectors
+    from .precompute import new_predictions
+
+    emb = _emb(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+    model = EmbeddingTopicModel(radius=RADIUS, encoder=stored_vectors(emb))
+    model.topic_vectors = _centres(spark, d)
+    return new_predictions(model, _text_articles(spark, d))
+
+
 def upsert_across_files(spark, d):
     from .ingest import keep_latest, record_order
 
@@ -598,14 +630,41 @@ def entity_text(spark, d):
     return et(_docs(spark, d), _gazetteer(spark, d), 3)
 
 
-def entity_topics(spark, d):
+def entity_trends(spark, d):
+    """Trends of the labels nearest to a text by its dictionary entities: the entity
+    text of every document, its TF-IDF, the labels' summed weights, their cosine with
+    the query's entities (the first benchmark text), and the labels' trend."""
+    from ..operators.entities import entity_text as et
+
+    phrases = _gazetteer(spark, d)
+    ents = et(_docs(spark, d), phrases, 3)
+    tf = FE.term_counts(ents, stop_words="english")
+    n = ents.select(F.count(F.lit(1)).cast("double")).scalar()
+    vocab = FE.pruned_vocab(FE.doc_freq(tf), n, 1, 1.0)
+    weights = FE.cluster_term_weights(FE.tfidf(tf, vocab), _doc_labels(spark, d))
+    first = read_table(spark, d, "benchmark", spread_small=False).orderBy("item_id").limit(1).select(F.col("item_id").alias("doc_id"), "text")
+    query = FE.term_counts(et(first, phrases, 3), stop_words="english").join(vocab, "term").select("term", (F.col("tf") * F.col("idf")).alias("weight"))
+    labels = [int(r["label"]) for r in FE.nearest_by_terms(weights, query, CLOSEST_N).select("label").collect()]
+    return TR.spike_filtered_trend(order_articles(spark, d), predictions_view(spark, d), "month", labels, SPIKE_N)
+
+
+def _entity_model(spark, d):
     from .topics import EntityTopicModel
 
     key = (spark.sparkContext.applicationId, d, "entity")
     if key not in _MODELS:
         params = dict(MODEL_PARAMS, min_df=1, max_df=1.0, n_clusters=5)
         _MODELS[key] = EntityTopicModel(dictionary=_gazetteer(spark, d), **params).fit(_docs(spark, d))
-    return _MODELS[key].names
+    return _MODELS[key]
+
+
+def entity_topics(spark, d):
+    return _entity_model(spark, d).names
+
+
+def entity_model_trends(spark, d):
+    text = read_table(spark, d, "benchmark", spread_small=False).orderBy("item_id").first()["text"]
+    return _entity_model(spark, d).generate_trends(text, "month", order_articles(spark, d), predictions_view(spark, d), "cosine", CLOSEST_N, SPIKE_N)
 
 
 def _embedding_model(spark, d):
@@ -701,6 +760,7 @@ def tokenizer_term_freq(spark, d):
 # invariants).
 ROWS_ONLY: tuple[str, ...] = (
     "entity_topics",
+    "entity_model_trends",
     "density_topics",
     "embedding_topic_names",
     "embedding_trends",
@@ -792,9 +852,12 @@ QUERIES: dict[str, Builder] = {
     "precompute_capped_forward": precompute_capped_forward,
     "precompute_capped_uniform": precompute_capped_uniform,
     "precompute_overwrite": precompute_overwrite,
+    "precompute_overwrite_batches": precompute_overwrite_batches,
+    "embedding_precompute": embedding_precompute,
     "upsert_across_files": upsert_across_files,
     # gazetteer entities (SQL twin: a recursive walk)
     "entity_text": entity_text,
+    "entity_trends": entity_trends,
     # word vectors from counts, and a named tokenizer
     "word_cooccurrence": word_cooccurrence,
     "word_ppmi": word_ppmi,

@@ -187,10 +187,11 @@ class TfidfTopicModel:
         """``doc_id, label`` - the nearest centre of each document."""
         return self._assign(self.transform(docs, exclude_from="clustering")).select("doc_id", "label")
 
-    def evaluate(self, docs: DataFrame, labels: DataFrame | None = None, scores=None) -> DataFrame:
+    def evaluate(self, docs: DataFrame, labels: DataFrame | None = None, scores=None, transformed: bool = False) -> DataFrame:
         """One row of cluster scores on the reduced vectors (labels predicted
-        unless given as ``doc_id, label``)."""
-        reduced = self.transform(docs, exclude_from="clustering")
+        unless given as ``doc_id, label``; ``transformed``: ``docs`` is ``doc_id,
+        vector``)."""
+        reduced = docs.select("doc_id", "vector") if transformed else self.transform(docs, exclude_from="clustering")
         lab = labels if labels is not None else self._assign(reduced).select("doc_id", "label")
         pts = reduced.join(lab.select("doc_id", "label"), "doc_id")
         return E.evaluate_clusters(pts, "label", "vector", scores)
