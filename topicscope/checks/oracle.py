@@ -388,6 +388,7 @@ def _sql() -> dict[str, str]:
     q["precompute_overwrite"] = (f"WITH {BASE}, n AS ({todo} ORDER BY pmid {cap}) SELECT * FROM n UNION ALL "
                                  "SELECT pmid, CAST(NULL AS DATE), date_completed, -1 FROM oa WHERE pmid % 3 = 0 AND pmid NOT IN (SELECT pmid FROM n)")
     q["precompute_overwrite_batches"] = q["precompute_overwrite"]
+    q["trend_cube_matrix"] = q["trend_matrix"]
     q["embedding_precompute"] = (
         f"WITH {BASE}, {VEC}, {_ranked_pairs('euclidean')} SELECT pmid, date, date_completed, "
         f"CAST(CASE WHEN distance <= {R.RADIUS} THEN rp.label ELSE -1 END AS INTEGER) AS label "

@@ -10,7 +10,9 @@ one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -42,11 +44,56 @@ def uniform_order(key: str, seed: int):
     return [h, F.col(key)]
 
 
-def first_in_order(df: DataFrame, n: int, key: str, order) -> DataFrame:
-    """The keys of the first ``n`` rows by (``order``, key), cut from distributed
-    positions: no task holds more than its range."""
-    ranked = df.select(key, F.struct(order.alias("o"), F.col(key).alias("k")).alias("_order"))
-    return scan_positions(ranked, "_order").filter(F.col("pos") < int(n)).select(key)
+BINS = 4096
+SETTLED = 10_000
+
+
+def uniform_number(key: str, seed: int):
+    """The first 15 hex digits of ``uniform_order`` as a number: same order, but for
+    ties."""
+    return F.conv(F.substring(uniform_order(key, seed)[0], 1, 15), 16, 10).cast("long")
+
+
+def select_first(df: DataFrame, n: int, number: Column, order: Sequence[Column]) -> DataFrame:
+    """The first ``n`` rows of ``df`` by ``order``, whose leading part is ``number`` (a
+    long that never falls along the order).
+
+    Distributed selection: a histogram of the numbers in ``BINS`` bins tells in which
+    bin the n-th row lies, that bin is divided again, and so on until it holds at most
+    ``SETTLED`` rows or one number.  Rows before the bin are taken by a filter, and only
+    those of the bin are sorted.  Nothing else is sorted, shuffled or written; each round
+    reads the number alone and sends at most ``BINS`` counts.  Rows without a number are
+    not selected."""
+    n, df = int(n), df.filter(number.isNotNull())
+    if n <= 0:
+        return df.limit(0)
+    ends = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if ends["n"] <= n:
+        return df
+    lo, hi, before = ends["lo"], ends["hi"], 0
+    while True:
+        width = -(-(hi - lo + 1) // BINS)
+        at = F.call_function("div", number - F.lit(lo), F.lit(width).cast("long"))
+        counts = sorted(map(tuple, df.filter(number.between(F.lit(lo), F.lit(hi))).groupBy(at.alias("b")).count().collect()))
+        for b, held in counts:
+            if before + held >= n:
+                break
+            before += held
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        if held <= SETTLED or lo == hi:
+            break
+    last = df.filter(number.between(F.lit(lo), F.lit(hi))).orderBy(*order).limit(n - before)
+    return df.filter(number < F.lit(lo)).unionByName(last)
+
+
+def first_in_order(df: DataFrame, n: int, key: str, method: str, seed: int = 0) -> DataFrame:
+    """The keys of the first ``n`` rows in scan order (``forward``), from its end
+    (``backward``) or in the seeded order (``uniform``)."""
+    keys = df.select(key)
+    if method == "uniform":
+        return select_first(keys, n, uniform_number(key, seed), uniform_order(key, seed))
+    number = F.col(key).cast("long")
+    return select_first(keys, n, number, [F.col(key)]) if method == "forward" else select_first(keys, n, -number, [F.desc(key)])
 
 
 def sample(
@@ -74,11 +121,14 @@ def sample(
         if n > total:
             raise ValueError(f"cannot sample {n} rows without replacement from {total}")
     cols = df.columns
-    if method == "forward":
-        return scan_positions(df, key).filter(F.col("pos") < n)
-    if method == "backward":
-        total = df.select(F.count(F.lit(1))).scalar()
-        return scan_positions(df, key).filter(F.col("pos") >= total - F.lit(n))
-    # uniform
-    chosen = first_in_order(df, n, key, uniform_order(key, seed if seed is not None else 0)[0])
+    if method in ("forward", "backward"):
+        number = F.col(key).cast("long")
+        if method == "forward":
+            return scan_positions(select_first(df, n, number, [F.col(key)]), key)
+        # the positions of the last rows follow from their number
+        total = df.count()
+        rows = scan_positions(select_first(df, n, -number, [F.desc(key)]), key)
+        return rows.withColumn("pos", F.col("pos") + F.lit(max(0, total - n)))
+    # uniform; positions in the whole scan need all keys in order
+    chosen = first_in_order(df, n, key, "uniform", seed if seed is not None else 0)
     return scan_positions(df, key).join(chosen, key, "left_semi").orderBy("pos")

@@ -62,16 +62,16 @@ def new_predictions(
     keywords_major, keywords_minor, article_date, date_completed``).  The
     completion offset for date reconstruction is that of ``offset``
     (``completion_offset`` of the whole corpus) or computed over ``articles``.
-    A cap is cut on identifiers alone, from distributed positions; the texts of
+    A cap is cut on identifiers alone, by distributed selection; the texts of
     the chosen rows are joined afterwards.
     """
-    order = _order(method, seed)
+    _order(method, seed)
     if max_new is not None and max_new <= 0:
         raise ValueError("max_new must be positive")
     offset = completion_offset(articles) if offset is None else offset
     todo = articles if existing is None else unpredicted(articles, existing.select("pmid"), "pmid")
     if max_new is not None:
-        todo = todo.join(first_in_order(todo.select("pmid").distinct(), max_new, "pmid", order), "pmid", "left_semi")
+        todo = todo.join(first_in_order(todo.select("pmid").distinct(), max_new, "pmid", method, seed), "pmid", "left_semi")
     return labelled(model, todo, offset, combine_kwargs)
 
 
@@ -140,11 +140,10 @@ def precompute_predictions(
     if max_new is None and batch_size is None:
         todo = articles.join(ids.checkpoint(eager=True), "pmid", "left_semi")
         return write_predictions(spark, labelled(model, todo, offset, combine_kwargs), store, overwrite)
-    ranked = ids.select("pmid", F.struct(order.alias("o"), F.col("pmid").alias("k")).alias("_order"))
-    placed = scan_positions(ranked, "_order").select("pmid", "pos")
     if max_new is not None:
-        placed = placed.filter(F.col("pos") < int(max_new))
-    placed = placed.checkpoint(eager=True)
+        ids = first_in_order(ids.checkpoint(eager=True), max_new, "pmid", method, seed)
+    ranked = ids.select("pmid", F.struct(order.alias("o"), F.col("pmid").alias("k")).alias("_order"))
+    placed = scan_positions(ranked, "_order").select("pmid", "pos").checkpoint(eager=True)
     n, total = placed.count(), 0
     size = batch_size or max(1, n)
     if not n:

@@ -530,6 +530,26 @@ def precompute_overwrite_batches(spark, d):
     return rows
 
 
+def trend_cube_matrix(spark, d):
+    """The trend of ``trend_matrix`` from a cube that followed a prediction store
+    through three increments, the last of which puts a third of the labels right."""
+    from ..sources.delta_store import PredictionStore
+    from .trend_cube import TrendCube
+
+    tag = f"cube_{uuid.uuid4().hex[:12]}"
+    base = f"{shared_dir(spark, 'stores')}/{tag}"
+    preds, store, cube = predictions_view(spark, d), PredictionStore(spark, f"{tag}_predictions", f"{base}/store"), TrendCube(spark, f"{base}/cube")
+    cube.add_articles(order_articles(spark, d))
+    store.append(preds.filter("pmid % 3 = 0").withColumn("label", (F.col("label") + 1) % 10))
+    cube.advance(store)
+    store.append(preds.filter("pmid % 3 != 0"))
+    cube.advance(store)
+    store.upsert(preds.filter("pmid % 3 = 0"))
+    cube.advance(store)
+    spark.sql(f"DROP VIEW IF EXISTS {store.name}")
+    return cube.trend("month", TREND_LABELS, SPIKE_N)
+
+
 def embedding_precompute(spark, d):
     """Bulk labelling by an embedding model with given topic vectors (the mean vector
     of every label) and radius; articles without a stored vector are noise."""
@@ -854,6 +874,7 @@ QUERIES: dict[str, Builder] = {
     "precompute_overwrite": precompute_overwrite,
     "precompute_overwrite_batches": precompute_overwrite_batches,
     "embedding_precompute": embedding_precompute,
+    "trend_cube_matrix": trend_cube_matrix,
     "upsert_across_files": upsert_across_files,
     # gazetteer entities (SQL twin: a recursive walk)
     "entity_text": entity_text,

@@ -52,8 +52,10 @@ class DeltaTable:
             return {"version": -1, "parts": [], "batches": {}}
         return json.loads(files.read_text(self.spark, f"{self.path}/commits/{version:010d}.json"))
 
-    def _commit(self, old: dict, parts: list[dict], batches: dict) -> dict:
-        new = {"version": old["version"] + 1, "parts": parts, "batches": batches}
+    def _commit(self, old: dict, parts: list[dict], batches: dict, op: str = "merge", added: bool = False) -> dict:
+        """Make ``parts`` the next version.  ``op`` tells how it came from the one before
+        (append, upsert, replace, merge), ``added`` whether the last part is new rows."""
+        new = {"version": old["version"] + 1, "op": op, "added": added, "parts": parts, "batches": batches}
         draft = f"{self.path}/commits/draft-{uuid.uuid4().hex}"
         files.write_text(self.spark, draft, json.dumps(new))
         if not files.rename(self.spark, draft, f"{self.path}/commits/{new['version']:010d}.json"):
@@ -123,7 +125,7 @@ class DeltaTable:
         seq = 1 + max((p["seq"] for p in old["parts"]), default=-1)
         parts = old["parts"] + ([{"dir": folder, "kind": kind, "rows": rows, "seq": seq}] if rows else [])
         batches = old["batches"] | ({batch[0]: int(batch[1])} if batch is not None else {})
-        self._settle(self._commit(old, parts, batches))
+        self._settle(self._commit(old, parts, batches, kind, bool(rows)))
         return rows
 
     def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
@@ -139,7 +141,7 @@ class DeltaTable:
         """Make ``df`` the whole table."""
         old = self.manifest()
         folder, rows = self._write(df, f"v{old['version'] + 1}")
-        self._commit(old, [{"dir": folder, "kind": "append", "rows": rows, "seq": 0}] if rows else [], old["batches"])
+        self._commit(old, [{"dir": folder, "kind": "append", "rows": rows, "seq": 0}] if rows else [], old["batches"], "replace", bool(rows))
         return rows
 
     def _tier(self, part: dict) -> int:
