@@ -89,3 +89,29 @@ def test_checksums(spark, scratch):
             f.write(f"MD5({name})= {digest if good else '0' * 32}\n")
     res = {r["name"]: r["ok"] for r in verify_checksums(spark, scratch).collect()}
     assert res == {"a.xml.gz": True, "b.xml.gz": False}
+
+
+def test_only_the_asked_files_are_hashed(spark, scratch):
+    import hashlib
+
+    from topicscope.sources.checksums import FileChecksums, _Reader, checksums
+    from topicscope.sources.listing import list_files, verify_checksums
+
+    bodies = {f"p{i}.gz": bytes([i]) * (1000 * i) for i in range(6)}
+    for name, body in bodies.items():
+        with open(os.path.join(scratch, name), "wb") as f:
+            f.write(body)
+        with open(os.path.join(scratch, name + ".md5"), "w") as f:
+            f.write(f"MD5({name})= {hashlib.md5(body).hexdigest()}\n")
+    os.chmod(os.path.join(scratch, "p0.gz"), 0)
+    os.rename(os.path.join(scratch, "p1.gz"), os.path.join(scratch, "p1.gz.part"))  # gone since it was listed
+    pending = list_files(spark, scratch).filter("name >= 'p2'")
+    got = {r["name"]: (r["ok"], r["actual"]) for r in verify_checksums(spark, scratch, files=pending).collect()}
+    assert got == {n: (True, hashlib.md5(b).hexdigest()) for n, b in bodies.items() if n >= "p2"}
+    assert checksums(spark, []).collect() == []
+    # chunks of any size give the same sum
+    path = os.path.join(scratch, "p5.gz")
+    for chunk in (1, 7, 1 << 20):
+        (part,) = _Reader([path], 8, chunk).partitions()
+        assert list(_Reader([path], 8, chunk).read(part)) == [(path, 5000, got["p5.gz"][1])]
+    assert len(_Reader([path] * 20, 8, 1).partitions()) == 3 and FileChecksums.name() == "file_checksums"

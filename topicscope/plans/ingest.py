@@ -194,7 +194,8 @@ def import_directory(
     pending = ledger.pending(files)
     quarantined: list[str] = []
     if verify:
-        checks = verify_checksums(spark, directory, glob).filter(~F.col("name").endswith(".md5"))
+        # files in the ledger are not opened again
+        checks = verify_checksums(spark, directory, glob, pending).checkpoint(eager=True)
         checked = pending.join(checks.select("path", "ok"), "path")
         quarantined = [r["path"] for r in checked.filter(~F.col("ok")).select("path").collect()]
         pending = checked.filter(F.col("ok")).drop("ok")

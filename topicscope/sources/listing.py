@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_hrefs, file_stem
+from .checksums import checksums
 
 
 def hrefs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -31,24 +32,29 @@ def list_files(spark: SparkSession, directory: str, glob: str = "*.gz") -> DataF
     return df.select("path", name.alias("name"), file_stem("path").alias("file_stem"), "length")
 
 
-def verify_checksums(spark: SparkSession, directory: str, glob: str = "*.gz") -> DataFrame:
-    """``path, name, file_stem, expected, actual, ok`` for every data file.
+def verify_checksums(spark: SparkSession, directory: str, glob: str = "*.gz", files: DataFrame | None = None) -> DataFrame:
+    """``path, name, file_stem, expected, actual, ok`` for every data file of
+    ``directory``, or for ``files`` of its listing alone: only those, and their
+    sidecars, are opened.
 
-    The md5 of each file is computed in the task that reads it; the expected
-    value is the second whitespace token of the ``<name>.md5`` sidecar
-    (``MD5(name)= <hex>``), joined on the file name.  Files without a sidecar
-    get ``ok = false``.
+    The expected value is the second whitespace token of the ``<name>.md5`` sidecar
+    (``MD5(name)= <hex>``), joined on the file name.  Files without a sidecar get
+    ``ok = false``.
     """
-    data = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-    data = data.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        file_stem("path").alias("file_stem"),
-        F.md5("content").alias("actual"),
+    files = (list_files(spark, directory, glob) if files is None else files).filter(~F.col("name").endswith(".md5"))
+    listed = files.select("path", "name", "file_stem")
+    paths = [r["path"] for r in listed.select("path").collect()]  # metadata, one row per file
+    data = listed.join(checksums(spark, paths).select("path", F.col("md5").alias("actual")), "path")
+    asked = listed.select(F.concat("name", F.lit(".md5")).alias("sidecar"))
+    there = list_files(spark, directory, "*.md5").join(asked, F.col("name") == F.col("sidecar"), "left_semi")
+    beside = [r["path"] for r in there.select("path").collect()]
+    side = (
+        spark.read.format("text").option("wholetext", "true").load(beside).withColumn("_file", F.input_file_name())
+        if beside
+        else spark.createDataFrame([], "value string, _file string")
     )
-    side = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.md5").load(directory)
     side = side.select(
-        F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.md5$", "").alias("name"),
+        F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.md5$", "").alias("name"),
         F.lower(F.element_at(F.split(F.trim("value"), r"\s+"), 2)).alias("expected"),
     )
     j = data.join(side, "name", "left")
