@@ -54,10 +54,13 @@ def test_finds_planted_items_and_paraphrases_and_leaves_clean_documents(spark):
 def test_svd_spans_the_top_singular_vectors(spark, monkeypatch):
     monkeypatch.setattr(D, "BITS", 6)
     rng = np.random.default_rng(2)
-    a = rng.random((40, 3)) @ rng.random((3, 64)) + 0.01 * rng.random((40, 64))
-    rows = spark.createDataFrame([(np.arange(64, dtype=np.int32).tobytes(), x.astype(np.float32).tobytes()) for x in a], "terms binary, weights binary")
-    got = D.latent_terms(rows, np.ones(64), rank=3, over=5, power=2)
-    u, s, vt = np.linalg.svd(a.astype(np.float32).astype(np.float64))
+    counts = np.rint(60 * rng.random((40, 3)) @ rng.random((3, 64)) + rng.random((40, 64))).astype(np.uint8)
+    idf = 1 + rng.random(64)
+    a = counts * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(np.arange(64, dtype=np.uint16).tobytes(), x.tobytes(), 1.0) for x in counts], "terms binary, counts binary, weight double")
+    got = D.latent_terms(rows, idf, rank=3, over=5, power=2) / idf[:, None]
+    u, s, vt = np.linalg.svd(a)
     want = vt[:3].T / s[:3]
     assert np.abs(np.abs(got) - np.abs(want)).max() < 0.02 * np.abs(want).max()
 

@@ -1,15 +1,16 @@
 """Benchmark items inside documents, paraphrased ones too, by latent retrieval.
 
-1. Tokens (lower-cased runs of letters and digits) are hashed into terms; their
-   document frequency is counted over all passages of ``PASSAGE`` tokens of all
-   documents, and gives the idf.
+1. Tokens (lower-cased runs of letters and digits) are hashed into terms and counted
+   in all passages of ``PASSAGE`` tokens of all documents; how many passages hold a
+   term gives its idf.
 2. A randomised SVD of TF-IDF rows - all items and all passages of all documents -
    gives every term a place in ``rank`` latent dimensions, each scaled by its
    singular value.  All items together weigh a tenth of all passages, or more
    where there are few, so that the space does not depend on the input's size.
-   The rows stay in Spark; each power step sends one partial matrix per task, in
-   row blocks that are summed by block, and the last one gives the singular
-   values too (Nystrom).
+   The passages are cut into term counts once, which stay in Spark.  Every pass over
+   them sends one partial matrix per task, in row blocks that are summed by block;
+   ``power`` passes sharpen the range, and the last one gives the singular values too
+   (Nystrom).
 3. Every document is searched whole: windows of an item's length, every
    ``STEP`` tokens (every token for items under one and a half steps), are sums
    of latent vectors, and those whose cosine with the item is at least ``cosine``
@@ -90,57 +91,53 @@ def passage(at: np.ndarray) -> np.ndarray:
     return first[doc] + (np.arange(len(doc)) - at[doc]) // PASSAGE
 
 
+def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One binary cell per run of values."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of every passage with their counts."""
+    for batch in batches:
+        for _, _, buf, off in B.doc_chunks(batch.column("text")):
+            h, at = tokens(buf, off)
+            if not len(h):
+                continue
+            cell, count = np.unique(passage(at) << BITS | term(h), return_counts=True)
+            block = cell >> BITS
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            yield pa.RecordBatch.from_arrays([_binaries((cell & ((1 << BITS) - 1)).astype(np.uint16), starts), _binaries(count.astype(np.uint8), starts)], names=["terms", "counts"])
+
+
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's passages, and in how many of them each term occurs."""
     df, passages = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
-        for _, _, buf, off in B.doc_chunks(batch.column("text")):
-            h, at = tokens(buf, off)
-            block = passage(at)
-            df += np.bincount(np.unique(block << BITS | term(h)) & ((1 << BITS) - 1), minlength=1 << BITS)
-            passages += int(block[-1]) + 1 if len(block) else 0
+        df += np.bincount(B.text_buffer(batch.column("terms"))[0].view(np.uint16), minlength=1 << BITS)
+        passages += batch.num_rows
     seen = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], passages))], names=["term", "n"])
 
 
-def inverse_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """idf of every hashed term over all passages of ``docs``, and their number."""
-    rows = docs.select("text").mapInArrow(_frequency_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+def inverse_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """idf of every hashed term over all passages, and their number."""
+    found = rows.select("terms").mapInArrow(_frequency_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros((1 << BITS) + 1)
-    for r in rows:
+    for r in found:
         df[r.term] = r.n
     return np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0, int(df[-1])
 
 
-def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """One binary cell per run of values."""
-    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _row_batches(idf: np.ndarray, weight: float):
-    """TF-IDF rows (of length ``weight``) of all passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, buf, off in B.doc_chunks(batch.column("text")):
-                h, at = tokens(buf, off)
-                if not len(h):
-                    continue
-                cell, count = np.unique(passage(at) << BITS | term(h), return_counts=True)
-                terms, block = cell & ((1 << BITS) - 1), cell >> BITS
-                starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-                w = count * idf[terms]
-                w *= weight / np.sqrt(np.add.reduceat(w * w, starts))[block]
-                yield pa.RecordBatch.from_arrays([_binaries(terms.astype(np.int32), starts), _binaries(w.astype(np.float32), starts)], names=["terms", "weights"])
-
-    return run
-
-
-def _groups_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows in small groups: their terms, and a dense matrix over these."""
-    (t, off), (w, _) = (B.text_buffer(batch.column(c)) for c in ("terms", "weights"))
-    t, w, off = t.view(np.int32), w.view(np.float32), off // 4
+def _groups_of(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """TF-IDF rows (of the length in ``weight``) in small groups: their terms, and a
+    dense matrix over these."""
+    (t, off), (n, _) = (B.text_buffer(batch.column(c)) for c in ("terms", "counts"))
+    t, off = t.view(np.uint16).astype(np.int64), off // 2
+    if not len(t):
+        return
+    w = n * idf[t]
+    w = (w * np.repeat(batch.column("weight").to_numpy() / np.sqrt(np.add.reduceat(w * w, off[:-1])), np.diff(off))).astype(np.float32)
     place, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
     for lo in range(0, len(off) - 1, GROUP):
         at = off[lo : lo + GROUP + 1]
@@ -154,13 +151,13 @@ def _groups_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield terms, m
 
 
-def _power_batches(q: np.ndarray):
+def _power_batches(q: np.ndarray, idf: np.ndarray):
     """A task's share of A'(A q), in blocks of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(q.shape)
         for batch in batches:
-            for terms, m in _groups_of(batch):
+            for terms, m in _groups_of(batch, idf):
                 total[terms] += m.T @ (m @ q[terms])
         blocks = [total[i : i + TERM_BLOCK] for i in range(0, len(total), TERM_BLOCK)]
         used = [i for i, b in enumerate(blocks) if b.any()]
@@ -190,7 +187,7 @@ def latent_terms(rows: DataFrame, idf: np.ndarray, rank: int = RANK, over: int =
     q = np.random.default_rng(11).standard_normal((n, rank + over)).astype(np.float32)
     for step in range(power + 1):
         q = q if not step else np.linalg.qr(z)[0].astype(np.float32)  # shipped to every task
-        z = _summed(rows.mapInArrow(_power_batches(q), "block int, m binary"), q.shape)
+        z = _summed(rows.mapInArrow(_power_batches(q, idf), "block int, m binary"), q.shape)
     # Nystrom: A'A is near z (q'z)^-1 z', whose root's left singular vectors are A's right ones
     core = q.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -356,11 +353,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", rank: in
     """(key, item_id, share): items found in documents, with the share of the
     item's tokens in the common subsequence."""
     body = docs.select(F.col(key).cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    idf, passages = inverse_frequency(body)
     asked = benchmark.filter("item_id is not null and text is not null").select("text")
+    # texts are cut into passages once; idf and length are put on as the rows are read
+    row = "terms binary, counts binary"
+    cut = B.stage(body.select("text").mapInArrow(_row_batches, row), "latent-rows")
+    idf, passages = inverse_frequency(cut)
     weight = max(1.0, (ITEMS_SHARE * passages / max(1, asked.count())) ** 0.5)
-    row = "terms binary, weights binary"
-    rows = B.stage(body.select("text").mapInArrow(_row_batches(idf, 1.0), row).unionByName(asked.mapInArrow(_row_batches(idf, weight), row)), "latent-rows")
+    rows = cut.withColumn("weight", F.lit(1.0)).unionByName(asked.mapInArrow(_row_batches, row).withColumn("weight", F.lit(weight)))
     # a task's partial matrix has a fixed size, so their number follows the cores
     rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     latent = latent_terms(rows, idf, rank)
