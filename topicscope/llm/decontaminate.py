@@ -44,7 +44,7 @@ from . import _bytes as B
 
 BITS = 15
 PASSAGE = 64
-RANK, OVER, POWER = 48, 8, 1
+RANK, OVER, POWER = 48, 8, 0
 ITEMS_SHARE = 0.1
 GROUP = 24
 STEP = 8
