@@ -281,6 +281,7 @@ def pack(
         (F.col("fulls_before") + F.col("fulls")).alias("full_rank"),
     )
     pieces = stage(rows.mapInArrow(_placer(plan, capacity), _PIECES), "packing-pieces")
-    cut = pieces.filter("ids_crc32 is null").join(encoded.select("part", "row", "ids"), ["part", "row"])
+    # few as a rule; written first, so that a small file is known to be one when the join is planned
+    cut = stage(pieces.filter("ids_crc32 is null"), "packing-cut").join(encoded.select("part", "row", "ids"), ["part", "row"])
     cut = cut.select(*pieces.columns, "ids").mapInArrow(_cut_sums(capacity), _PIECES)
     return pieces.filter("ids_crc32 is not null").unionByName(cut).drop("part", "row")
