@@ -66,3 +66,23 @@ def test_entity_model_reloads_with_dictionary_and_with_extractor(spark, scratch)
         back = EntityTopicModel.load(spark, path, extractor=given.get("extractor"))
         assert type(back) is EntityTopicModel and back.combine_kwargs == {"include_abstract": False}
         assert sorted(map(tuple, back.predict(docs).collect())) == sorted(map(tuple, m.predict(docs).collect()))
+
+
+def test_trie_walk_equals_brute_force_with_and_without_broadcast(spark, monkeypatch):
+    import random
+
+    from topicscope.operators import entities as EN
+
+    rng = random.Random(7)
+    words = ["aa", "bb", "cc", "dd", "ee"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(0, 40))) for i in range(40)] + [(99, None), (98, "")], "doc_id long, text string")
+    phrases = sorted({text(rng.randrange(1, 5)) for _ in range(40)})
+    d = spark.createDataFrame([(p,) for p in phrases] + [(phrases[0],)], "phrase string")
+    want = {r["doc_id"]: _greedy(r["text"] or "", {p for p in phrases if len(p.split()) <= 3}, 3) for r in docs.collect()}
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(EN, "MAX_BROADCAST_PREFIXES", bound)
+        assert {r["doc_id"]: r["text"] for r in EN.entity_text(docs, d, 3).collect()} == want
+    level = {(r["n"], r["prefix"]): r["whole"] for r in EN.phrase_trie(d, 3).collect()}
+    assert all(level[len(p.split()), p] for p in phrases if len(p.split()) <= 3)
+    assert all(any((q + " ").startswith(p + " ") for q in phrases) for _, p in level)

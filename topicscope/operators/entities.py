@@ -5,11 +5,9 @@ Every document's tokens are matched against a dictionary of phrases (1 to
 right, longest first, without overlap, and the document's entity text is the
 chosen phrases joined by a space, in text order, repeats kept.
 
-Work is per document: n-gram candidates are generated from the token array
-(Spark ML ``NGram``), joined with the dictionary on the phrase (AQE
-broadcasts it when it is small, otherwise a shuffle join), and the greedy
-selection is a fold over one document's sorted matches (``aggregate``), so no
-document-document or match-match pairs are ever formed.
+Matches are found by walking the dictionary as a trie of tokens, one join a level
+(``entity_matches``), and the greedy selection is a fold over one document's sorted
+matches (``aggregate``), so no document-document or match-match pairs are ever formed.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .common import written
 
 
 def phrase_key(text: Column | str) -> Column:
@@ -41,25 +40,44 @@ def dictionary_from_texts(texts: DataFrame, text_col: str = "text", lo: int = 2,
     return grams.select("phrase", F.size(F.split("phrase", " ")).alias("n"))
 
 
+# Largest dictionary level (in phrases) whose prefixes are broadcast; a phrase prefix is
+# a short string, so this bounds the broadcast to some hundred megabytes.
+MAX_BROADCAST_PREFIXES = 1_000_000
+
+
+def phrase_trie(dictionary: DataFrame, max_len: int) -> DataFrame:
+    """``n, prefix, whole``: every prefix of ``n`` tokens of a dictionary phrase of at
+    most ``max_len`` tokens, and whether it is a phrase itself."""
+    words = dictionary.select(F.split("phrase", " ").alias("_w")).filter(F.size("_w").between(1, int(max_len)))
+    cuts = words.select("_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("n"))
+    return cuts.groupBy("n", F.array_join(F.slice("_w", F.lit(1), F.col("n")), " ").alias("prefix")).agg(F.max(F.col("n") == F.size("_w")).alias("whole"))
+
+
 def entity_matches(docs: DataFrame, dictionary: DataFrame, max_len: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, n, phrase`` - every dictionary phrase found in a document.
 
-    Candidates are the document's 1..``max_len``-grams from Spark ML's
-    ``NGram`` (a compiled sliding window), paired with their start position by
-    ``arrays_zip``; the phrase length is recovered from the phrase itself.
-    """
+    The dictionary is walked as a trie, one level a join: a position goes on to its
+    second token only if some phrase begins with its first, and so on, so the n-grams of
+    a text are never made as a whole.  A level is broadcast while it is under
+    ``MAX_BROADCAST_PREFIXES``; beyond it the surviving positions are joined by a
+    shuffle."""
+    max_len = int(max_len)
+    trie = written(phrase_trie(dictionary, max_len), "phrase-trie")
+    sizes = {r["n"]: r["count"] for r in trie.groupBy("n").count().collect()}  # one row per length
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_t"))
-    grams = []
-    for n in range(1, int(max_len) + 1):
-        src = "_t"
-        if n > 1:
-            src = f"_g{n}"
-            toks = NGram(n=n, inputCol="_t", outputCol=src).transform(toks)
-        grams.append(F.arrays_zip(F.sequence(F.lit(0), F.size(src) - 1).alias("start"), F.col(src).alias("phrase")))
-    cand = toks.select("doc_id", F.explode(F.concat(*grams)).alias("c")).filter(F.col("c.phrase").isNotNull())
-    cand = cand.select("doc_id", F.col("c.start").alias("start"), F.col("c.phrase").alias("phrase"))
-    found = cand.join(dictionary.select("phrase").distinct(), "phrase")
-    return found.select("doc_id", "start", F.size(F.split("phrase", " ")).alias("n"), "phrase")
+    ahead = lambda x, i: F.struct(i.alias("start"), F.slice(F.col("_t"), i + 1, max_len).alias("_next"))
+    walk = toks.select("doc_id", F.explode(F.transform("_t", ahead)).alias("p")).select("doc_id", "p.start", "p._next")
+    found = None
+    for n in range(1, max_len + 1):
+        level = trie.filter(F.col("n") == n).select("prefix", "whole")
+        level = F.broadcast(level) if sizes.get(n, 0) <= MAX_BROADCAST_PREFIXES else level
+        at = walk.filter(F.size("_next") >= n).withColumn("prefix", F.array_join(F.slice("_next", 1, n), " ")).join(level, "prefix")
+        # one write per level: its matches and the positions that go on
+        at = written(at.select("doc_id", "start", "_next", "prefix", "whole"), "phrase-walk") if n < max_len else at
+        hits = at.filter("whole").select("doc_id", "start", F.lit(n).alias("n"), F.col("prefix").alias("phrase"))
+        found = hits if found is None else found.unionByName(hits)
+        walk = at.select("doc_id", "start", "_next")
+    return found
 
 
 def entity_text(docs: DataFrame, dictionary: DataFrame, max_len: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
