@@ -23,7 +23,7 @@ like any other.  Sequences hold no padding at all.
 
 Null and empty texts give the end id alone.  A text of any length is cut into
 windows.  Equal rows are packed one by one; rows need no key, and other columns are
-not read.  An empty table gives no rows.  A strings of a special token inside a text
+not read.  An empty table gives no rows.  The string of a special token inside a text
 becomes its id, as in the library's own call with ``add_special_tokens=False``.
 """
 
