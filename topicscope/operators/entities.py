@@ -65,18 +65,19 @@ def entity_matches(docs: DataFrame, dictionary: DataFrame, max_len: int, id_col:
     trie = written(phrase_trie(dictionary, max_len), "phrase-trie")
     sizes = {r["n"]: r["count"] for r in trie.groupBy("n").count().collect()}  # one row per length
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_t"))
-    ahead = lambda x, i: F.struct(i.alias("start"), F.slice(F.col("_t"), i + 1, max_len).alias("_next"))
-    walk = toks.select("doc_id", F.explode(F.transform("_t", ahead)).alias("p")).select("doc_id", "p.start", "p._next")
+    # every position with the tokens from there on: the array, and the array moved by one, two ...
+    moved = [F.slice("_t", i + 1, F.greatest(F.size("_t") - i, F.lit(0))).alias(f"_{i}") for i in range(max_len)]
+    walk = toks.select("doc_id", F.posexplode(F.arrays_zip(*moved)).alias("start", "p")).select("doc_id", "start", "p.*")
     found = None
     for n in range(1, max_len + 1):
         level = trie.filter(F.col("n") == n).select("prefix", "whole")
         level = F.broadcast(level) if sizes.get(n, 0) <= MAX_BROADCAST_PREFIXES else level
-        at = walk.filter(F.size("_next") >= n).withColumn("prefix", F.array_join(F.slice("_next", 1, n), " ")).join(level, "prefix")
+        at = walk.filter(F.col(f"_{n - 1}").isNotNull()).withColumn("prefix", F.concat_ws(" ", *[f"_{i}" for i in range(n)])).join(level, "prefix")
         # one write per level: its matches and the positions that go on
-        at = written(at.select("doc_id", "start", "_next", "prefix", "whole"), "phrase-walk") if n < max_len else at
+        at = written(at.select("doc_id", "start", *walk.columns[2:], "prefix", "whole"), "phrase-walk") if n < max_len else at
         hits = at.filter("whole").select("doc_id", "start", F.lit(n).alias("n"), F.col("prefix").alias("phrase"))
         found = hits if found is None else found.unionByName(hits)
-        walk = at.select("doc_id", "start", "_next")
+        walk = at.select(*walk.columns)
     return found
 
 
