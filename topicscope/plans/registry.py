@@ -717,7 +717,7 @@ def _doc_vector_model(spark, d):
 
     key = (spark.sparkContext.applicationId, d, "docvec")
     if key not in _MODELS:
-        _MODELS[key] = DocVectorTopicModel(vector_size=16, n_components=2, min_points=5, random_state=42).fit(_docs(spark, d))
+        _MODELS[key] = DocVectorTopicModel(vector_size=16, min_count=5, n_components=2, min_points=5, random_state=42).fit(_docs(spark, d))
     return _MODELS[key]
 
 
