@@ -102,3 +102,31 @@ def test_tokenizers_are_found_by_name(spark, scratch):
     assert sorted(map(tuple, back.predict(docs).collect())) == sorted(map(tuple, m.predict(docs).collect()))
     d = DocVectorTopicModel(vector_size=3, n_components=2, min_points=3, window=2, cell_size=0.5, tokenizer="by comma").fit(docs)
     assert {r["term"] for r in d.words.collect()} <= {r["term"] for r in m.vocab.collect()}
+
+
+@pytest.mark.parametrize("bound", [CO.MAX_HINTED_BROADCAST_ROWS, 0])
+def test_numbered_pairs_with_and_without_a_broadcast_vocabulary(spark, monkeypatch, bound):
+    monkeypatch.setattr(CO, "MAX_HINTED_BROADCAST_ROWS", bound)
+    monkeypatch.setattr(CO, "PAIRS", 7)  # passed on many times a task
+    docs = corpus(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    terms = CO.numbered_vocabulary(df, 20)
+    number = {r.term: r.idx for r in terms.collect()}
+    assert sorted(number, key=number.get) == sorted(number) and sorted(number.values()) == list(range(len(number)))
+    got = {(r.term, r.context): r.n for r in CO.numbered_pairs(df, terms, 3).collect()}
+    assert got == {(number[a], number[b]): n for (a, b), n in plain_pairs(docs, 3, 20).items()}
+
+
+def test_packed_passes_find_the_vectors_of_the_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(40, 30)) * (rng.random((40, 30)) < 0.3)
+    rows = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    x = spark.createDataFrame(rows, "doc_id long, idx int, w double").repartition(3)
+    z = rng.normal(size=(30, 4))
+    monkeypatch.setattr(svd, "ROWS", 7)
+    np.testing.assert_allclose(svd._normal_pass(svd.packed_rows(x), z), m.T @ (m @ z), atol=1e-9)
+    v, s = svd.randomized_svd(x, 30, 3, seed=1)
+    monkeypatch.setattr(svd, "DENSE_BYTES", 0)  # the joins
+    w, t = svd.randomized_svd(x, 30, 3, seed=1)
+    np.testing.assert_allclose(s, t, rtol=1e-6)
+    np.testing.assert_allclose(svd._dense(v, 30, 3), svd._dense(w, 30, 3), atol=1e-6)
