@@ -58,3 +58,15 @@ def test_trends_read_each_table_once(spark):
         df = QUERIES[name](spark, SF_SMALL)
         df.collect()
         assert _plan(df).split("Initial Plan")[0].count("FileScan") == scans, name
+
+
+def test_term_counts_shuffle_texts_and_not_terms(spark):
+    from topicscope.operators import features as FE
+
+    docs = spark.createDataFrame([(i % 5, f"aa bb cc aa {i}") for i in range(10)], "doc_id long, text string").repartition(3)
+    tf = FE.term_counts(docs, ngram_range=(1, 2))
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "term" not in dealt[0]
+    rows = {(r.doc_id, r.term): r.tf for r in tf.collect()}
+    assert rows[0, "aa"] == 4 and rows[0, "aa bb"] == 2 and (0, "aa aa") not in rows  # documents of two rows are counted together
