@@ -28,6 +28,7 @@ from ..operators import evaluate as E
 from ..operators import features as FE
 from ..operators import trends as TR
 from ..operators import vectors as V
+from ..operators.common import bounded_broadcast, written
 from ..operators.sampling import scan_positions
 from ..operators.svd import randomized_svd, times_matrix
 from ..session import ensure_checkpoint_dir
@@ -101,7 +102,7 @@ class TfidfTopicModel:
         if self.vocab is None:
             raise ValueError("model is not fitted")
         tf = self._term_counts(docs)
-        w = tf.join(self.vocab, "term").select("doc_id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
+        w = tf.join(bounded_broadcast(self.vocab, self.n_terms or None), "term").select("doc_id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
         return w.select("doc_id", "idx", (F.col("w") / norm).alias("w"))
 
@@ -130,31 +131,31 @@ class TfidfTopicModel:
         docs = docs.select("doc_id", "text")
         n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
         tf = self._term_counts(docs)
-        kept = FE.pruned_vocab(FE.doc_freq(tf), n_docs, c["min_df"], c["max_df"])
+        kept = written(FE.pruned_vocab(FE.doc_freq(tf), n_docs, c["min_df"], c["max_df"]), "kept-terms")
         # term indices 0..d-1 in term order, numbered with distributed scan
         # positions (range partitioning + per-partition offsets): with an
         # absolute min_df the vocabulary grows with the corpus
         numbered = scan_positions(kept.select("term", "idf"), "term")
-        self.vocab = numbered.select("term", F.col("pos").cast("int").alias("idx"), "idf").checkpoint(eager=True)
-        d = self.vocab.count()
+        self.vocab = written(numbered.select("term", F.col("pos").cast("int").alias("idx"), "idf"), "model-terms")
+        self.n_terms = d = self.vocab.count()
         if d == 0:
             raise ValueError("empty vocabulary after pruning")
         # the document-term matrix is read by every SVD pass: written once
-        x = self._vectorize(docs).checkpoint(eager=True)
+        x = written(self._vectorize(docs), "document-terms")
         k = min(c["n_components"], d)
-        self.n_terms, self._k = d, k
+        self._k = k
         self.components, self.singular_values = randomized_svd(x, d, k, seed=c["random_state"])
-        reduced = self._reduce(docs, x).checkpoint(eager=True)
+        reduced = written(self._reduce(docs, x), "reduced")
         km = KMeans(k=c["n_clusters"], seed=c["random_state"], maxIter=c["max_iter"], featuresCol="features")
         km_model = km.fit(reduced.select(array_to_vector("vector").alias("features")))
         self.kmeans = km_model
         self.centers = np.array([np.asarray(v) for v in km_model.clusterCenters()])
-        labels = self._assign(reduced)
-        weights = x.join(self.vocab.select("term", "idx"), "idx").select("doc_id", "term", F.col("w").alias("tfidf"))
-        self.names = FE.cluster_names(
+        labels = written(self._assign(reduced), "train-labels")
+        weights = x.join(bounded_broadcast(self.vocab.select("term", "idx"), d), "idx").select("doc_id", "term", F.col("w").alias("tfidf"))
+        self.names = written(FE.cluster_names(
             FE.cluster_term_weights(weights, labels.select("doc_id", "label")), c["n_name_terms"], ", "
-        ).checkpoint(eager=True)
-        self.train_labels = labels.checkpoint(eager=True)
+        ), "topic-names")
+        self.train_labels = labels
         return self
 
     def _assign(self, reduced: DataFrame) -> DataFrame:
@@ -191,9 +192,10 @@ class TfidfTopicModel:
         """One row of cluster scores on the reduced vectors (labels predicted
         unless given as ``doc_id, label``; ``transformed``: ``docs`` is ``doc_id,
         vector``)."""
-        reduced = docs.select("doc_id", "vector") if transformed else self.transform(docs, exclude_from="clustering")
+        reduced = docs.select("doc_id", "vector") if transformed else written(self.transform(docs, exclude_from="clustering"), "reduced")
         lab = labels if labels is not None else self._assign(reduced).select("doc_id", "label")
-        pts = reduced.join(lab.select("doc_id", "label"), "doc_id")
+        # every score reads the points twice
+        pts = written(reduced.join(lab.select("doc_id", "label"), "doc_id"), "labelled-points")
         return E.evaluate_clusters(pts, "label", "vector", scores)
 
     def query_vector(self, spark: SparkSession, query: str) -> list[float]:
@@ -291,7 +293,8 @@ class EntityTopicModel(TfidfTopicModel):
         return entity_text(docs.select("doc_id", "text"), self.dictionary, self.config["max_entity_len"])
 
     def fit(self, docs: DataFrame) -> "EntityTopicModel":
-        return super().fit(self._entities(docs))
+        # found once: every pass over the documents reads them again
+        return super().fit(written(self._entities(docs), "entities"))
 
     def transform(self, docs: DataFrame, last_step: str | None = None, exclude_from: str | None = None) -> DataFrame:
         return super().transform(self._entities(docs), last_step, exclude_from)
