@@ -70,3 +70,14 @@ def test_term_counts_shuffle_texts_and_not_terms(spark):
     assert len(dealt) == 1 and "term" not in dealt[0]
     rows = {(r.doc_id, r.term): r.tf for r in tf.collect()}
     assert rows[0, "aa"] == 4 and rows[0, "aa bb"] == 2 and (0, "aa aa") not in rows  # documents of two rows are counted together
+
+
+def test_embeddings_are_reduced_without_a_join(spark):
+    from topicscope.plans.embedding_topics import EmbeddingTopicModel
+
+    m = EmbeddingTopicModel(n_components=2)
+    m.components, m._d, m._k = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0]), (2, [3.0, 0.0])], "idx int, v array<double>"), 3, 2
+    rows = [(1, [1.0, 2.0, 3.0]), (2, None), (3, [2.0, float("nan")]), (4, [1.0, None, 0.0, 9.0]), (5, [])]
+    out = m._reduce(spark.createDataFrame(rows, "doc_id long, embedding array<double>"))
+    assert "Join" not in _plan(out) and "Exchange" not in _plan(out)
+    assert {r.doc_id: r.vector for r in out.collect()} == {1: [11.0, 0.0], 2: [0.0, 0.0], 3: [2.0, 4.0], 4: [1.0, 2.0], 5: [0.0, 0.0]}

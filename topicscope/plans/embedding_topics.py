@@ -31,7 +31,7 @@ from ..operators import vectors as V
 from ..operators.common import written
 from ..operators.density import grid_clusters
 from ..operators.density_tree import density_clusters
-from ..operators.svd import randomized_svd, times_matrix
+from ..operators.svd import projected, randomized_svd
 
 Encoder = Callable[[DataFrame], DataFrame]
 PARTS = ("config", "model", "names")
@@ -111,13 +111,9 @@ class EmbeddingTopicModel:
         return out.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def _reduce(self, vectors: DataFrame) -> DataFrame:
-        x = _long_form(vectors, "doc_id", "embedding")
-        k = self._k
-        y = times_matrix(x, self.components, vectors.sparkSession, self._d, k)
-        zero = F.array_repeat(F.lit(0.0), k)
-        return vectors.select("doc_id").join(y, "doc_id", "left").select(
-            "doc_id", F.transform(F.coalesce("y", zero), lambda v: F.nanvl(v, F.lit(0.0))).alias("vector")
-        )
+        """``doc_id, vector``: the vectors times the components, in one map (nulls, NaN and
+        numbers beyond the model's width count as 0)."""
+        return vectors.select("doc_id", projected("embedding", self.components, self._d, self._k).alias("vector"))
 
     def fit(self, vectors: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id", vec_col: str = "embedding"):
         """Fit on ``vectors(id, embedding)``, or texts where the model has an encoder;
@@ -129,7 +125,7 @@ class EmbeddingTopicModel:
         d = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
         if d <= 0:
             raise ValueError("no vectors to fit on")
-        x = written(_long_form(vectors, "doc_id", "embedding"), "vectors-long")
+        x = _long_form(vectors, "doc_id", "embedding")
         self._d, self._k = d, min(c["n_components"], d)
         self.components, _ = randomized_svd(x, d, self._k, seed=c["random_state"])
         usable = vectors.filter(F.size("embedding") == d)
