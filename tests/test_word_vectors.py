@@ -130,3 +130,27 @@ def test_packed_passes_find_the_vectors_of_the_joins(spark, monkeypatch):
     w, t = svd.randomized_svd(x, 30, 3, seed=1)
     np.testing.assert_allclose(s, t, rtol=1e-6)
     np.testing.assert_allclose(svd._dense(v, 30, 3), svd._dense(w, 30, 3), atol=1e-6)
+
+
+@pytest.mark.parametrize("window,min_count,shift", [(3, 1, 1.0), (1, 1, 40.0)])
+def test_vectors_from_lists_equal_those_of_the_joins(spark, monkeypatch, window, min_count, shift):
+    docs = corpus(6, 90) + [(950, "only only"), (951, "ll ll ll ll")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    terms = CO.numbered_vocabulary(df, min_count)
+    number = {r.term: r.idx for r in terms.collect()}
+    for name, value in (("KEYS", 30), ("LIST", 2), ("ROWS", 5), ("ENTRIES", 3)):
+        monkeypatch.setattr(CO, name, value)
+    want = Counter({(number[a], number[b]): n for (a, b), n in plain_pairs(docs, window, min_count).items()})
+    for share in (1, 12, 10**9):  # no word, some, all are frequent
+        rows = CO.pair_rows(df, terms, window, share=share).collect()
+        assert len({r.term for r in rows}) == len(rows)
+        assert {(r.term, c): n for r in rows for c, n in zip(r.c, r.n, strict=True)} == want
+    got = {r.term: list(r.v) for r in CO.word_vectors(df, 4, window, min_count, shift, seed=3, n_iter=1).collect()}
+    monkeypatch.setattr(svd, "DENSE_BYTES", 2 * 8 * len(number))  # two columns at once
+    few = {r.term: list(r.v) for r in CO.word_vectors(df, 4, window, min_count, shift, seed=3, n_iter=1).collect()}
+    monkeypatch.setattr(CO, "HELD_BYTES", 0)  # the joins
+    plain = {r.term: list(r.v) for r in CO.word_vectors(df, 4, window, min_count, shift, seed=3, n_iter=1).collect()}
+    assert got.keys() == few.keys() == plain.keys()
+    for term, v in plain.items():
+        np.testing.assert_allclose(np.abs(got[term]), np.abs(v), atol=1e-5)
+        np.testing.assert_allclose(few[term], got[term], atol=1e-9)
