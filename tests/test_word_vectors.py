@@ -154,3 +154,23 @@ def test_vectors_from_lists_equal_those_of_the_joins(spark, monkeypatch, window,
     for term, v in plain.items():
         np.testing.assert_allclose(np.abs(got[term]), np.abs(v), atol=1e-5)
         np.testing.assert_allclose(few[term], got[term], atol=1e-9)
+
+
+def test_topic_words_are_the_closest_of_all(spark, monkeypatch):
+    from topicscope.operators import vectors as V
+
+    monkeypatch.setattr(V, "TERMS", 4)
+    rng = np.random.default_rng(8)
+    words = {f"w{i:02d}": rng.integers(-2, 3, 3).astype(float) for i in range(60)}  # many equal directions
+    topics = {i: rng.integers(-2, 3, 3).astype(float) for i in range(7)} | {7: np.zeros(3)}
+    df = spark.createDataFrame([(w, v.tolist()) for w, v in words.items()], "term string, v array<double>").repartition(3)
+    centres = spark.createDataFrame([(i, v.tolist(), 1) for i, v in topics.items()], "label int, center array<double>, size long")
+    rows = V.closest_terms(df, centres, 4).collect()
+    assert len(rows) <= 3 * 4 * len(topics)  # of each of 3 tasks, not of each word
+    cosine = lambda a, b: round(float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), 10) if a.any() and b.any() else 0.0
+    for label, c in topics.items():
+        found = sorted((-round(r.weight, 10), r.term) for r in rows if r.label == label)[:4]
+        want = sorted((-cosine(v, c), w) for w, v in words.items())[:4]
+        assert [w for _, w in found] == [w for _, w in want]
+        np.testing.assert_allclose([x for x, _ in found], [x for x, _ in want], atol=1e-9)
+    assert V.closest_terms(df, centres.limit(0), 4).collect() == []
