@@ -174,3 +174,12 @@ def test_topic_words_are_the_closest_of_all(spark, monkeypatch):
         assert [w for _, w in found] == [w for _, w in want]
         np.testing.assert_allclose([x for x, _ in found], [x for x, _ in want], atol=1e-9)
     assert V.closest_terms(df, centres.limit(0), 4).collect() == []
+
+
+def test_copies_have_equal_vectors(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=40)) for _ in range(5)]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "doc_id long, text string").repartition(7)
+    words = spark.createDataFrame([(w, [rng.gauss(0, 1), rng.gauss(0, 1)]) for w in WORDS], "term string, v array<double>")
+    rows = CO.folded(df, words, 2).collect()
+    assert len(rows) == 100 and len({(r.doc_id % 5, *r.embedding) for r in rows}) == 5
