@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from topicscope.llm.suffix_dedup import dedup_report, repeated_windows
+from topicscope.llm import suffix_dedup
+from topicscope.llm.suffix_dedup import _counted, dedup_report, repeated_spans, repeated_windows
 
 
 def brute(texts, length):
@@ -61,3 +64,40 @@ def test_interval_expansion_alone():
     ctx = [b"xxABCDEFyy", b"zxABCDEFyz", b"qqABCDEFrr"]
     low, high = repeated_windows(np.zeros(3, int), ctx, np.zeros(3, int), np.full(3, 2), 8)
     assert list(zip(low.tolist(), high.tolist(), strict=True))[:2] == [(1, 1), (1, 1)] and low[2] > high[2]
+
+
+@pytest.fixture()
+def no_small_tables(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_frequent_keys_are_not_dealt_to_one_task(spark, scratch, no_small_tables):
+    rows = spark.range(3000).selectExpr("if(id < 2500, -1, id % 250) as key", "id")
+    rows.repartition(16).write.parquet(scratch + "/rows")
+    rows = spark.read.parquet(scratch + "/rows")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "n").filter("key != 7")
+    got = _counted(rows, counts, ["key"]).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.id, r.key, r.n) for r in got) == [(i, -1, 2500) for i in range(2500)] + [(i, i % 250, 2) for i in range(2500, 3000) if i % 250 != 7]
+    assert max(Counter(r.task for r in got if r.key == -1).values()) < 1500
+
+
+def test_copies_of_one_passage_are_not_shuffled(spark, no_small_tables):
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(64))
+    docs = spark.createDataFrame(enumerate([passage] * 1500 + corpus(5)), "doc_id long, text string")
+    spans = repeated_spans(docs, 64, 40)
+    assert {r.rid for r in spans.collect()} >= set(range(1500))
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[h#\d+L, c#\d+L\].* Inner", plan)
+
+
+@pytest.mark.parametrize("seed,length,gram,cap", [(6, 24, 12, 2000), (7, 40, 20, 3)])
+def test_frequent_strings_match_brute_force(spark, monkeypatch, seed, length, gram, cap):
+    monkeypatch.setattr(suffix_dedup, "FREQUENT_ROWS", 2)
+    monkeypatch.setattr(suffix_dedup, "MAX_FREQUENT", 50)
+    texts = corpus(seed)
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in dedup_report(docs, length, gram, cap).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, length)
