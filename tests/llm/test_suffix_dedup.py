@@ -101,3 +101,21 @@ def test_frequent_strings_match_brute_force(spark, monkeypatch, seed, length, gr
     docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in dedup_report(docs, length, gram, cap).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
+
+
+def test_planted_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+
+    def passage(size, words=55):
+        each, more = divmod(size - (words - 1), words)
+        return " ".join(text(each + (i < more)) for i in range(words))
+
+    sizes = [300, 399, 400, 401, 700]
+    planted = [passage(n) for n in sizes]
+    # the letters beside a passage differ, so that no longer string repeats
+    texts = [f"{text(900)}{a}{p}{b}{text(900)}" for p in planted for a, b in ("XY", "ZW")] + [text(1900) for _ in range(10)]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in dedup_report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+    assert [got[i][1] for i in range(len(texts))] == [n if n >= 400 else 0 for n in sizes for _ in range(2)] + [0] * 10
